@@ -118,11 +118,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", max_
         for v in shape["verdicts"]:
             levels = build_cascade(listed.where(F.col("verdict") == v).select("key"), universe)
             both = F.arrays_zip("keys", _member_array(levels)("keys").alias("listed"))
-            fits.append(F.transform(F.filter(both, lambda x: x["listed"]), lambda x, v=v: F.struct(F.length(x["keys"]).alias("n"), x["keys"].alias("key"), F.lit(v).alias("v"))))
+            verdict = F.lit(v).alias("v")
+            fits.append(F.transform(F.filter(both, lambda x: x["listed"]), _ranked(verdict)))
         judged = keyed.withColumn("best", F.array_max(F.concat(*fits))).drop("keys")
     return judged.withColumns({"rule": F.translate("best.key", "\n", ""), "verdict": F.coalesce("best.v", F.lit(default))}).drop("best")
 
 
+def _ranked(verdict: F.Column):
+    return lambda x: F.struct(F.length(x["keys"]).alias("n"), x["keys"].alias("key"), verdict)
+
+
 def _member_array(levels: list[tuple[int, np.ndarray]]):
     """Column function: for an array of keys, which are listed."""
     sizes, arrays = [b for b, _ in levels], [a.tobytes() for _, a in levels]
