@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from shuttleplan.llm import decontaminate, urlfilter
+from shuttleplan.llm import decontaminate, language, packing, privacy, repetition, urlfilter
 
 
 def queries() -> dict:
-    return {"op9_url_filter": urlfilter.op9_url_filter, "op10_decontaminate": decontaminate.op10_decontaminate}
+    return {
+        "op3_repetition": repetition.op3_repetition,
+        "op4_packing": packing.op4_packing,
+        "op5_language": language.op5_language,
+        "op7_personal_data": privacy.op7_personal_data,
+        "op9_url_filter": urlfilter.op9_url_filter,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
