@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from shuttleplan.llm import decontaminate, language, packing, privacy, repetition, urlfilter
+from shuttleplan.llm import decontaminate, language, neardup, packing, privacy, repetition, substrings, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substrings.op1_substring_dedup,
+        "op2_jaccard_join": neardup.op2_jaccard_join,
         "op3_repetition": repetition.op3_repetition,
         "op4_packing": packing.op4_packing,
         "op5_language": language.op5_language,
