@@ -11,6 +11,7 @@ by length, and pieces of equal length are told apart only when the bins are writ
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,9 @@ from shuttleplan.functions.scratch import materialize
 from shuttleplan.llm import wordhash as W
 
 CAPACITY, END_ID, NODES = 4096, 1, 20
+#: bytes of text whose words are looked up at once
+RUN = 8 << 20
+MARK, PLAIN_CHAR = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
 VOCABULARY = "word_bpe_49k.json"
 PIECES = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -34,7 +38,8 @@ class Encoder:
     words in order. Words are found and hashed as bytes; the library encodes words not seen yet.
     """
 
-    def __init__(self, path: str, max_words: int = 1_500_000):
+    def __init__(self, path: str, max_words: int = 2_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tok, self.max_words = Tokenizer.from_file(path), max_words
@@ -48,39 +53,51 @@ class Encoder:
 
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, offsets)."""
-        w = W.words(data, off)
-        seen, first, back = np.unique(w.h, return_index=True, return_inverse=True)
+        fold = None if b"<|" in data.tobytes() else W.LOWER  # the names of special tokens are told by case
+        w = W.words(data, off, fold=fold, hashes=False)
+        start, end, ptr = w.start, w.end, w.ptr
+        # a mark that ends a word is a token of its own wherever a letter or digit goes before
+        cut = np.flatnonzero((end - start > 1) & MARK[w.data[np.maximum(end - 1, 0)]] & PLAIN_CHAR[w.data[np.maximum(end - 2, 0)]])
+        ptr = ptr + np.searchsorted(cut, ptr)
+        start = np.insert(start, cut + 1, end[cut] - 1)
+        end = np.insert(end, cut, end[cut] - 1)
+        h = W.word_hashes(w.data, start, end)
+        seen, first, back = np.unique(h, return_index=True, return_inverse=True)
         place = W.lookup(self.known, seen)
         if (place < 0).any():
             if len(self.known) > self.max_words:
                 self.reset()
                 place = np.full(len(seen), -1)
             new = np.flatnonzero(place < 0)
-            raw = data.tobytes()
-            a, b = w.start[first[new]].tolist(), w.end[first[new]].tolist()
+            raw = w.data.tobytes()
+            a, b = start[first[new]].tolist(), end[first[new]].tolist()
             got = [e.ids for e in self.tok.encode_batch_fast([raw[x:y].decode() for x, y in zip(a, b, strict=True)], add_special_tokens=False)]
             size = np.fromiter(map(len, got), np.int64, len(got))
             at = len(self.flat) + np.cumsum(size) - size
             self.flat = np.concatenate([self.flat, np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))])
-            known = np.concatenate([self.known, seen[new]])
-            order = np.argsort(known)
-            self.known, self.at, self.size = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+            into = np.searchsorted(self.known, seen[new])  # both are sorted
+            self.known = np.insert(self.known, into, seen[new])
+            self.at, self.size = np.insert(self.at, into, at), np.insert(self.size, into, size)
             place = W.lookup(self.known, seen)
-        if not len(w.h):
+        if not len(h):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         at, size = self.at[place][back], self.size[place][back]
         ends = np.cumsum(size)
         out = self.flat[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]))]
-        return out, np.concatenate(([0], ends))[w.ptr]
+        return out, np.concatenate(([0], ends))[ptr]
+
+
+#: kept for the next task of the same Python worker
+_encoders: dict[str, Encoder] = {}
 
 
 def _tokenise(path: str, capacity: int):
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         for batch in batches:
             data, off = W.utf8(batch.column(1))
             doc, piece, start, length, crc = [], [], [], [], []
-            for i, j in W.runs(off):
+            for i, j in W.runs(off, RUN):
                 ids, ptr = encoder.ids(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 for d in range(j - i):
                     own = np.append(ids[ptr[d] : ptr[d + 1]], np.uint32(END_ID)).astype("<u4")
