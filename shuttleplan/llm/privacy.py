@@ -68,16 +68,14 @@ def _possible(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the base spans; the text is the last column."""
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1)
-        at, digit = _possible(*W.utf8(texts))
-        spans: list[list[dict]] = [[] for _ in range(len(texts))]
-        for i in np.flatnonzero(at | digit):
-            kinds = (("email",) if at[i] else ()) + (("ip", "card", "phone") if digit[i] else ())
-            spans[i] = [{"kind": k, "start": a, "end": b} for k, a, b in base_spans(texts[int(i)].as_py() or "", kinds)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, _spans_type())], names=[*batch.schema.names, "spans"])
+def _base(texts: pa.Array) -> list[list[dict]]:
+    """Base spans of every text."""
+    at, digit = _possible(*W.utf8(texts))
+    spans: list[list[dict]] = [[] for _ in range(len(texts))]
+    for i in np.flatnonzero(at | digit):
+        kinds = (("email",) if at[i] else ()) + (("ip", "card", "phone") if digit[i] else ())
+        spans[i] = [{"kind": k, "start": a, "end": b} for k, a, b in base_spans(texts[int(i)].as_py() or "", kinds)]
+    return spans
 
 
 def _spans_type() -> pa.DataType:
@@ -94,7 +92,8 @@ def _byte_places(text: str, places: list[int]) -> list[int]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(entity, context, term) for the words around every base span; contexts are told apart by their words."""
     for batch in batches:
-        texts, spans = batch.column(0), batch.column(1).to_pylist()
+        texts = batch.column(0)
+        spans = _base(texts)
         rows: list[tuple[int, int, int]] = []
         for i, own in enumerate(spans):
             if not own:
@@ -142,14 +141,13 @@ def _frequencies(bitmap: bytes):
     return count
 
 
-def disclosures(found: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
+def disclosures(rows: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
     """(entity, term, contexts, share, bits) of the pairs beyond the thresholds.
 
-    ``found`` has text and base spans. Terms and entities are 64-bit hashes. ``contexts`` counts the
+    ``rows`` has text. Terms and entities are 64-bit hashes. ``contexts`` counts the
     different word contexts in which the two meet, so copies of one text count once.
     """
-    spark = found.sparkSession
-    met = found.select("text", "spans").where("size(spans) > 0").mapInArrow(_contexts, "entity bigint, context bigint, term bigint")
+    met = rows.select("text").mapInArrow(_contexts, "entity bigint, context bigint, term bigint")
     met = materialize(met.groupBy("entity", "context", "term").agg(F.count("*").alias("n")))
     pairs = materialize(met.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("together")).where(F.col("contexts") >= min_contexts))
     entities = met.groupBy("entity", "context").agg(F.max("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"))
@@ -158,62 +156,57 @@ def disclosures(found: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: f
     words = pairs.select("term").distinct().groupBy(F.shiftright(place, 3).alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(term & {FILTER_BITS - 1}L & 7 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
     bitmap[words["byte"].to_numpy()] = words["bits"].to_numpy().astype(np.uint8)
-    df = found.select("text").mapInArrow(_frequencies(bitmap.tobytes()), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
-    total = found.count()
+    df = rows.select("text").mapInArrow(_frequencies(bitmap.tobytes()), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
+    total = rows.count()
     joined = pairs.join(df, "term").join(entities, "entity")
     share = F.least(F.lit(1.0), F.col("together") / F.col("n_term"))
     bits = F.log2(F.col("together") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity").cast("double")))
     return joined.select("entity", "term", "contexts", share.alias("share"), bits.alias("bits")).where((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
 
 
-def _flag(terms: bytes):
-    """Adds spans of the given terms to the last column; the text is the one before."""
+def _mark(terms: bytes, first: bool, last: bool):
+    """Adds the spans of a block of terms. The columns end with the text and, after the first block, the spans so far."""
 
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(terms, np.uint64)
         for batch in batches:
-            texts, spans = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            texts = batch.column(batch.num_columns - (1 if first else 2))
+            spans = _base(texts) if first else batch.column(batch.num_columns - 1).to_pylist()
             data, off = W.utf8(texts)
-            more: dict[int, list[tuple[int, int]]] = {}
-            for i, j in W.runs(off):
+            for i, j in W.runs(off) if len(known) else ():
                 w = W.words(data[off[i] : off[j]], off[i : j + 1] - off[i], fold=W.LOWER)
                 hit = np.flatnonzero(W.lookup(known, w.h) >= 0)
                 if len(hit):
                     c = np.zeros(len(w.data) + 1, np.int64)
                     np.cumsum((w.data & 0xC0) != 0x80, out=c[1:])
-                    first = c[w.off]
+                    start = c[w.off]
                     for d, a, b in zip(w.doc[hit].tolist(), c[w.start[hit]].tolist(), c[w.end[hit]].tolist(), strict=True):
-                        more.setdefault(i + d, []).append((a - int(first[d]), b - int(first[d])))
-            if more:
-                lists = spans.to_pylist()
-                for d, own in more.items():
-                    lists[d] = lists[d] + [{"kind": "term", "start": a, "end": b} for a, b in own]
-                spans = pa.array(lists, _spans_type())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], spans], names=batch.schema.names)
+                        spans[i + d].append({"kind": "term", "start": a - int(start[d]), "end": b - int(start[d])})
+            keep = batch.columns[: batch.num_columns - (1 if first else 2)] + ([] if last else [texts])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(spans, _spans_type())], names=[*[f"c{i}" for i in range(len(keep))], "spans"])
 
-    return flag
+    return mark
 
 
 def find_personal_data(docs: DataFrame, keep: list[str] | None = None, block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """The columns ``keep`` (default doc_id), text and spans (kind, start, end in code points).
+    """The columns ``keep`` (default doc_id) and spans (kind, start, end in code points).
 
-    Spans are sorted by kind as in KINDS, then start. Null text: no spans, text stays null. Repeated
-    rows are marked alike and count as often as they occur; no rows give no rows.
+    Spans are sorted by kind as in KINDS, then start. Null text has none. Repeated rows are marked
+    alike and count as often as they occur; no rows give no rows.
     """
     keep = ["doc_id"] if keep is None else keep
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
-    fields = ", ".join([*[f"k{i} {t}" for i, t in enumerate(kinds)], "text string", f"spans {SPANS}"])
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "text")
-    found = rows.mapInArrow(_find, fields)
-    telling = materialize(disclosures(found).select("term").distinct())
-    blocks = max(1, -(-telling.count() // block_terms))
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text"))
+    telling = materialize(disclosures(rows).select("term").distinct())
+    blocks, found = max(1, -(-telling.count() // block_terms)), rows
     for b in range(blocks):
         own = telling.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).toArrow()["term"].to_numpy()
-        if len(own):
-            found = found.mapInArrow(_flag(np.sort(own.view(np.uint64)).tobytes()), fields)
+        last = b == blocks - 1
+        fields = [f"c{i} {t}" for i, t in enumerate(kinds)] + ([] if last else [f"c{len(keep)} string"]) + [f"spans {SPANS}"]
+        found = found.mapInArrow(_mark(np.sort(own.view(np.uint64)).tobytes(), b == 0, last), ", ".join(fields))
     order = F.array_sort(F.transform("spans", lambda s: F.struct(F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"]).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans = F.transform(order, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "text", spans.alias("spans"))
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], spans.alias("spans"))
 
 
 def redact(text: str | None, spans: list[dict]) -> str | None:
