@@ -188,7 +188,7 @@ def _mark(terms: bytes, first: bool, last: bool):
     return mark
 
 
-def find_personal_data(docs: DataFrame, keep: list[str] | None = None, block_terms: int = BLOCK_TERMS) -> DataFrame:
+def find_personal_data(docs: DataFrame, keep: list[str] | None = None, block_terms: int = BLOCK_TERMS, min_bits: float = MIN_BITS) -> DataFrame:
     """The columns ``keep`` (default doc_id) and spans (kind, start, end in code points).
 
     Spans are sorted by kind as in KINDS, then start. Null text has none. Repeated rows are marked
@@ -197,7 +197,7 @@ def find_personal_data(docs: DataFrame, keep: list[str] | None = None, block_ter
     keep = ["doc_id"] if keep is None else keep
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text"))
-    telling = materialize(disclosures(rows).select("term").distinct())
+    telling = materialize(disclosures(rows, min_bits=min_bits).select("term").distinct())
     blocks, found = max(1, -(-telling.count() // block_terms)), rows
     for b in range(blocks):
         own = telling.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).toArrow()["term"].to_numpy()
