@@ -606,44 +606,63 @@ P4 = ("lat1", "lon1", "lat2", "lon2")
 
 
 def on_pairs(name: str, **columns: tuple):
-    """A query that adds columns (Spark expression, SQL) to point pairs."""
+    """A query that adds columns (function of the Spark expression, SQL) to point pairs."""
     query(name, f"{PAIR} select a, b, " + ", ".join(f"{v[1]} as {k}" for k, v in columns.items()) + " from pairs")(
-        lambda spark, sf: point_pairs(spark, sf).select("a", "b", *[v[0].alias(k) for k, v in columns.items()])
+        lambda spark, sf: point_pairs(spark, sf).select("a", "b", *[v[0]().alias(k) for k, v in columns.items()])
     )
 
 
 B12 = bearing(*P4)
-on_pairs("g1_distance", distance_m=(r(G.distance(*P4)), f"round({hav(*P4)}, 3)"))
+on_pairs("g1_distance", distance_m=(lambda: r(G.distance(*P4)), f"round({hav(*P4)}, 3)"))
 on_pairs(
     "g2_radius_units",
-    angle=(r(G.to_radians(G.distance(*P4)), 9), f"round({hav(*P4)} / 6371008.8e0, 9)"),
-    metres=(r(G.to_metres(G.c("lat1") / 1000)), "round(lat1 / 1000 * 6371008.8e0, 3)"),
+    angle=(lambda: r(G.to_radians(G.distance(*P4)), 9), f"round({hav(*P4)} / 6371008.8e0, 9)"),
+    metres=(lambda: r(G.to_metres(G.c("lat1") / 1000)), "round(lat1 / 1000 * 6371008.8e0, 3)"),
 )
-on_pairs("g3_squared_degrees", d2=(r(G.squared_degrees(*P4), 9), "round((lat1-lat2)*(lat1-lat2)+(lon1-lon2)*(lon1-lon2), 9)"))
-on_pairs("g4_euclidean", d=(r(G.euclidean(*P4), 9), "round(sqrt((lat1-lat2)*(lat1-lat2)+(lon1-lon2)*(lon1-lon2)), 9)"))
-on_pairs("g5_bearing", bearing=(r(G.bearing(*P4), 6), f"round({B12}, 6)"))
-on_pairs("g6_wrap360", wrapped=(r(G.wrap360(G.c("lon1") * 7), 6), f"round({wrap('lon1 * 7')}, 6)"))
-on_pairs("g7_angle_between", angle=(r(G.angle_between(*P4), 6), "round(case when lat1 = lon1 then 90e0 else acos(round_even((lat1*lat2+lon1*lon2)/(sqrt(lat1*lat1+lon1*lon1)*sqrt(lat2*lat2+lon2*lon2)), 5)) * 180e0 / pi() end, 6)"))
-_v = G.n_vector("lat1", "lon1")
-_back = G.from_n_vector(_v)
+on_pairs("g3_squared_degrees", d2=(lambda: r(G.squared_degrees(*P4), 9), "round((lat1-lat2)*(lat1-lat2)+(lon1-lon2)*(lon1-lon2), 9)"))
+on_pairs("g4_euclidean", d=(lambda: r(G.euclidean(*P4), 9), "round(sqrt((lat1-lat2)*(lat1-lat2)+(lon1-lon2)*(lon1-lon2)), 9)"))
+on_pairs("g5_bearing", bearing=(lambda: r(G.bearing(*P4), 6), f"round({B12}, 6)"))
+on_pairs("g6_wrap360", wrapped=(lambda: r(G.wrap360(G.c("lon1") * 7), 6), f"round({wrap('lon1 * 7')}, 6)"))
+on_pairs("g7_angle_between", angle=(lambda: r(G.angle_between(*P4), 6), "round(case when lat1 = lon1 then 90e0 else acos(round_even((lat1*lat2+lon1*lon2)/(sqrt(lat1*lat1+lon1*lon1)*sqrt(lat2*lat2+lon2*lon2)), 5)) * 180e0 / pi() end, 6)"))
+
+
+def vector():
+    return G.n_vector("lat1", "lon1")
+
+
+def back():
+    return G.from_n_vector(vector())
+
+
+def moved():
+    return G.destination("lat1", "lon1", G.c("lat2") * 100, G.c("lon2") + 200)
+
+
+def pole():
+    return G.pole_of_bearing("lat1", "lon1", "lat2")
+
+
+def normal():
+    return G.pole_of_points(*P4)
+
+
 on_pairs(
     "g8_n_vector",
-    x=(r(_v["x"], 9), "round(cos(radians(lat1))*cos(radians(lon1)), 9)"), y=(r(_v["y"], 9), "round(cos(radians(lat1))*sin(radians(lon1)), 9)"), z=(r(_v["z"], 9), "round(sin(radians(lat1)), 9)"),
-    lat=(r(_back["lat"], 9), "round(lat1, 9)"), lon=(r(_back["lon"], 9), "round(lon1, 9)"),
+    x=(lambda: r(vector()["x"], 9), "round(cos(radians(lat1))*cos(radians(lon1)), 9)"), y=(lambda: r(vector()["y"], 9), "round(cos(radians(lat1))*sin(radians(lon1)), 9)"), z=(lambda: r(vector()["z"], 9), "round(sin(radians(lat1)), 9)"),
+    lat=(lambda: r(back()["lat"], 9), "round(lat1, 9)"), lon=(lambda: r(back()["lon"], 9), "round(lon1, 9)"),
 )
-_d, _dsql = G.destination("lat1", "lon1", G.c("lat2") * 100, G.c("lon2") + 200), dest("lat1", "lon1", "lat2 * 100", "lon2 + 200")
-on_pairs("g9_destination", lat=(r(_d["lat"], 9), f"round({_dsql[0]}, 9)"), lon=(r(_d["lon"], 9), f"round({_dsql[1]}, 9)"))
-_p, _q = G.pole_of_bearing("lat1", "lon1", "lat2"), G.pole_of_points(*P4)
+_dsql = dest("lat1", "lon1", "lat2 * 100", "lon2 + 200")
+on_pairs("g9_destination", lat=(lambda: r(moved()["lat"], 9), f"round({_dsql[0]}, 9)"), lon=(lambda: r(moved()["lon"], 9), f"round({_dsql[1]}, 9)"))
 _x1, _y1, _z1 = "cos(radians(lat1))*cos(radians(lon1))", "cos(radians(lat1))*sin(radians(lon1))", "sin(radians(lat1))"
 _x2, _y2, _z2 = (t.replace("lat1", "lat2").replace("lon1", "lon2") for t in (_x1, _y1, _z1))
 _cx, _cy, _cz = f"({_y1}*{_z2}-{_z1}*{_y2})", f"({_z1}*{_x2}-{_x1}*{_z2})", f"({_x1}*{_y2}-{_y1}*{_x2})"
 _len = f"nullif(sqrt({_cx}*{_cx}+{_cy}*{_cy}+{_cz}*{_cz}), 0)"
 on_pairs(
     "g10_great_circles",
-    bx=(r(_p["x"], 9), "round(sin(radians(lon1))*cos(radians(lat2))-sin(radians(lat1))*cos(radians(lon1))*sin(radians(lat2)), 9)"),
-    by=(r(_p["y"], 9), "round(-cos(radians(lon1))*cos(radians(lat2))-sin(radians(lat1))*sin(radians(lon1))*sin(radians(lat2)), 9)"),
-    bz=(r(_p["z"], 9), "round(cos(radians(lat1))*sin(radians(lat2)), 9)"),
-    px=(r(_q["x"], 6), f"round({_cx}/{_len}, 6)"), py=(r(_q["y"], 6), f"round({_cy}/{_len}, 6)"), pz=(r(_q["z"], 6), f"round({_cz}/{_len}, 6)"),
+    bx=(lambda: r(pole()["x"], 9), "round(sin(radians(lon1))*cos(radians(lat2))-sin(radians(lat1))*cos(radians(lon1))*sin(radians(lat2)), 9)"),
+    by=(lambda: r(pole()["y"], 9), "round(-cos(radians(lon1))*cos(radians(lat2))-sin(radians(lat1))*sin(radians(lon1))*sin(radians(lat2)), 9)"),
+    bz=(lambda: r(pole()["z"], 9), "round(cos(radians(lat1))*sin(radians(lat2)), 9)"),
+    px=(lambda: r(normal()["x"], 6), f"round({_cx}/{_len}, 6)"), py=(lambda: r(normal()["y"], 6), f"round({_cy}/{_len}, 6)"), pz=(lambda: r(normal()["z"], 6), f"round({_cz}/{_len}, 6)"),
 )
 
 
@@ -662,9 +681,9 @@ def polygon_query(name: str, with_area, ends: tuple[str, str], width: str, order
 
 polygon_query("g11_corridor", lambda df: G.with_corridor(df, 10.0), ("-10e0", "10e0"), hav(*P4), "p1 c1 c4 p2 c3 c2 p1")
 polygon_query("g12_search_rectangle", G.with_rectangle, ("10e0", "10e0"), f"{hav(*P4)} / (({hav(*P4)} - 5000) * 12 / 45000e0 + 3)", "c1 c2 c3 c4 c1")
-on_pairs("g13_linear_map", mapped=(r(G.linear_map("lat1", 21, 23, 8, 16), 9), "round((lat1 - 21) * 8 / 2e0 + 8, 9)"))
-on_pairs("g14_section", lat=(r(G.section("lat1", "lat2", 1, 3), 9), "round((3 * lat1 + lat2) / 4, 9)"))
-on_pairs("g15_travel_time", canonical=(r(G.travel_time(G.distance(*P4))), f"round(0.2e0 * {hav(*P4)}, 3)"), script=(r(G.travel_time(G.distance(*P4), 0.17)), f"round(0.17e0 * {hav(*P4)}, 3)"))
+on_pairs("g13_linear_map", mapped=(lambda: r(G.linear_map("lat1", 21, 23, 8, 16), 9), "round((lat1 - 21) * 8 / 2e0 + 8, 9)"))
+on_pairs("g14_section", lat=(lambda: r(G.section("lat1", "lat2", 1, 3), 9), "round((3 * lat1 + lat2) / 4, 9)"))
+on_pairs("g15_travel_time", canonical=(lambda: r(G.travel_time(G.distance(*P4))), f"round(0.2e0 * {hav(*P4)}, 3)"), script=(lambda: r(G.travel_time(G.distance(*P4), 0.17)), f"round(0.17e0 * {hav(*P4)}, 3)"))
 
 
 # --- text, dates, generators ---------------------------------------------------------------------
