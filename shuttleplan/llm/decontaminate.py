@@ -156,7 +156,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
             rows_b = rows.withColumn("r", F.xxhash64(*rows.columns))
         else:
             rows_b = rows
-        scanned = rows_b.mapInArrow(_scan(shared, len(keep)), f"{schema}, t string, {'r bigint, ' if blocks > 1 else ''}{HITS}")
+        scanned = rows_b.mapInArrow(W.tidied(_scan(shared, len(keep))), f"{schema}, t string, {'r bigint, ' if blocks > 1 else ''}{HITS}")
         outs.append(scanned.drop("t"))
     if blocks == 1:
         out = outs[0]

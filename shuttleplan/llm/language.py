@@ -3,8 +3,8 @@
 A text is the mean of the embeddings of its byte 3- and 4-grams (hashed into 2**BUCKETS rows); a
 linear layer and a softmax over it give the language. Both are trained together by stochastic
 gradient descent in numpy, inside one task, on a bounded sample of labelled rows. A temperature is
-fitted on rows kept out of the descent, and the rejection threshold is the least confidence at
-which the accepted ones reach the wanted precision. As everything up to the softmax is linear, the
+fitted on rows kept out of the descent, and the rejection threshold is the confidence up to which,
+on those rows, fewer than half of the answers are right. As everything up to the softmax is linear, the
 trained model is one small table (bucket x language) that is broadcast and summed over texts.
 """
 
@@ -90,7 +90,7 @@ def bags(texts: list[str], rng: np.random.Generator | None) -> list[tuple[np.nda
     return out
 
 
-def train(texts: list[str], langs: list[str], precision: float = 0.99, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> dict:
+def train(texts: list[str], langs: list[str], least: float = 0.5, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> dict:
     """Fit the model; a fifth of the rows fits the temperature and the threshold."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
@@ -125,14 +125,26 @@ def train(texts: list[str], langs: list[str], precision: float = 0.99, epochs: i
         model["temperature"] = float(min(np.geomspace(0.1, 10, 60), key=loss))
         p = softmax(raw / model["temperature"])
         sure, right = p.max(axis=1), p.argmax(axis=1) == y[calib]
-        order = np.argsort(-sure)
-        good = np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= precision
-        model["threshold"] = float(sure[order][np.flatnonzero(good)[-1]]) if good.any() else 1.0
-        if good.all():
-            model["threshold"] = 0.0
+        order = np.argsort(sure)
+        poor = np.flatnonzero(np.cumsum(right[order]) < least * np.arange(1, len(order) + 1))
+        if len(poor):  # up to here more are wrong than may be
+            model["threshold"] = float(np.nextafter(sure[order][poor[-1]], 2))
     return model
 
 
+def _with_letter(data: np.ndarray, off: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Documents with a letter of any script; only those without an ASCII one are looked at as text."""
+    out = np.zeros(len(off) - 1, bool)
+    for i, j in W.runs(off):
+        part = data[off[i] : off[j]]
+        c = np.zeros(len(part) + 1, np.int32)
+        np.cumsum((part >= 97) & (part <= 122), out=c[1:])
+        out[i:j] = np.diff(c[off[i : j + 1] - off[i]]) > 0
+    for i in np.flatnonzero(~out & (np.diff(off) > 0)).tolist():
+        out[i] = _letter.search(texts[i].as_py()) is not None
+    return out
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
@@ -155,7 +167,7 @@ def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[2] for r in rows], [r[1] for r in rows]))], pa.binary())], names=["model"])
 
-    got = sample.repartition(1).mapInArrow(fit, "model binary").collect()
+    got = sample.repartition(1).mapInArrow(W.tidied(fit), "model binary").collect()
     return pickle.loads(bytes(got[0]["model"])) if got else {"names": [], "table": np.zeros(((1 << BUCKETS) + 1, 0)), "bias": np.zeros(0), "temperature": 1.0, "threshold": 0.0}
 
 
@@ -174,7 +186,7 @@ def predict_languages(docs: DataFrame, model: dict, keep: list[str] | None = Non
         for batch in batches:
             data, off = W.utf8(batch.column(len(keep)))
             data = W.LOWER[data]
-            letters = np.array([bool(t) and _letter.search(t) is not None for t in batch.column(len(keep)).to_pylist()], bool)
+            letters = _with_letter(data, off, batch.column(len(keep)))
             names, scores = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters))
             if m["names"]:
                 for i, j in W.runs(off):
@@ -186,7 +198,7 @@ def predict_languages(docs: DataFrame, model: dict, keep: list[str] | None = Non
 
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
-    out = rows.mapInArrow(predict, ", ".join([*[f"k{i} {t}" for i, t in enumerate(kinds)], "lang_pred string, score double, rejected boolean"]))
+    out = rows.mapInArrow(W.tidied(predict), ", ".join([*[f"k{i} {t}" for i, t in enumerate(kinds)], "lang_pred string, score double, rejected boolean"]))
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")
 
 

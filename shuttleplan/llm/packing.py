@@ -25,7 +25,7 @@ from shuttleplan.llm import wordhash as W
 
 CAPACITY, END_ID, NODES = 4096, 1, 20
 #: bytes of text whose words are looked up at once
-RUN = 8 << 20
+RUN = 4 << 20
 MARK, PLAIN_CHAR = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
 VOCABULARY = "word_bpe_49k.json"
 PIECES = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -71,7 +71,10 @@ class Encoder:
             new = np.flatnonzero(place < 0)
             raw = w.data.tobytes()
             a, b = start[first[new]].tolist(), end[first[new]].tolist()
-            got = [e.ids for e in self.tok.encode_batch_fast([raw[x:y].decode() for x, y in zip(a, b, strict=True)], add_special_tokens=False)]
+            got: list[list[int]] = []
+            for k in range(0, len(a), 10_000):  # the library's answers are large
+                part = [raw[x:y].decode() for x, y in zip(a[k : k + 10_000], b[k : k + 10_000], strict=True)]
+                got += [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
             size = np.fromiter(map(len, got), np.int64, len(got))
             at = len(self.flat) + np.cumsum(size) - size
             self.flat = np.concatenate([self.flat, np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))])
@@ -275,7 +278,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, groups:
     kind = docs.schema["doc_id"].dataType.simpleString()
     groups = groups or max(1, docs.rdd.getNumPartitions())
     fields = PIECES.format(kind=kind)
-    pieces = materialize(docs.select("doc_id", "text").mapInArrow(_tokenise(path, capacity), fields))
+    pieces = materialize(docs.select("doc_id", "text").mapInArrow(W.tidied(_tokenise(path, capacity)), fields))
     dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     return dealt.groupBy("g").applyInArrow(_pack_group(capacity), f"{fields}, sequence_id bigint, offset bigint")
 

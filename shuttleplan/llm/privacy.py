@@ -147,7 +147,7 @@ def disclosures(rows: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: fl
     ``rows`` has text. Terms and entities are 64-bit hashes. ``contexts`` counts the
     different word contexts in which the two meet, so copies of one text count once.
     """
-    met = rows.select("text").mapInArrow(_contexts, "entity bigint, context bigint, term bigint")
+    met = rows.select("text").mapInArrow(W.tidied(_contexts), "entity bigint, context bigint, term bigint")
     met = materialize(met.groupBy("entity", "context", "term").agg(F.count("*").alias("n")))
     pairs = materialize(met.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("together")).where(F.col("contexts") >= min_contexts))
     entities = met.groupBy("entity", "context").agg(F.max("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"))
@@ -156,7 +156,7 @@ def disclosures(rows: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: fl
     words = pairs.select("term").distinct().groupBy(F.shiftright(place, 3).alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(term & {FILTER_BITS - 1}L & 7 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
     bitmap[words["byte"].to_numpy()] = words["bits"].to_numpy().astype(np.uint8)
-    df = rows.select("text").mapInArrow(_frequencies(bitmap.tobytes()), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
+    df = rows.select("text").mapInArrow(W.tidied(_frequencies(bitmap.tobytes())), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
     total = rows.count()
     joined = pairs.join(df, "term").join(entities, "entity")
     share = F.least(F.lit(1.0), F.col("together") / F.col("n_term"))
@@ -203,7 +203,7 @@ def find_personal_data(docs: DataFrame, keep: list[str] | None = None, block_ter
         own = telling.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).toArrow()["term"].to_numpy()
         last = b == blocks - 1
         fields = [f"c{i} {t}" for i, t in enumerate(kinds)] + ([] if last else [f"c{len(keep)} string"]) + [f"spans {SPANS}"]
-        found = found.mapInArrow(_mark(np.sort(own.view(np.uint64)).tobytes(), b == 0, last), ", ".join(fields))
+        found = found.mapInArrow(W.tidied(_mark(np.sort(own.view(np.uint64)).tobytes(), b == 0, last)), ", ".join(fields))
     order = F.array_sort(F.transform("spans", lambda s: F.struct(F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"]).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans = F.transform(order, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], spans.alias("spans"))

@@ -238,7 +238,7 @@ def _one_task(rows: DataFrame, fit) -> dict | None:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, toxic_rows: int = TOXIC_ROWS) -> dict:
     """Both scorers and the labellers' accuracies. ``labels`` has doc_id and toxic; quality labels are not used."""
-    counted = docs.select("text").mapInArrow(_count_patterns, "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n")).toArrow().sort_by("p")
+    counted = docs.select("text").mapInArrow(W.tidied(_count_patterns), "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n")).toArrow().sort_by("p")
     pattern, count = counted["p"].to_numpy(), counted["n"].to_numpy()
     good, table = expectation_maximisation(pattern, count)
     total, labelled = int(count.sum()), labels.where("toxic is not null and doc_id is not null").count()
@@ -281,7 +281,7 @@ def score_quality(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(q)), pa.array(np.concatenate(x))], names=["doc_id", "quality", "toxicity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, quality double, toxicity double")
+    out = docs.select("doc_id", "text").mapInArrow(W.tidied(score), f"doc_id {kind}, quality double, toxicity double")
     return out.withColumn("kept", (F.col("quality") >= threshold) & (F.col("toxicity") == 0))
 
 

@@ -138,7 +138,7 @@ def repetition(docs: DataFrame, min_words: int = 5, max_percent: int = 40, max_l
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *[c.split()[0] for c in COLUMNS.split(", ")]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, {COLUMNS}")
+    out = docs.select("doc_id", "text").mapInArrow(W.tidied(judge), f"doc_id {kind}, {COLUMNS}")
     failed = (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_PERCENT * F.col("n_words"))
     many = 100 * F.col("covered_words") > max_percent * F.col("n_words")
     long = (F.col("longest_repeat") > max_longest) & (100 * F.col("longest_repeat") > max_longest_percent * F.col("n_words"))

@@ -73,7 +73,7 @@ def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     base = docs.drop("n_lines", "n_dropped")
     keyed = base.withColumn("_r", F.xxhash64("doc_id", "text"))
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
-    found = keyed.select("_r", order.alias("doc_id"), "text").mapInArrow(_cut_lines, "r bigint, doc_id bigint, line int, leaf bigint, templates array<bigint>")
+    found = keyed.select("_r", order.alias("doc_id"), "text").mapInArrow(W.tidied(_cut_lines), "r bigint, doc_id bigint, line int, leaf bigint, templates array<bigint>")
     lines = materialize(found)
     common = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     near = lines.join(common, "leaf").select("r", "doc_id", "line", F.explode(F.array_distinct("templates")).alias("t"))
