@@ -26,6 +26,8 @@ BUCKETS, DIM, GRAMS = 15, 16, (3, 4)
 SAMPLE_ROWS = 6000
 #: languages learned at most, the most frequent ones
 MAX_LANGUAGES = 500
+#: rows that must back a rejection threshold
+MIN_POOR = 20
 UNKNOWN = "und"
 _letter = regex.compile(r"\p{L}")
 
@@ -127,6 +129,7 @@ def train(texts: list[str], langs: list[str], least: float = 0.5, epochs: int =
         sure, right = p.max(axis=1), p.argmax(axis=1) == y[calib]
         order = np.argsort(sure)
         poor = np.flatnonzero(np.cumsum(right[order]) < least * np.arange(1, len(order) + 1))
+        poor = poor[poor >= MIN_POOR - 1]
         if len(poor):  # up to here more are wrong than may be
             model["threshold"] = float(np.nextafter(sure[order][poor[-1]], 2))
     return model
