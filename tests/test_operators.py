@@ -229,3 +229,12 @@ def test_stream_equals_batch(spark, tmp_path):
     q = flow.writeStream.format("memory").queryName("enriched").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("enriched").collect())) == sorted(map(tuple, enrich(rows, directory, poly).collect()))
+
+
+def test_scratch_tables_can_be_released(spark):
+    from shuttleplan.functions.scratch import materialize, release
+
+    release(spark)
+    df = materialize(spark.range(5))
+    assert df.count() == 5
+    assert release(spark) == 1 and release(spark) == 0
