@@ -72,7 +72,7 @@ def statistics(w: W.Words) -> np.ndarray:
     return np.stack([
         count(noise) / n,
         np.bincount(doc, weights=np.isin(ends, np.frombuffer(b"#*$%&|<>!", np.uint8)), minlength=docs) / n,
-        count(~alnum & W.PLAIN[data]) / solid,
+        np.where(solid >= 80, count(~alnum & W.PLAIN[data]) / solid, 0),  # a full stop weighs too much in short texts
         np.where(upper + lower > 0, upper / np.maximum(upper + lower, 1), 0),
         np.bincount(doc, weights=capital, minlength=docs) / n,
         np.where(long, 1 - distinct(w.h, doc) / n, 0) * np.where(words > 400, 0.6, 1),
