@@ -337,6 +337,26 @@ def test_line_templates_brute_force(spark):
     assert got == want
 
 
+def test_production_thresholds_follow_the_length(spark):
+    """As the query calls it: a long passage goes from two documents on, a short line from five, one of under four words from twenty."""
+    word = lambda k, i: f"{k}{chr(97 + i // 26)}{chr(97 + i % 26)}"
+    passage = " ".join(word("p", i) for i in range(52))
+    table = " ".join(str(100 + i) for i in range(30))
+    rows = []
+    for i in range(30):
+        lines = [f"{word('own', i)} {word('and', i)} {word('more', i)} {word('words', i)}"]
+        lines += [passage] if i in (3, 7) else [passage.replace("pab", "other").replace("pba", "one").replace("pal", "else")] if i == 9 else []
+        lines += [table] if i in (4, 8) else [" ".join(str(900 + i + k) for k in range(30))] if i in (5, 6) else []
+        lines += ["Released under these terms here"] if i < 5 else ["Only in four documents"] if i < 9 else []
+        lines += ["Menu"] if i < 20 else ["Page"]
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: r.text.split("\n") for r in templates.drop_templates(frame(spark, rows)).collect()}
+    own = {i: t.split("\n") for i, t in rows}
+    gone = {(i, x) for i in own for x in own[i] if x not in got[i]}
+    want = {(7, passage), (8, table)} | {(i, "Released under these terms here") for i in range(1, 5)} | {(i, "Menu") for i in range(1, 20)}
+    assert gone == want
+
+
 # --- op7 ----------------------------------------------------------------------------------------
 
 PII = "mail a.b+c@x-y.co.uk, bad@x; 10.0.0.255 and 1.2.3.256 and 1.2.3.4.5; card 4111 1111 1111 1111 or 4111-1111-1111-1112; +1 (386) 555-3733, +12 3"
