@@ -5,17 +5,18 @@ elements at most. If the hash space is cut into D + 1 parts, the sets agree whol
 fall into classes a factor t apart, a scheme of parts serves two neighbouring classes, and each set
 sends one signature for each part of its two schemes. Sets that share a signature are candidates, so
 no link is lost; a signature stands for several shingles, so frequent shingles alone join nothing.
-Within a signature only edges to its least member are kept: work is linear in a group's size.
+Within a signature edges to its least member come first: work is linear in a group's size.
 
 Verification. The members of a pivot are stored in a prefix tree (their sorted shingle hashes, in
 lexicographic order; the tree's paths are the common prefixes of neighbours). The pivot's set is run
 through it: overlap counted along a shared path is counted once, and a subtree is left as soon as
 the overlap so far plus what may remain cannot reach the threshold.
 
-Components. Linked pivots and members are united. Members of one pivot that ended in different
-components are compared with each other where the triangle inequality of the Jaccard distance (via
-the pivot) and a parity sketch of the sets do not rule a link out. All pairs of different texts that
-link are therefore united, directly or through others.
+Components. Linked pivots and members are united. The signature groups are kept: one whose members
+ended in different components elects another pivot from outside the first component, round after
+round while that finds links, and then compares what is still apart in pairs, where sizes and a
+parity sketch of the sets do not rule a link out. All pairs of different texts that link are
+therefore united, directly or through others.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SKETCH = 256
 BITS = [f"s{i}" for i in range(SKETCH // 64)]
 #: members of a pivot in one tree
 TREE = 256
+#: rounds that elect further pivots; members of a signature group in one block of pairs
+ROUNDS, BLOCK = 4, 2048
 
 
 class Threshold:
@@ -157,7 +160,11 @@ def _signatures(gram: int, t: Threshold):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, member) for every member of every signature group of a partition, which holds them whole."""
+    """(pivot, member, group) for every member of every signature group of a partition, which holds them whole.
+
+    The group is a hash of its members, so that signatures with the same ones are one group, and 0 for
+    a pair, which its edge covers. Groups whose hashes collide merge, which loses nothing.
+    """
     got = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
     if not got:
         return
@@ -167,11 +174,14 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sig, doc = sig[order], doc[order]
     new = np.ones(len(sig), bool)
     new[1:] = sig[1:] != sig[:-1]
-    pivot = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    start = np.flatnonzero(new)
+    group = np.where(np.diff(np.append(start, len(sig))) > 2, _sum(W.mix(doc.view(np.uint64) ^ np.uint64(W.P_ONE)), np.append(start, len(sig))), 0)
+    own = np.cumsum(new) - 1
+    pivot = doc[start][own]
     other = np.flatnonzero(pivot != doc)
     for i in range(0, len(other), 50_000):
         k = other[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(pivot[k]), pa.array(doc[k])], names=["p", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(pivot[k]), pa.array(doc[k]), pa.array(group[own[k]])], names=["p", "x", "g"])
 
 
 def tree_overlaps(query: np.ndarray, members: list[np.ndarray], t: Threshold) -> np.ndarray:
@@ -228,23 +238,19 @@ def _verify(gram: int, t: Threshold):
 
 
 def _rest(t: Threshold):
-    """Pairs of members of one pivot, of different components, that may still link."""
+    """Pairs of members of two blocks of a signature group, of different components, that may link."""
 
     def rest(table: pa.Table) -> pa.Table:
-        x, c, n, d = (table[k].to_numpy() for k in ("x", "c", "n", "d"))
-        home = table["cp"][0].as_py()
+        x, c, n, i = (table[k].to_numpy() for k in ("x", "c", "n", "i"))
         bits = np.stack([table[k].to_numpy() for k in BITS], axis=1)
+        low, high = np.flatnonzero(i == table["lo"][0].as_py()), np.flatnonzero(i == table["hi"][0].as_py())
         a, b = [], []
-        for u in np.flatnonzero(c != home):  # every pair has one end outside the pivot's component
-            total = n + n[u]
-            ok = (c != c[u]) & (t.den * np.minimum(n, n[u]) >= t.num * np.maximum(n, n[u]))
-            far = np.abs(d - d[u]) > 1 - t.num / t.den + 1e-9  # NaN: not known, so not ruled out
-            ok &= ~far
-            k = np.flatnonzero(ok)
-            apart = np.bitwise_count(bits[k] ^ bits[u]).sum(axis=1)
-            k = k[apart <= t.apart(total[k])]
-            a += [np.minimum(x[k], x[u])]
-            b += [np.maximum(x[k], x[u])]
+        for u in low:
+            k = high[c[high] != c[u]]
+            k = k[t.den * np.minimum(n[k], n[u]) >= t.num * np.maximum(n[k], n[u])]
+            k = k[np.bitwise_count(bits[k] ^ bits[u]).sum(axis=1) <= t.apart(n[k] + n[u])]
+            a.append(np.minimum(x[k], x[u]))
+            b.append(np.maximum(x[k], x[u]))
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
         return pa.table({"p": a, "x": b})
 
@@ -264,14 +270,16 @@ class Join:
         self.reps = materialize(self.sets.where("n > 0").join(self.groups.select("n", "f", "g", F.col("rep").alias("doc_id")), ["n", "f", "g", "doc_id"]).select("doc_id", "n", *BITS).dropDuplicates(["doc_id"]))
 
     def candidates(self) -> DataFrame:
-        """(p, x, w): edges from signature groups to their least member, between representatives."""
+        """(p, x, w): edges from signature groups to their least member, between representatives; the groups are kept beside."""
         spark = self.docs.sparkSession
         signed = self.docs.where("doc_id is not null").mapInArrow(W.tidied(_signatures(self.gram, self.t)), "sig bigint, doc_id bigint")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.docs.rdd.getNumPartitions())
-        edges = signed.repartition(parts, "sig").mapInArrow(W.tidied(_stars), "p bigint, x bigint").groupBy("p", "x").agg(F.count("*").alias("w"))
+        edges = signed.repartition(parts, "sig").mapInArrow(W.tidied(_stars), "p bigint, x bigint, g bigint").groupBy("p", "x", "g").agg(F.count("*").alias("w"))
         rep_of = self.sets.where("n > 0").join(self.groups, ["n", "f", "g"]).select("doc_id", "rep").distinct()
         edges = edges.join(rep_of.select(F.col("doc_id").alias("p"), F.col("rep").alias("rp")), "p").join(rep_of.select(F.col("doc_id").alias("x"), F.col("rep").alias("rx")), "x")
-        edges = edges.where("rp <> rx").groupBy(F.least("rp", "rx").alias("p"), F.greatest("rp", "rx").alias("x")).agg(F.sum("w").alias("w"))
+        stars = materialize(edges.where("rp <> rx").select("g", "rp", "rx", "w"))
+        self.stars = stars.where("g <> 0").select("g", F.col("rp").alias("p"), F.col("rx").alias("x"))
+        edges = stars.groupBy(F.least("rp", "rx").alias("p"), F.greatest("rp", "rx").alias("x")).agg(F.sum("w").alias("w"))
         return self.possible(edges)
 
     def possible(self, edges: DataFrame) -> DataFrame:
@@ -299,40 +307,51 @@ class Join:
         best = edges.groupBy("x").agg(F.max(F.struct(F.col("w"), (-F.col("p")).alias("q"))).alias("m")).select((-F.col("m.q")).alias("p"), "x")
         seen = materialize(self.verify(best))
         comp = self._united(seen)
-        for find in (self._unseen, self._between):
-            pairs = materialize(find(edges, seen, comp).select("p", "x"))
-            if pairs.isEmpty():
-                continue
-            more = materialize(self.verify(pairs))
-            seen = seen.unionByName(more)
-            if not more.where("both >= 0").isEmpty():
-                comp = self._united(seen)
-        return comp
+        seen, comp, _ = self._grown(self._cross(edges.join(seen, ["p", "x"], "left_anti"), comp), seen, comp)
+        for k in range(ROUNDS):
+            seen, comp, found = self._grown(self._elected(seen, comp, k), seen, comp)
+            if not found:
+                break
+        return self._grown(self._between(seen, comp), seen, comp)[1]
+
+    def _grown(self, pairs: DataFrame, seen: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+        """What is seen and united once these pairs are verified, and whether any of them links."""
+        pairs = materialize(pairs.select("p", "x"))
+        if pairs.isEmpty():
+            return seen, comp, False
+        more = materialize(self.verify(pairs))
+        seen, found = seen.unionByName(more), not more.where("both >= 0").isEmpty()
+        return seen, self._united(seen) if found else comp, found
 
     def _united(self, seen: DataFrame) -> DataFrame:
         return materialize(connected_components(seen.where("both >= 0"), "p", "x"))
 
-    def _unseen(self, edges: DataFrame, seen: DataFrame, comp: DataFrame) -> DataFrame:
-        """Edges not verified yet whose ends are still apart."""
-        return self._cross(edges.join(seen, ["p", "x"], "left_anti"), comp)
-
     def _cross(self, edges: DataFrame, comp: DataFrame) -> DataFrame:
         """Edges whose ends are not in one component, with the components (a lone node is its own)."""
         out = edges.join(comp.select(F.col("node").alias("p"), F.col("component").alias("cp")), "p", "left").join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left")
         return out.withColumns({"cp": F.coalesce("cp", "p"), "c": F.coalesce("c", "x")}).where("cp <> c")
 
-    def _between(self, edges: DataFrame, seen: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs of members of one pivot that may link though the pivot does not unite them."""
-        failing = materialize(self._cross(edges, comp).select("p").distinct())
-        n = self.reps.select("doc_id", "n", *BITS)
-        own = edges.select("p", "x").join(failing, "p")
-        own = own.join(comp.select(F.col("node").alias("p"), F.col("component").alias("cp")), "p", "left").join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left")
-        own = own.withColumns({"cp": F.coalesce("cp", "p"), "c": F.coalesce("c", "x")}).join(n.withColumnRenamed("doc_id", "x"), "x")
-        own = own.join(n.select(F.col("doc_id").alias("p"), F.col("n").alias("np")), "p").join(seen, ["p", "x"], "left")
-        # distance to the pivot where it was counted out; a pair that a bound ruled out has none
-        d = F.when(F.col("both") >= 0, 1 - F.col("both") / (F.col("n") + F.col("np") - F.col("both"))).otherwise(F.lit(float("nan")))
-        rows = own.select("p", "x", "cp", "c", "n", *BITS, d.alias("d"))
-        return rows.groupBy("p").applyInArrow(_rest(self.t), "p bigint, x bigint").distinct()
+    def _mixed(self, comp: DataFrame) -> DataFrame:
+        """(g, x, c, m, least): members of signature groups of three and more that are not all in one component."""
+        own = self.stars.select("g", "x").union(self.stars.select("g", "p")).distinct()
+        own = own.join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
+        apart = own.groupBy("g").agg(F.count("*").alias("m"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most and m > 2")
+        return materialize(own.join(apart.drop("most"), "g").select("g", "x", "c", "m", "least"))
+
+    def _elected(self, seen: DataFrame, comp: DataFrame, k: int) -> DataFrame:
+        """Edges from every mixed group's members to one from outside its first component, drawn anew in each round."""
+        own = self._mixed(comp)
+        draw = own.where("c <> least").groupBy("g").agg(F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("h"), "x", "c")).alias("u"))
+        pairs = own.join(draw, "g").where("c <> u.c").select(F.least("x", "u.x").alias("p"), F.greatest("x", "u.x").alias("x")).distinct()
+        return self.possible(pairs).join(seen, ["p", "x"], "left_anti")
+
+    def _between(self, seen: DataFrame, comp: DataFrame) -> DataFrame:
+        """Pairs of members of one mixed group that may link, block by block."""
+        own = self._mixed(comp).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        own = own.withColumn("i", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = own.join(self.reps.select(F.col("doc_id").alias("x"), "n", *BITS), "x").select("g", F.least("i", "o").alias("lo"), F.greatest("i", "o").alias("hi"), "x", "c", "i", "n", *BITS)
+        pairs = rows.groupBy("g", "lo", "hi").applyInArrow(_rest(self.t), "p bigint, x bigint").distinct()
+        return pairs.join(seen, ["p", "x"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -178,6 +178,57 @@ def test_jaccard_join(spark, rows):
     assert all(r.component_id is None for r in got.where("doc_id is null").collect())
 
 
+def shadowed_pair():
+    """Two sets of 20 shingles with similarity 19/21 that agree in one of three parts; an earlier set has that part too, but little else."""
+    rng = random.Random(3)
+    word = lambda: f"v{rng.randrange(10**6)}"
+
+    def parts(ws):
+        out = []
+        for i in range(len(ws) - 2):
+            h, _ = neardup.shingle_sets(W.words(*W.utf8(pa.array([" ".join(ws[i : i + 3])])), W.PLAIN, W.LOWER), 3)
+            out.append(int((W.mix(h ^ np.uint64(0xABCD)) % np.uint64(3))[0]))
+        return out
+
+    def ending(ws, ok):
+        while not ok(parts((ws + [w := word()])[-3:])[0]):
+            pass
+        return ws + [w]
+
+    while True:
+        base = [word() for _ in range(21)]
+        at = parts(base)
+        free = [i for i in range(2, 18) if 0 not in at[i - 2 : i + 1]]
+        apart = [(i, j) for i in free for j in free if j >= i + 3]
+        if 0 in at and apart:
+            break
+    old = list(base)
+    for i in apart[0]:
+        while 0 in parts((old[:i] + [w := word()] + old[i + 1 :])[i - 2 : i + 3]):
+            pass
+        old[i] = w
+    return [(0, " ".join(ending(old, lambda k: k > 0))), (1, " ".join(ending(base, lambda k: k == 1))), (2, " ".join(ending(base, lambda k: k == 2)))]
+
+
+def test_links_behind_an_unlike_pivot(spark):
+    t, rows = neardup.Threshold(), shadowed_pair()
+    k = t.classes(np.array([20]))[0]
+    assert t.parts(np.array([k - 1, k])).tolist() == [3, 3] and groups(rows) == [(0, 20, 0), (1, 20, 1), (2, 20, 1)]
+    rows += [(i + 10 * j, t) for j in range(1, 4) for i, t in shadowed_pair()[:1]] + [(50, rows[2][1])]
+    got = neardup.near_duplicates(frame(spark, rows))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == Counter(groups(rows))
+
+
+@pytest.mark.parametrize("block", [2, 2048])
+def test_members_of_a_group_meet_in_some_block(spark, block, monkeypatch):
+    """Drifting copies with one signature group of many components, cut into blocks of any size."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    rows = [*shadowed_pair(), *[(i + 100, t) for i, t in chains(3)]]
+    got = neardup.near_duplicates(frame(spark, rows))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == Counter(groups(rows))
+
+
 def test_tree_overlaps_lose_no_link():
     rng, t = np.random.default_rng(5), neardup.Threshold()
     base = np.unique(rng.integers(0, 2**62, 120).astype(np.uint64))
