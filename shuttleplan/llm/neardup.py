@@ -1,26 +1,28 @@
-"""Near-duplicate documents: Jaccard join of word n-gram sets, verified in prefix trees.
-
-Candidates. Two sets of sizes a and b with similarity t at least differ in D = (1 - t)(a + b)/(1 + t)
-elements at most. If the hash space is cut into D + 1 parts, the sets agree wholly in one part. Sizes
-fall into classes a factor t apart, a scheme of parts serves two neighbouring classes, and each set
-sends one signature for each part of its two schemes. Sets that share a signature are candidates, so
-no link is lost; a signature stands for several shingles, so frequent shingles alone join nothing.
-Within a signature edges to its least member come first: work is linear in a group's size.
-
-Verification. The members of a pivot are stored in a prefix tree (their sorted shingle hashes, in
-lexicographic order; the tree's paths are the common prefixes of neighbours). The pivot's set is run
-through it: overlap counted along a shared path is counted once, and a subtree is left as soon as
-the overlap so far plus what may remain cannot reach the threshold.
-
-Components. Linked pivots and members are united. The signature groups are kept: one whose members
-ended in different components elects another pivot from outside the first component, round after
-round while that finds links, and then compares what is still apart in pairs, where sizes and a
-parity sketch of the sets do not rule a link out. All pairs of different texts that link are
-therefore united, directly or through others.
+"""Near-duplicate documents: a prefix-tree join of word n-gram sets under one global order.
+
+Order. Every n-gram is counted over all documents in hash buckets (``bucket_bits`` of them); an element of a
+set is the frequency level of its bucket in the top byte and 56 bits of its hash below, so numeric order is
+one global order, rarest first. A set is the path of its elements in that order.
+
+Partitions. Sets with similarity t at least share an element among the first n - ceil(t n) + 1 of both, so
+no link is lost if each set goes to the partitions of those elements. As they are the rarest ones, most
+partitions hold one set and are left out; the others stay small, hot elements standing last on every path.
+Identical partitions are joined once.
+
+Join. The sets of a partition are stored in a prefix tree (in lexicographic order of paths, which walks it
+depth first) and a pivot's set is run through it: overlap along a shared path is counted once, and a subtree
+is left as soon as the overlap so far plus what may remain cannot reach the threshold. The least set of a
+partition is its first pivot, so work is linear in a family of copies, and large trees are split (``TREE``).
+
+Components. Linked sets are united. A partition whose sets ended in different components elects another pivot
+from outside the first component, round after round while that finds links; then what is still apart goes
+through the trees too, block by block, where sizes and a parity sketch of the sets do not rule a link out.
+All pairs of different texts that link are therefore united, directly or through others.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,8 @@ SKETCH = 256
 BITS = [f"s{i}" for i in range(SKETCH // 64)]
 #: members of a pivot in one tree
 TREE = 256
-#: rounds that elect further pivots; members of a signature group in one block of pairs
-ROUNDS, BLOCK = 4, 2048
+#: rounds that elect further pivots; sets of a partition in one block of pairs; buckets of the global order (binary logarithm) at most
+ROUNDS, BLOCK, MAX_BITS = 4, 2048, 22
 
 
 class Threshold:
@@ -46,32 +48,28 @@ class Threshold:
 
     def __init__(self, num: int = NUM, den: int = DEN):
         self.num, self.den = num, den
-        self.tops = [1]  # class k holds sizes tops[k - 1] < n <= tops[k]
-        while self.tops[-1] < 1 << 31:
-            self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * den // num))
 
     def apart(self, total: np.ndarray | int):
         """Elements in which two linked sets of this total size differ at most."""
         return total * (self.den - self.num) // (self.den + self.num)
 
-    def links(self, both: int, total: int) -> bool:
-        return self.den * both >= self.num * (total - both)
-
     def overlap(self, total: int) -> int:
         """Least common elements of linked sets with this total size."""
         return -(-self.num * total // (self.num + self.den))
 
-    def classes(self, n: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.array(self.tops), n)
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """First elements of which linked sets share one; 0 where only an equal set can link."""
+        return np.where(n * (self.den - self.num) >= self.num, n + 1 + (-self.num * n) // self.den, 0)
+
 
-    def parts(self, scheme: np.ndarray) -> np.ndarray:
-        """Parts of the scheme that serves classes ``scheme`` and ``scheme + 1``."""
-        tops = np.array(self.tops)
-        return self.apart(2 * tops[np.minimum(scheme + 1, len(tops) - 1)]) + 1
+def in_order(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Elements of the global order: level of the hash's bucket, then the hash."""
+    shift = np.uint64(64 - (len(levels).bit_length() - 1))
+    return (levels[(h >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
 
 
-def shingle_sets(w: W.Words, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes of every document, offsets)."""
+def shingle_sets(w: W.Words, gram: int, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct shingles of every document, offsets): hashes, or elements of the global order."""
     n, docs = len(w.h), len(w.ptr) - 1
     seq = W.Sequences(w.h)
     at = np.flatnonzero(W.gram_starts(w.ptr, gram, n))
@@ -79,6 +77,8 @@ def shingle_sets(w: W.Words, gram: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((size > 0) & (size < gram))
     h = np.concatenate([seq.of(at, at + gram), seq.of(w.ptr[short], w.ptr[short + 1])])
     d = np.concatenate([w.doc[at], short])
+    if levels is not None:
+        h = in_order(h, levels)
     order = np.lexsort((h, d))
     h, d = h[order], d[order]
     new = np.ones(len(h), bool)
@@ -87,10 +87,10 @@ def shingle_sets(w: W.Words, gram: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(d, np.arange(docs + 1))
 
 
-def _sets(column: pa.Array, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _sets(column: pa.Array, gram: int, levels: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data, off = W.utf8(column)
     for i, j in W.runs(off):
-        h, ptr = shingle_sets(W.words(data[off[i] : off[j]], off[i : j + 1] - off[i], W.PLAIN, W.LOWER), gram)
+        h, ptr = shingle_sets(W.words(data[off[i] : off[j]], off[i : j + 1] - off[i], W.PLAIN, W.LOWER), gram, levels)
         yield i, h, ptr
 
 
@@ -121,74 +121,48 @@ def _describe(gram: int):
     return describe
 
 
-def _signatures(gram: int, t: Threshold):
-    """(sig, doc_id) of every part of both schemes of every set; equal sets of a batch send once."""
+def _tally(gram: int, bits: int):
+    """(bucket, n): shingles of a task's documents by hash bucket."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for _, h, _ in _sets(batch.column(0), gram):
+                n += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        bucket = np.flatnonzero(n)
+        for i in range(0, len(bucket), 50_000):
+            k = bucket[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n[k])], names=["bucket", "n"])
+
+    return tally
+
+
+def _prefixes(gram: int, t: Threshold, order: bytes):
+    """(e, doc_id, f) for the prefix elements of every set, f telling sets apart; equal sets of a batch send once."""
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(order, np.uint8)
         for batch in batches:
             ids = np.asarray(batch.column(0).cast(pa.int64()))
-            for i, h, ptr in _sets(batch.column(1), gram):
+            for i, h, ptr in _sets(batch.column(1), gram, levels):
                 size = np.diff(ptr)
-                prints = _sum(W.mix(h ^ np.uint64(W.P_ONE)), ptr)
-                order = np.lexsort((ids[i : i + len(size)], prints))
+                f = _sum(W.mix(h ^ np.uint64(W.P_ONE)), ptr)
+                rank = np.lexsort((ids[i : i + len(size)], f))
                 lead = np.zeros(len(size), bool)
-                lead[order] = np.concatenate(([True], prints[order][1:] != prints[order][:-1]))
-                d = np.repeat(np.arange(len(size)), size)
-                use = (lead & (size > 0))[d]
-                own, hs = d[use], h[use]
-                sigs, docs = [], []
-                for back in (1, 0):
-                    scheme = t.classes(size) - back
-                    ok = scheme >= 0
-                    parts = np.where(ok & lead & (size > 0), t.parts(np.maximum(scheme, 0)), 0)
-                    base = np.cumsum(parts) - parts
-                    total = int(parts.sum())
-                    if not total:
-                        continue
-                    pick = ok[own]
-                    slot = base[own[pick]] + (W.mix(hs[pick] ^ np.uint64(0xABCD)) % parts[own[pick]].astype(np.uint64)).astype(np.int64)
-                    acc = np.zeros(total, np.uint64)
-                    np.add.at(acc, slot, W.mix(hs[pick] ^ np.uint64(0x1234567)))
-                    doc = np.repeat(np.arange(len(size)), parts)
-                    label = W.mix((scheme[doc].astype(np.uint64) << np.uint64(40)) ^ (np.arange(total) - base[doc]).astype(np.uint64))
-                    sigs.append(W.mix(acc ^ label))
-                    docs.append(doc)
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(ids[i + np.concatenate(docs)])], names=["sig", "doc_id"])
-
-    return sign
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, member, group) for every member of every signature group of a partition, which holds them whole.
-
-    The group is a hash of its members, so that signatures with the same ones are one group, and 0 for
-    a pair, which its edge covers. Groups whose hashes collide merge, which loses nothing.
-    """
-    got = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
-    if not got:
-        return
-    sig, doc = (np.concatenate(x) for x in zip(*got, strict=True))
-    del got
-    order = np.lexsort((doc, sig))
-    sig, doc = sig[order], doc[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    start = np.flatnonzero(new)
-    group = np.where(np.diff(np.append(start, len(sig))) > 2, _sum(W.mix(doc.view(np.uint64) ^ np.uint64(W.P_ONE)), np.append(start, len(sig))), 0)
-    own = np.cumsum(new) - 1
-    pivot = doc[start][own]
-    other = np.flatnonzero(pivot != doc)
-    for i in range(0, len(other), 50_000):
-        k = other[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(pivot[k]), pa.array(doc[k]), pa.array(group[own[k]])], names=["p", "x", "g"])
+                lead[rank] = np.concatenate(([True], f[rank][1:] != f[rank][:-1]))
+                much = np.where(lead, t.prefix(size), 0)
+                doc = np.repeat(np.arange(len(size)), much)
+                at = np.arange(len(doc)) - np.repeat(np.cumsum(much) - much, much) + ptr[:-1][doc]
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[i + doc]), pa.array(f[doc])], names=["e", "doc_id", "f"])
+
+    return send
 
 
 def tree_overlaps(query: np.ndarray, members: list[np.ndarray], t: Threshold) -> np.ndarray:
     """Overlap of ``query`` with every member that may link with it, -1 where a bound ruled it out.
 
-    ``members`` are sorted sets; in lexicographic order they are a depth-first walk of their prefix
-    tree. ``path`` holds the overlap along the current path, of which the next member reuses the part
+    All are paths in the global order; sorted lexicographically the members are a depth-first walk
+    of their prefix tree. ``path`` holds the overlap along the current path, of which the next member reuses the part
     that it shares; ``dead`` is the depth at which the current subtree was left.
     """
     out = np.full(len(members), -1, np.int64)
@@ -220,25 +194,26 @@ def tree_overlaps(query: np.ndarray, members: list[np.ndarray], t: Threshold) ->
     return out
 
 
-def _verify(gram: int, t: Threshold):
-    """Rows (p, x, salt, text) of a pivot and some of its members -> (p, x, overlap) of those that may link."""
+def _walk(gram: int, t: Threshold, order: bytes):
+    """Rows (p, x, salt, text) of a pivot and a tree of its members -> (p, x, overlap), -1 for those that do not link."""
 
-    def verify(table: pa.Table) -> pa.Table:
+    def walk(table: pa.Table) -> pa.Table:
+        levels = np.frombuffer(order, np.uint8)
         p = table["p"][0].as_py()
         x = table["x"].to_pylist()
         sets: list[np.ndarray] = []
-        for _, h, ptr in _sets(table["text"].cast(pa.large_string()).combine_chunks(), gram):
+        for _, h, ptr in _sets(table["text"].cast(pa.large_string()).combine_chunks(), gram, levels):
             sets += [h[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
         q = x.index(p)
         others = [i for i in range(len(x)) if x[i] != p]
         both = tree_overlaps(sets[q], [sets[i] for i in others], t)
         return pa.table({"p": pa.array([p] * len(others), pa.int64()), "x": pa.array([x[i] for i in others], pa.int64()), "both": both})
 
-    return verify
+    return walk
 
 
 def _rest(t: Threshold):
-    """Pairs of members of two blocks of a signature group, of different components, that may link."""
+    """Pairs of sets of two blocks of a partition, of different components, that may link."""
 
     def rest(table: pa.Table) -> pa.Table:
         x, c, n, i = (table[k].to_numpy() for k in ("x", "c", "n", "i"))
@@ -269,18 +244,29 @@ class Join:
         self.groups = materialize(groups)
         self.reps = materialize(self.sets.where("n > 0").join(self.groups.select("n", "f", "g", F.col("rep").alias("doc_id")), ["n", "f", "g", "doc_id"]).select("doc_id", "n", *BITS).dropDuplicates(["doc_id"]))
 
+    @functools.cached_property
+    def order(self) -> bytes:
+        """The level of every bucket: twice the binary logarithm of its count. Of bounded size (``MAX_BITS``)."""
+        total = self.sets.agg(F.sum("n")).first()[0] or 0
+        bits = min(MAX_BITS, max(16, int(total // 256).bit_length()))
+        n = self.docs.select("text").mapInArrow(W.tidied(_tally(self.gram, bits)), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+        got = n.select("bucket", F.ceil(2 * F.log2(F.col("n") + 1)).cast("tinyint").alias("level")).toArrow()
+        levels = np.zeros(1 << bits, np.uint8)
+        levels[got["bucket"].to_numpy()] = got["level"].to_numpy().astype(np.uint8)
+        return levels.tobytes()
+
     def candidates(self) -> DataFrame:
-        """(p, x, w): edges from signature groups to their least member, between representatives; the groups are kept beside."""
-        spark = self.docs.sparkSession
-        signed = self.docs.where("doc_id is not null").mapInArrow(W.tidied(_signatures(self.gram, self.t)), "sig bigint, doc_id bigint")
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.docs.rdd.getNumPartitions())
-        edges = signed.repartition(parts, "sig").mapInArrow(W.tidied(_stars), "p bigint, x bigint, g bigint").groupBy("p", "x", "g").agg(F.count("*").alias("w"))
+        """(p, x, w): edges from the sets of a partition to its least one, between representatives; the partitions are kept beside."""
+        sent = self.docs.where("doc_id is not null").mapInArrow(W.tidied(_prefixes(self.gram, self.t, self.order)), "e bigint, doc_id bigint, f bigint")
+        sent = materialize(sent)
+        shared = sent.groupBy("e").agg(F.min("f").alias("low"), F.max("f").alias("high")).where("low <> high").select("e")
         rep_of = self.sets.where("n > 0").join(self.groups, ["n", "f", "g"]).select("doc_id", "rep").distinct()
-        edges = edges.join(rep_of.select(F.col("doc_id").alias("p"), F.col("rep").alias("rp")), "p").join(rep_of.select(F.col("doc_id").alias("x"), F.col("rep").alias("rx")), "x")
-        stars = materialize(edges.where("rp <> rx").select("g", "rp", "rx", "w"))
-        self.stars = stars.where("g <> 0").select("g", F.col("rp").alias("p"), F.col("rx").alias("x"))
-        edges = stars.groupBy(F.least("rp", "rx").alias("p"), F.greatest("rp", "rx").alias("x")).agg(F.sum("w").alias("w"))
-        return self.possible(edges)
+        own = materialize(sent.join(shared, "e").select("e", "doc_id").join(rep_of, "doc_id").select("e", F.col("rep").alias("x")).distinct())
+        # the hash of a partition's sets is its name, so that equal partitions are one; those whose names collide merge, which loses nothing
+        parts = own.groupBy("e").agg(F.min("x").alias("p"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(x))").alias("g")).where("m > 1")
+        stars = materialize(own.join(parts, "e").where("x <> p").groupBy("g", "p", "x", "m").agg(F.count("*").alias("w")))
+        self.stars = stars.where("m > 2").select("g", "p", "x")
+        return self.possible(stars.groupBy("p", "x").agg(F.sum("w").alias("w")))
 
     def possible(self, edges: DataFrame) -> DataFrame:
         """Edges that sizes and sketches do not rule out: sketches differ in no more bits than sets in elements."""
@@ -290,8 +276,8 @@ class Join:
         apart = sum((F.bit_count(F.col(f"{c}p").bitwiseXOR(F.col(f"{c}x"))) for c in BITS), F.lit(0))
         return both.where(apart * (t.den + t.num) <= (t.den - t.num) * (F.col("np") + F.col("nx"))).select("p", "x", *[c for c in edges.columns if c not in ("p", "x")])
 
-    def verify(self, edges: DataFrame) -> DataFrame:
-        """(p, x, both): overlap of each edge's sets, -1 where a bound showed that they do not link."""
+    def walked(self, edges: DataFrame) -> DataFrame:
+        """(p, x, both): overlap of each edge's sets by the trees of its pivot, -1 where a bound showed that they do not link."""
         edges = materialize(edges.select("p", "x"))
         need = edges.select(F.col("p").alias("doc_id")).union(edges.select("x")).distinct()
         texts = materialize(self.docs.join(need, "doc_id").dropDuplicates(["doc_id"]))
@@ -299,13 +285,13 @@ class Join:
         members = edges.join(trees, "p").select("p", "x", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"))
         pivots = trees.select("p", F.col("p").alias("x"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         rows = members.union(pivots).join(texts.withColumnRenamed("doc_id", "x"), "x").select("p", "x", "salt", "text")
-        return rows.groupBy("p", "salt").applyInArrow(_verify(self.gram, self.t), "p bigint, x bigint, both bigint")
+        return rows.groupBy("p", "salt").applyInArrow(_walk(self.gram, self.t, self.order), "p bigint, x bigint, both bigint")
 
     def components(self) -> DataFrame:
         """(rep, component) of the representatives that link with another."""
         edges = materialize(self.candidates())
         best = edges.groupBy("x").agg(F.max(F.struct(F.col("w"), (-F.col("p")).alias("q"))).alias("m")).select((-F.col("m.q")).alias("p"), "x")
-        seen = materialize(self.verify(best))
+        seen = materialize(self.walked(best))
         comp = self._united(seen)
         seen, comp, _ = self._grown(self._cross(edges.join(seen, ["p", "x"], "left_anti"), comp), seen, comp)
         for k in range(ROUNDS):
@@ -319,7 +305,7 @@ class Join:
         pairs = materialize(pairs.select("p", "x"))
         if pairs.isEmpty():
             return seen, comp, False
-        more = materialize(self.verify(pairs))
+        more = materialize(self.walked(pairs))
         seen, found = seen.unionByName(more), not more.where("both >= 0").isEmpty()
         return seen, self._united(seen) if found else comp, found
 
@@ -332,21 +318,21 @@ class Join:
         return out.withColumns({"cp": F.coalesce("cp", "p"), "c": F.coalesce("c", "x")}).where("cp <> c")
 
     def _mixed(self, comp: DataFrame) -> DataFrame:
-        """(g, x, c, m, least): members of signature groups of three and more that are not all in one component."""
+        """(g, x, c, m, least): sets of partitions of three and more that are not all in one component."""
         own = self.stars.select("g", "x").union(self.stars.select("g", "p")).distinct()
         own = own.join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
         apart = own.groupBy("g").agg(F.count("*").alias("m"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most and m > 2")
         return materialize(own.join(apart.drop("most"), "g").select("g", "x", "c", "m", "least"))
 
     def _elected(self, seen: DataFrame, comp: DataFrame, k: int) -> DataFrame:
-        """Edges from every mixed group's members to one from outside its first component, drawn anew in each round."""
+        """Edges from every mixed partition's sets to one from outside its first component, drawn anew in each round."""
         own = self._mixed(comp)
         draw = own.where("c <> least").groupBy("g").agg(F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("h"), "x", "c")).alias("u"))
         pairs = own.join(draw, "g").where("c <> u.c").select(F.least("x", "u.x").alias("p"), F.greatest("x", "u.x").alias("x")).distinct()
         return self.possible(pairs).join(seen, ["p", "x"], "left_anti")
 
     def _between(self, seen: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs of members of one mixed group that may link, block by block."""
+        """Pairs of sets of one mixed partition that may link, block by block."""
         own = self._mixed(comp).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
         own = own.withColumn("i", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = own.join(self.reps.select(F.col("doc_id").alias("x"), "n", *BITS), "x").select("g", F.least("i", "o").alias("lo"), F.greatest("i", "o").alias("hi"), "x", "c", "i", "n", *BITS)

@@ -178,57 +178,42 @@ def test_jaccard_join(spark, rows):
     assert all(r.component_id is None for r in got.where("doc_id is null").collect())
 
 
-def shadowed_pair():
-    """Two sets of 20 shingles with similarity 19/21 that agree in one of three parts; an earlier set has that part too, but little else."""
-    rng = random.Random(3)
+def shadowed(seed=3, families=12):
+    """Families of linked sets behind earlier documents made of thirds of three families: no shingle of a family is rare."""
+    rng = random.Random(seed)
     word = lambda: f"v{rng.randrange(10**6)}"
-
-    def parts(ws):
-        out = []
-        for i in range(len(ws) - 2):
-            h, _ = neardup.shingle_sets(W.words(*W.utf8(pa.array([" ".join(ws[i : i + 3])])), W.PLAIN, W.LOWER), 3)
-            out.append(int((W.mix(h ^ np.uint64(0xABCD)) % np.uint64(3))[0]))
-        return out
-
-    def ending(ws, ok):
-        while not ok(parts((ws + [w := word()])[-3:])[0]):
-            pass
-        return ws + [w]
-
-    while True:
-        base = [word() for _ in range(21)]
-        at = parts(base)
-        free = [i for i in range(2, 18) if 0 not in at[i - 2 : i + 1]]
-        apart = [(i, j) for i in free for j in free if j >= i + 3]
-        if 0 in at and apart:
-            break
-    old = list(base)
-    for i in apart[0]:
-        while 0 in parts((old[:i] + [w := word()] + old[i + 1 :])[i - 2 : i + 3]):
-            pass
-        old[i] = w
-    return [(0, " ".join(ending(old, lambda k: k > 0))), (1, " ".join(ending(base, lambda k: k == 1))), (2, " ".join(ending(base, lambda k: k == 2)))]
-
-
-def test_links_behind_an_unlike_pivot(spark):
-    t, rows = neardup.Threshold(), shadowed_pair()
-    k = t.classes(np.array([20]))[0]
-    assert t.parts(np.array([k - 1, k])).tolist() == [3, 3] and groups(rows) == [(0, 20, 0), (1, 20, 1), (2, 20, 1)]
-    rows += [(i + 10 * j, t) for j in range(1, 4) for i, t in shadowed_pair()[:1]] + [(50, rows[2][1])]
-    got = neardup.near_duplicates(frame(spark, rows))
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == Counter(groups(rows))
+    bases = [[word() for _ in range(90)] for _ in range(families)]
+    first = [sum((bases[(k + j) % families][30 * j : 30 * j + 32] for j in range(3)), []) for k in range(families)]
+    later = [base + [word()] * (i > 0) for base in bases for i in range(3)]
+    return [(i, " ".join(ws)) for i, ws in enumerate(first + later)]
 
 
-@pytest.mark.parametrize("block", [2, 2048])
-def test_members_of_a_group_meet_in_some_block(spark, block, monkeypatch):
-    """Drifting copies with one signature group of many components, cut into blocks of any size."""
+@pytest.mark.parametrize(("rounds", "block"), [(4, 2048), (0, 2), (0, 2048), (1, 3)])
+def test_links_behind_an_unlike_pivot(spark, rounds, block, monkeypatch):
+    """However few rounds elect pivots and however partitions are cut into blocks."""
     monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup, "ROUNDS", 0)
-    rows = [*shadowed_pair(), *[(i + 100, t) for i, t in chains(3)]]
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    rows = [*shadowed(), *[(i + 1000, t) for i, t in chains(3)]]
+    join = neardup.Join(frame(spark, rows))
+    join.candidates()
+    firsts = {r.p for r in join.stars.collect()}
+    assert min(firsts) < 12  # an unlike document is the pivot of a partition
     got = neardup.near_duplicates(frame(spark, rows))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == Counter(groups(rows))
 
 
+def test_jaccard_join_of_other_grams(spark):
+    rows = chains(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows), 5, 4, 5).collect()}
+    sets = {i: {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} for i, ws in ((i, t.split()) for i, t in rows)}
+    links = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    comp = {i: i for i in sets}
+    for _ in sets:
+        for i, j in links:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    assert got == comp
+
+
 def test_tree_overlaps_lose_no_link():
     rng, t = np.random.default_rng(5), neardup.Threshold()
     base = np.unique(rng.integers(0, 2**62, 120).astype(np.uint64))
@@ -239,21 +224,22 @@ def test_tree_overlaps_lose_no_link():
     got = neardup.tree_overlaps(base, members, t)
     for m, x in zip(members, got):
         both = len(np.intersect1d(base, m))
-        if t.links(both, len(base) + len(m)):
+        if t.den * both >= t.num * (len(base) + len(m) - both):
             assert x == both
         else:
             assert x in (-1, both) and (x < 0 or x < t.overlap(len(base) + len(m))) or x == -1
 
 
-def test_parts_serve_every_linkable_pair():
-    t = neardup.Threshold()
-    n = np.arange(1, 400)
-    k = t.classes(n)
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5), (1, 2)])
+def test_prefixes_of_linked_sets_meet(num, den):
+    """The worst case: all that is not common comes first in both."""
+    t, n = neardup.Threshold(num, den), np.arange(1, 130)
+    first = t.prefix(n)
     for a in n:
-        for b in range(a, a * 10 // 9 + 1):
-            if b < 400:
-                i, j = k[a - 1], k[b - 1]
-                assert j - i <= 1 and t.parts(np.array([i]))[0] > t.apart(int(a) + b)
+        for b in range(a, a * den // num + 1):
+            for both in range(1, a + 1):
+                if b < 130 and den * both >= num * (a + b - both) and not a == b == both:
+                    assert first[a - 1] > a - both and first[b - 1] > b - both
 
 
 # --- op3 ----------------------------------------------------------------------------------------
