@@ -2,11 +2,12 @@
 
 Pieces are dealt by a hash over packing groups, so every group has the corpus's mixture of lengths
 and packs on its own; a group is filled bin by bin around the largest piece left. For it the
-undominated fillings are enumerated: a filling that another one of the same or fewer pieces with a
-larger sum beats is not tried. Branch and bound runs over these choices: the waste so far must stay
-under what the incumbent (best fit decreasing, first) wastes, and a packing that meets the bound
-ceil(tokens / capacity) ends the search. Lengths are integers, so a group is searched on its counts
-by length, and pieces of equal length are told apart only when the bins are written.
+undominated fillings are enumerated: one in which a piece left outside could replace some of the
+pieces inside without a loss is not tried. Branch and bound runs over these choices: the waste so far
+must stay under what the incumbent (best fit decreasing, first) wastes, and a packing that meets the
+bound ceil(tokens / capacity) ends the search. It is complete for groups of up to ``EXACT`` pieces; in
+larger ones the parameters of ``complete`` bound what is tried. Lengths are integers, so a group is
+searched on its counts by length, and pieces of equal length are told apart when the bins are written.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from shuttleplan.functions.scratch import materialize
 from shuttleplan.llm import wordhash as W
 
-CAPACITY, END_ID, NODES = 4096, 1, 20
+CAPACITY, END_ID = 4096, 1
+#: pieces up to which the search is complete; beyond: lengths tried at a place, maximal fillings looked at for a bin, bins tried a piece
+EXACT, WIDTH, MOST, NODES = 20, 4, 64, 1
 #: bytes of text whose words are looked up at once
 RUN = 4 << 20
 MARK, PLAIN_CHAR = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
@@ -166,54 +169,91 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(have: Lengths, room: int, width: int = 4, depth: int = 3) -> list[list[int]]:
-    """Undominated fillings of ``room``, least waste first.
+def _spread(mask: int, by: int) -> int:
+    """Bits of ``mask`` moved up by 1 to ``by`` places."""
+    out, done = mask << 1, 1
+    while done < by:
+        step = min(done, by - done)
+        out |= out << step
+        done += step
+    return out
 
-    Each starts with one of the ``width`` largest lengths that fit and goes on likewise up to
-    ``depth`` choices, then greedily; an exact single piece dominates all others.
+
+def dominated(have: Lengths, own: list[int], left: int) -> bool:
+    """Whether a length that is not in the filling could replace some of its pieces without a loss.
+
+    It fits into the room left, or in place of pieces that sum to no more than it and to no less than
+    it minus the room left. Whatever packs the rest around the filling then packs it around the
+    better one: the replaced pieces go where the longer one was.
+    """
+    if have.below(left):
+        return True
+    single = several = 0
+    for x in own:
+        several |= (single | several) << x
+        single |= 1 << x
+    return bool(several & have.mask or (left and _spread(single | several, left) & have.mask))
+
+
+def fillings(have: Lengths, room: int, width: int | None = None, most: int | None = None) -> list[list[int]]:
+    """Undominated fillings of ``room``, least waste first; a single piece that fills it dominates all others.
+
+    Without ``width`` and ``most`` these are all of them. With them at most ``width`` lengths are
+    tried at a place and at most ``most`` maximal fillings are looked at.
     """
     one = have.below(room)
     if one == room or not one:
         return [[one] if one else []]
     out: list[tuple[int, list[int]]] = []
+    own: list[int] = []
+    seen = 0
 
-    def grow(left: int, own: list[int], level: int, cap: int) -> None:
+    def grow(left: int, cap: int) -> None:
+        nonlocal seen
         x, tried = have.below(min(left, cap)), 0
-        if not x or level >= depth:
-            rest = []
-            while x:
-                have.take(x)
-                rest.append(x)
-                left -= x
-                x = have.below(min(left, x))
-            for y in rest:
-                have.put(y)
-            out.append((left, own + rest))
-            return
-        while x and tried < width:
+        if not x:
+            seen += 1
+            if not dominated(have, own, left):
+                out.append((left, list(own)))
+        while x and (width is None or tried < width) and (most is None or seen < most):
             have.take(x)
-            grow(left - x, [*own, x], level + 1, x)
+            own.append(x)
+            grow(left - x, x)
+            own.pop()
             have.put(x)
-            if out and min(out)[0] == 0:
-                return
             tried += 1
             x = have.below(x - 1)
 
-    grow(room, [], 0, room)
+    grow(room, room)
+    if not out:  # all looked at are dominated: the bounds cut off those that dominate them
+        while one:
+            have.take(one)
+            own.append(one)
+            one = have.below(room - sum(own))
+        for x in own:
+            have.put(x)
+        return [own]
     out.sort(key=lambda f: (f[0], len(f[1])))
-    return [f for _, f in out[:width]]
+    return [f for _, f in out]
 
 
-def complete(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bins of lengths for counts by length. ``nodes`` times the pieces bounds the search."""
-    total = int((counts * np.arange(len(counts))).sum())
+def complete(counts: np.ndarray, capacity: int, exact: int = EXACT, width: int = WIDTH, most: int = MOST, nodes: int = NODES) -> list[list[int]]:
+    """Bins of lengths for counts by length, as few as possible for up to ``exact`` pieces.
+
+    For more pieces the search is bounded: ``width`` and ``most`` by bin, ``nodes`` bins tried a
+    piece in all; best fit decreasing stays the answer if that finds nothing better.
+    """
+    pieces, total = int(counts.sum()), int((counts * np.arange(len(counts))).sum())
     least = -(-total // capacity)
     incumbent = best_fit(counts, capacity)
     if len(incumbent) <= least:
         return incumbent
+    small = pieces <= exact
     have, bins, waste = Lengths(counts), [], 0
     stack: list[list[list[int]]] = []  # options left at each depth; bins holds those chosen
-    for _ in range(nodes * int(counts.sum()) + 100):
+    step = 0
+    while small or step < nodes * pieces:
+        step += 1
         big = have.below(capacity)
         options: list[list[int]] = []
         if waste <= (len(incumbent) - 1) * capacity - total:  # else no better packing is below
@@ -223,7 +263,7 @@ def complete(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[list
                     break
             else:
                 have.take(big)
-                options = [[big, *f] for f in reversed(fillings(have, capacity - big))]
+                options = [[big, *f] for f in reversed(fillings(have, capacity - big) if small else fillings(have, capacity - big, width, most))]
                 have.put(big)
         stack.append(options)
         while stack and not stack[-1]:

@@ -296,6 +296,37 @@ def test_bin_completion(lengths):
     assert len(bins) <= len(packing.best_fit(counts, 50))
 
 
+def fewest(lengths, capacity):
+    """Least number of bins: over subsets, fewest bins and then least fill of the last one."""
+    best = [(1, 0)] + [(len(lengths) + 1, 0)] * ((1 << len(lengths)) - 1)
+    for s in range(1, 1 << len(lengths)):
+        for i, x in enumerate(lengths):
+            if s >> i & 1:
+                k, fill = best[s ^ (1 << i)]
+                best[s] = min(best[s], (k, fill + x) if fill + x <= capacity else (k + 1, x))
+    return best[-1][0] if lengths else 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bin_completion_is_minimal(seed):
+    rng = random.Random(seed)
+    lists = [[27, 43, 26, 13, 30, 22, 32, 33, 36, 37]] if not seed else []
+    lists += [[rng.randint(1, rng.choice([30, 50, 70, 100])) for _ in range(rng.randint(1, 10))] for _ in range(150)]
+    for lengths in lists:
+        bins = packing.complete(np.bincount(lengths, minlength=101), 100)
+        assert Counter(x for b in bins for x in b) == Counter(lengths) and all(sum(b) <= 100 for b in bins)
+        assert len(bins) == fewest(lengths, 100), lengths
+
+
+def test_bounds_of_the_search_keep_the_packing_whole():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        lengths = rng.integers(1, 60, 300)
+        bins = packing.complete(np.bincount(lengths, minlength=101), 100)
+        assert Counter(x for b in bins for x in b) == Counter(lengths.tolist()) and all(sum(b) <= 100 for b in bins)
+        assert -(-int(lengths.sum()) // 100) <= len(bins) <= len(packing.best_fit(np.bincount(lengths, minlength=101), 100))
+
+
 def test_bin_completion_beats_best_fit():
     counts = np.bincount([6, 6, 5, 5, 5, 4, 3, 3, 2, 2, 2, 2, 3, 2], minlength=11)
     assert len(packing.complete(counts, 10)) == -(-int(sum(counts * np.arange(11))) // 10)
