@@ -2,9 +2,10 @@
 
 A text is the mean of the embeddings of its byte 3- and 4-grams (hashed into 2**BUCKETS rows); a
 linear layer and a softmax over it give the language. Both are trained together by stochastic
-gradient descent in numpy, inside one task, on a bounded sample of labelled rows. A temperature is
-fitted on rows kept out of the descent, and the rejection threshold is the confidence up to which,
-on those rows, fewer than half of the answers are right. As everything up to the softmax is linear, the
+gradient descent in numpy, inside one task, on a bounded sample of labelled rows. One more class stands
+for no known language: its rows are sample texts with their characters shuffled. On rows kept out of the
+descent a temperature is fitted, shuffled ones among them, and the rejection threshold: an answer needs
+the confidence ``ENOUGH``, or less if that would cost more than ``CLEAN_LOSS`` of the clean rows. As everything up to the softmax is linear, the
 trained model is one small table (bucket x language) that is broadcast and summed over texts.
 """
 
@@ -24,10 +25,12 @@ from shuttleplan.llm import wordhash as W
 BUCKETS, DIM, GRAMS = 15, 16, (3, 4)
 #: rows of the training sample at most, in expectation; shared evenly by the languages
 SAMPLE_ROWS = 6000
-#: languages learned at most, the most frequent ones
+#: languages that one model may have; more are refused
 MAX_LANGUAGES = 500
-#: rows that must back a rejection threshold
-MIN_POOR = 20
+#: share of clean calibration rows that the rejection threshold may cost at most; least confidence that is enough for any text
+CLEAN_LOSS, ENOUGH = 0.001, 0.5
+#: characters of a text that make a shuffled row of the training sample
+SHUFFLED = 4000
 UNKNOWN = "und"
 _letter = regex.compile(r"\p{L}")
 
@@ -92,17 +95,28 @@ def bags(texts: list[str], rng: np.random.Generator | None) -> list[tuple[np.nda
     return out
 
 
-def train(texts: list[str], langs: list[str], least: float = 0.5, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> dict:
-    """Fit the model; a fifth of the rows fits the temperature and the threshold."""
+def shuffled(text: str, rng: np.random.Generator) -> str:
+    """Its characters but white space in another order."""
+    chars = np.array(list(text))
+    at = np.flatnonzero([not c.isspace() for c in chars])
+    chars[at] = chars[rng.permutation(at)]
+    return "".join(chars)
+
+
+def train(texts: list[str], langs: list[str], enough: float = ENOUGH, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> dict:
+    """Fit the model; a fifth of the rows fits the temperature and the threshold. The last class is that of no language."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
-    y = np.array([names.index(x) for x in langs])
+    other = rng.permutation(len(texts))[: max(1, len(texts) // (2 * len(names) + 1))]
+    y = np.array([names.index(x) for x in langs] + [len(names)] * len(other))
+    texts = texts + [shuffled(texts[i][:SHUFFLED], rng) for i in other]
     turn = rng.permutation(len(texts))
     cut = max(1, len(texts) // 5) if len(texts) >= 10 else 0
     calib, fit = turn[:cut], turn[cut:]
     xs, ys = bags([texts[i] for i in fit], rng), np.repeat(y[fit], 3)
     emb = rng.normal(0, 0.1, (1 << BUCKETS, DIM)).astype(np.float32)
-    lin, bias = rng.normal(0, 0.1, (DIM, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
+    classes = len(names) + 1
+    lin, bias = rng.normal(0, 0.1, (DIM, classes)).astype(np.float32), np.zeros(classes, np.float32)
     step, steps = 0, max(1, epochs * len(xs))
     for _ in range(epochs):
         for i in rng.permutation(len(xs)):
@@ -118,20 +132,17 @@ def train(texts: list[str], langs: list[str], least: float = 0.5, epochs: int =
             lin -= lr * np.outer(mean, p)
             bias -= lr * p
             emb[b] -= (lr * 50) * np.outer(c, back)
-    table = np.vstack([emb @ lin, np.zeros((1, len(names)), np.float32)]).astype(np.float64)
+    table = np.vstack([emb @ lin, np.zeros((1, classes), np.float32)]).astype(np.float64)
     model = {"names": names, "table": table, "bias": bias.astype(np.float64), "temperature": 1.0, "threshold": 0.0}
     if len(calib):
         data, off = W.utf8(pa.array([texts[i] for i in calib]))
         raw = logits(W.LOWER[data], off, table, model["bias"])
         loss = lambda t: -np.log(np.maximum(softmax(raw / t)[np.arange(len(calib)), y[calib]], 1e-12)).mean()
         model["temperature"] = float(min(np.geomspace(0.1, 10, 60), key=loss))
-        p = softmax(raw / model["temperature"])
-        sure, right = p.max(axis=1), p.argmax(axis=1) == y[calib]
-        order = np.argsort(sure)
-        poor = np.flatnonzero(np.cumsum(right[order]) < least * np.arange(1, len(order) + 1))
-        poor = poor[poor >= MIN_POOR - 1]
-        if len(poor):  # up to here more are wrong than may be
-            model["threshold"] = float(np.nextafter(sure[order][poor[-1]], 2))
+        clean = y[calib] < len(names)
+        sure = softmax(raw[clean] / model["temperature"])[:, :-1].max(axis=1)
+        if len(sure):
+            model["threshold"] = float(min(enough, np.quantile(sure, CLEAN_LOSS, method="lower")))
     return model
 
 
@@ -152,14 +163,17 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
+def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> dict:
     """Train on a hash sample of the rows whose crc32(doc_id) mod 5 is not 0, about ``sample_rows``.
 
-    Rows without an id, a language or a text are not used. No usable rows: a model without languages.
+    The sample is shared evenly by the languages; more than ``max_languages`` are an error, none is left
+    out. Rows without an id, a language or a text are not used. No usable rows: a model without languages.
     """
     spark = docs.sparkSession
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().orderBy("lang").limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages, and sample_rows with it")
     rates = [F.lit(x) for r in counts for x in (r["lang"], -(-1_000_000 * min(r["count"], sample_rows // len(counts) + 1) // r["count"]))]
     rate = F.create_map(*rates)[F.col("lang")] if rates else F.lit(0)
     ticket = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000))
@@ -171,7 +185,7 @@ def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[2] for r in rows], [r[1] for r in rows]))], pa.binary())], names=["model"])
 
     got = sample.repartition(1).mapInArrow(W.tidied(fit), "model binary").collect()
-    return pickle.loads(bytes(got[0]["model"])) if got else {"names": [], "table": np.zeros(((1 << BUCKETS) + 1, 0)), "bias": np.zeros(0), "temperature": 1.0, "threshold": 0.0}
+    return pickle.loads(bytes(got[0]["model"])) if got else {"names": [], "table": np.zeros(((1 << BUCKETS) + 1, 1)), "bias": np.zeros(1), "temperature": 1.0, "threshold": 0.0}
 
 
 def predict_languages(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
@@ -193,7 +207,7 @@ def predict_languages(docs: DataFrame, model: dict, keep: list[str] | None = Non
             names, scores = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters))
             if m["names"]:
                 for i, j in W.runs(off):
-                    p = softmax(logits(data[off[i] : off[j]], off[i : j + 1] - off[i], m["table"], m["bias"]) / m["temperature"])
+                    p = softmax(logits(data[off[i] : off[j]], off[i : j + 1] - off[i], m["table"], m["bias"]) / m["temperature"])[:, :-1]
                     names[i:j], scores[i:j] = np.array(m["names"], object)[p.argmax(axis=1)], p.max(axis=1)
                 names[~letters], scores[~letters] = UNKNOWN, 0.0
             rejected = (names == UNKNOWN) | (scores < m["threshold"])

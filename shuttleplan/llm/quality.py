@@ -2,11 +2,12 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every document. Spark counts the vote
 patterns (3 to the number of labellers at most), and expectation-maximisation over the counts
-estimates each labeller's accuracy and the posterior of every pattern. The posteriors of a bounded
+estimates the classes (good, and several ways to be bad), each labeller's rates in them and the
+posterior of every pattern. The posteriors of a bounded
 hash sample train a hashed linear scorer by stochastic gradient descent; it scores every document.
 
-Toxic documents are written as fluently as others, so no form heuristic sees them. Their scorer is
-trained on a bounded sample of the labelled rows: log-odds of hashed words and word beginnings, of
+Toxic documents are written as fluently as others, so no form heuristic sees them. Their scorer stands
+apart from the classifier and gives columns of its own; it is trained on a bounded sample of the labelled rows: log-odds of hashed words and word beginnings, of
 which those that a sample backs by enough toxic and hardly any clean texts count.
 """
 
@@ -29,15 +30,30 @@ GOOD, BAD, NONE = 1, 0, 2
 #: per labeller: statistic, votes bad beyond the first value, good up to the second
 LABELLERS = (
     ("symbols", 0.3, 0.05), ("marked_words", 0.3, 0.05), ("marks", 0.12, 0.08), ("upper", 0.5, 0.25), ("upper_words", 0.5, 0.2),
-    ("same_word", 0.7, 0.55), ("same_pair", 0.4, 0.2), ("same_line", 0.5, 0.1), ("no_stop", 0.98, 0.95), ("short", 0.15, 0.03),
+    ("same_word", 0.5, 0.45), ("same_pair", 0.3, 0.2), ("same_line", 0.5, 0.1), ("no_stop", 0.7, 0.6), ("short", 0.15, 0.03),
 )
-#: a labeller calls hardly more good texts bad than this: the prior that keeps the classes apart
-MAX_FALSE_ALARMS = 0.003
+#: words and characters of an ordinary text that every share is weighed against, so that a few words prove little
+PRIOR_WORDS, PRIOR_CHARS = 20, 80
+#: a word or pair of words counts as repeated within so many words before it
+WORD_WINDOW, PAIR_WINDOW = 50, 100
 MIN_TOXIC_TEXTS, MIN_ODDS = 4, 3.5
 
 
+def repeats(h: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
+    """Whether the same hash stands within ``window`` places before, in the same document."""
+    out = np.zeros(len(h), bool)
+    order = np.lexsort((np.arange(len(h)), h, doc))
+    a, b = order[:-1], order[1:]
+    out[b] = (h[a] == h[b]) & (doc[a] == doc[b]) & (b - a <= window)
+    return out
+
+
 def statistics(w: W.Words) -> np.ndarray:
-    """Documents x labellers: shares that the labellers judge, 0 where there is nothing to judge."""
+    """Documents x labellers: shares that the labellers judge, 0 where there is nothing to judge.
+
+    All of them are rates over a text of any length; those that a few words move much are weighed
+    against PRIOR_WORDS words or PRIOR_CHARS characters of an ordinary text.
+    """
     docs, n, data = len(w.ptr) - 1, np.maximum(np.diff(w.ptr), 1), w.data
     words = np.diff(w.ptr)
 
@@ -46,39 +62,32 @@ def statistics(w: W.Words) -> np.ndarray:
         np.cumsum(flag, out=c[1:])
         return np.diff(c[w.off])
 
-    def distinct(h: np.ndarray, d: np.ndarray) -> np.ndarray:
-        order = np.lexsort((h, d))
-        h, d = h[order], d[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        return np.bincount(d[new], minlength=docs)
-
     upper, lower = count((data >= 65) & (data <= 90)), count((data >= 97) & (data <= 122))
     doc = w.doc
     at = np.flatnonzero(W.gram_starts(w.ptr, 2, len(w.h)))
     pairs = W.Sequences(w.h).of(at, at + 2) if len(at) else np.zeros(0, np.uint64)
-    pair_docs = np.bincount(doc[at], minlength=docs)
     raw = data.tobytes()
     same_line = np.zeros(docs)
     for d in range(docs):
         lines = [x for x in raw[w.off[d] : w.off[d + 1]].split(b"\n") if len(x) > 20]
         same_line[d] = 1 - len(set(lines)) / len(lines) if lines else 0
-    long = words >= 20
     noise = np.isin(data, np.frombuffer(b"#*$%&|<>!", np.uint8))
     ends = w.data[w.end - 1] if len(w.h) else np.zeros(0, np.uint8)
     alnum = ((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | (data >= 128)
-    solid = np.maximum(count(W.PLAIN[data]), 1)
+    solid = count(W.PLAIN[data])
     capital = (ends >= 65) & (ends <= 90) | (ends == 33)
+    stops = count(np.isin(data, np.frombuffer(b".?", np.uint8)))
+    some = words > 0
     return np.stack([
         count(noise) / n,
         np.bincount(doc, weights=np.isin(ends, np.frombuffer(b"#*$%&|<>!", np.uint8)), minlength=docs) / n,
-        np.where(solid >= 80, count(~alnum & W.PLAIN[data]) / solid, 0),  # a full stop weighs too much in short texts
+        (count(~alnum & W.PLAIN[data]) + 0.03 * PRIOR_CHARS) / (solid + PRIOR_CHARS) * some,
         np.where(upper + lower > 0, upper / np.maximum(upper + lower, 1), 0),
         np.bincount(doc, weights=capital, minlength=docs) / n,
-        np.where(long, 1 - distinct(w.h, doc) / n, 0) * np.where(words > 400, 0.6, 1),
-        np.where(long, 1 - distinct(pairs, doc[at]) / np.maximum(pair_docs, 1), 0),
+        (np.bincount(doc, weights=repeats(w.h, doc, WORD_WINDOW), minlength=docs) + 0.3 * PRIOR_WORDS) / (words + PRIOR_WORDS) * some,
+        (np.bincount(doc[at], weights=repeats(pairs, doc[at], PAIR_WINDOW), minlength=docs) + 0.05 * PRIOR_WORDS) / (words + PRIOR_WORDS) * some,
         same_line,
-        np.where(long, 1 - np.minimum(1, count(np.isin(data, np.frombuffer(b".?", np.uint8))) * 12 / n), 0),
+        np.maximum(0, 1 - (12 * stops + PRIOR_WORDS) / (words + PRIOR_WORDS)) * some,
         np.where(words < 1, 1.0, 0.0),
     ], axis=1)
 
@@ -97,26 +106,32 @@ def unpack(p: np.ndarray) -> np.ndarray:
 
 
 def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of good for each pattern, P(vote | class) as labeller x class x vote)."""
-    v = unpack(pattern)
-    good = np.where((v == BAD).any(axis=1), 0.1, 0.98)
-    table = np.zeros((len(LABELLERS), 2, 3))
+    """(posterior of good for each pattern, P(vote | class) as labeller x class x vote, classes bad and good).
+
+    There are several ways to be bad, one for each labeller at the start, and one to be good. All
+    their shares and all votes' rates are estimated; the rates given back pool the bad classes.
+    """
+    v, many = unpack(pattern), len(LABELLERS)
+    bad = v == BAD
+    weight = np.column_stack([bad / np.maximum(bad.sum(axis=1), 1)[:, None], ~bad.any(axis=1)]) * 0.9 + 0.1 / (many + 1)
+    weight /= weight.sum(axis=1, keepdims=True)
+    votes_of = [np.stack([v == x for x in (BAD, GOOD, NONE)], axis=2)[:, k] for k in range(many)]
     for _ in range(rounds):
-        weight = np.stack([(1 - good) * count, good * count])
-        for k in range(len(LABELLERS)):
-            for c in (0, 1):
-                t = np.bincount(v[:, k], weights=weight[c], minlength=3) + 0.5
-                table[k, c] = t / t.sum()
-            table[k, 1, BAD] = min(table[k, 1, BAD], MAX_FALSE_ALARMS)
-            table[k, 1] /= table[k, 1].sum()
-        prior = (weight.sum(axis=1) + 1) / (weight.sum() + 2)
-        log = np.log(prior)[:, None] + sum(np.log(table[k][:, v[:, k]]) for k in range(len(LABELLERS)))
-        new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
-        done = np.abs(new - good).max() < 1e-9 if len(good) else True
-        good = new
+        n = weight * count[:, None]
+        prior = (n.sum(axis=0) + 1) / (n.sum() + many + 1)
+        log = np.repeat(np.log(prior)[None, :], len(v), axis=0)
+        for k in range(many):
+            rate = n.T @ votes_of[k] + 0.5
+            log += votes_of[k] @ np.log(rate / rate.sum(axis=1, keepdims=True)).T
+        new = np.exp(log - log.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
+        done = np.abs(new - weight).max() < 1e-9 if len(v) else True
+        weight = new
         if done:
             break
-    return good, table
+    n = np.column_stack([weight[:, :-1].sum(axis=1), weight[:, -1]]) * count[:, None]
+    table = np.stack([n.T @ votes_of[k] + 0.5 for k in range(many)])
+    return weight[:, -1], table / table.sum(axis=2, keepdims=True)
 
 
 def features(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -258,10 +273,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 
 
 def score_quality(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, quality, toxicity, kept), one row for each row of ``docs``.
+    """(doc_id, quality, toxicity, kept, toxic, clean), one row for each row of ``docs``.
 
-    quality is the scorer's probability of good, toxicity the largest log-odds of a word (0: none);
-    kept: quality reaches the threshold and no word tells a toxic text. Text that is null or has no
+    quality is the scorer's probability of good; kept: it reaches the threshold. toxicity is the largest
+    log-odds of a word (0: none), toxic tells whether there is one; clean: kept and not toxic. Text that is null or has no
     word has quality 0. Without a trained scorer quality is 1 for others. Repeated rows score alike;
     no rows give no rows; other columns are ignored.
     """
@@ -282,7 +297,7 @@ def score_quality(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataF
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(W.tidied(score), f"doc_id {kind}, quality double, toxicity double")
-    return out.withColumn("kept", (F.col("quality") >= threshold) & (F.col("toxicity") == 0))
+    return out.withColumns({"kept": F.col("quality") >= threshold, "toxic": F.col("toxicity") > 0}).withColumn("clean", F.expr("kept and not toxic"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

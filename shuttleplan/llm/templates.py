@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from shuttleplan.functions.scratch import materialize
 from shuttleplan.llm import wordhash as W
 
-LEAD, SPANS, MIN_TOKENS = 4, 3, 4
+LEAD, SPANS, SALTS = 4, 3, 16
 #: (fixed tokens at least, documents at least) of a recurring template; the lowest two bits of a key hold the place here
 NEED = ((20, 2), (4, 5), (0, 20))
 FIXED = np.array([k for k, _ in NEED])
@@ -43,6 +43,15 @@ def _need(key: str, min_docs: int | None) -> Column:
     return F.element_at(F.array(*[F.lit(n) for _, n in NEED]), (F.col(key).bitwiseAND(F.lit(3)) + 1).cast("int"))
 
 
+def _salt(row: str) -> Column:
+    return F.pmod(F.col(row), F.lit(SALTS)).cast("int")
+
+
+def _salted(keys: DataFrame) -> DataFrame:
+    """One row for each salt: the lines of a hot leaf or template are joined in several tasks."""
+    return keys.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _cut_lines(batches: Iterator[pa.RecordBatch], min_tokens: int = 1) -> Iterator[pa.RecordBatch]:
     """(r, doc_id, line, leaf, templates) of every line with ``min_tokens`` tokens."""
     for batch in batches:
@@ -86,29 +95,28 @@ def _cut_lines(batches: Iterator[pa.RecordBatch], min_tokens: int = 1) -> Iterat
             yield pa.RecordBatch.from_arrays([r.take(at), ids.take(at), pa.array(line[s].astype(np.int32)), pa.array(leaf.view(np.int64)), lists], names=["r", "doc_id", "line", "leaf", "templates"])
 
 
-def drop_templates(docs: DataFrame, min_docs: int | None = None) -> DataFrame:
+def drop_templates(docs: DataFrame, min_docs: int | None = None, min_tokens: int = 1) -> DataFrame:
     """All columns of ``docs`` with ``text`` without recurring lines, plus n_lines and n_dropped.
 
     A line is dropped if one of its templates occurs in as many documents as NEED says for the tokens
     it fixes, and this document is not the first of them (least doc_id; a null doc_id comes last).
-    With ``min_docs`` that count holds for all templates instead, and lines below MIN_TOKENS tokens
-    stay. Lines are split at the newline character, those left are joined by it.
+    With ``min_docs`` that count holds for all templates instead; lines below ``min_tokens`` tokens stay. Lines are split at the newline character, those left are joined by it.
     Null text stays null with 0 lines. Equal rows (id and text) count as one document and are treated
     alike; no rows give no rows; columns named n_lines or n_dropped are replaced.
     """
     base = docs.drop("n_lines", "n_dropped")
     keyed = base.withColumn("_r", F.xxhash64("doc_id", "text"))
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
-    cut = partial(_cut_lines, min_tokens=1 if min_docs is None else MIN_TOKENS)
+    cut = partial(_cut_lines, min_tokens=min_tokens)
     found = keyed.select("_r", order.alias("doc_id"), "text").mapInArrow(W.tidied(cut), "r bigint, doc_id bigint, line int, leaf bigint, templates array<bigint>")
     lines = materialize(found)
     common = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= _need("leaf", min_docs)).select("leaf")
-    near = lines.join(common, "leaf").select("r", "doc_id", "line", F.explode(F.array_distinct("templates")).alias("t"))
+    near = lines.withColumn("s", _salt("r")).join(_salted(common), ["leaf", "s"]).select("r", "doc_id", "line", F.explode(F.array_distinct("templates")).alias("t"))
     near = materialize(near)
     recurring = near.groupBy("t", "r").agg(F.min("doc_id").alias("doc_id")).groupBy("t").agg(F.count("*").alias("docs"), F.min("doc_id").alias("d"))
     recurring = recurring.where(F.col("docs") >= _need("t", min_docs))
     lead = near.join(recurring.select("t", F.col("d").alias("doc_id")), ["t", "doc_id"], "left_semi").groupBy("t").agg(F.min("r").alias("lead"))
-    gone = near.join(recurring.select("t").join(lead, "t"), "t").where("r <> lead").groupBy(F.col("r").alias("_r")).agg(F.collect_set("line").alias("_gone"))
+    gone = near.withColumn("s", _salt("r")).join(_salted(recurring.select("t").join(lead, "t")), ["t", "s"]).where("r <> lead").groupBy(F.col("r").alias("_r")).agg(F.collect_set("line").alias("_gone"))
     out = keyed.join(gone, "_r", "left")
     parts = F.split("text", "\n", -1)
     kept = F.filter(parts, lambda x, i: ~F.array_contains("_gone", i))
