@@ -14,7 +14,7 @@ from shuttleplan.llm import decontaminate, language, neardup, packing, templates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with enough confidence; lang becomes the predicted one."""
+    """Documents whose language is told with enough confidence; lang becomes the predicted one. Null text and text without a letter go."""
     named = language.predict_languages(docs, language.fit_languages(docs), keep=[*docs.columns])
     return named.where("not rejected").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
@@ -29,20 +29,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of every group of near duplicates; those without an id stay."""
-    found = neardup.near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    """The document with the least doc_id of every group of near duplicates (five words, 0.8 or more); those without an id stay."""
+    found = neardup.near_duplicates(docs, 5, 4, 5).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark items do not contaminate."""
+    """Documents that benchmark items do not contaminate; null text and ids stay, rows that repeat are judged alike."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(docs, items, keep=[*docs.columns]).withColumn("n_hit", decontaminate.n_hit())
     return found.where(~decontaminate.contaminated()).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place."""
+    """Pieces of documents with their sequence and place; null text is an empty document, repeated rows and ids are packed as often."""
     return packing.pack_documents(docs, packing.vocabulary_path())
 
 
