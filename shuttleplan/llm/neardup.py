@@ -5,18 +5,20 @@ set is the frequency level of its bucket in the top byte and 56 bits of its hash
 one global order, rarest first. A set is the path of its elements in that order.
 
 Partitions. Sets with similarity t at least share an element among the first n - ceil(t n) + 1 of both, so
-no link is lost if each set goes to the partitions of those elements. As they are the rarest ones, most
-partitions hold one set and are left out; the others stay small, hot elements standing last on every path.
-Identical partitions are joined once.
+no link is lost if each set goes to the partitions of those elements, with its size and the element's
+place: of the first element that two linked sets share, as many as they need must be left in both. As
+the elements are the rarest ones, most partitions hold one set and are left out; the others stay small,
+hot elements standing last on every path.
 
 Join. The sets of a partition are stored in a prefix tree (in lexicographic order of paths, which walks it
 depth first) and a pivot's set is run through it: overlap along a shared path is counted once, and a subtree
 is left as soon as the overlap so far plus what may remain cannot reach the threshold. The least set of a
 partition is its first pivot, so work is linear in a family of copies, and large trees are split (``TREE``).
 
-Components. Linked sets are united. A partition whose sets ended in different components elects another pivot
-from outside the first component, round after round while that finds links; then what is still apart goes
-through the trees too, block by block, where sizes and a parity sketch of the sets do not rule a link out.
+Components. Linked sets are united. A large partition whose sets ended in different components elects another
+pivot from outside the first component, for a few rounds; then all that is still apart in any partition goes
+through the trees too, where sizes, places and a parity sketch of the sets do not rule a link out. Those pairs
+are found in cells of bounded size (``CELL``); a partition beyond ``BLOCK`` sets is cut into pairs of blocks.
 All pairs of different texts that link are therefore united, directly or through others.
 """
 
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shuttleplan.functions.scratch import materialize
@@ -39,8 +41,10 @@ SKETCH = 256
 BITS = [f"s{i}" for i in range(SKETCH // 64)]
 #: members of a pivot in one tree
 TREE = 256
-#: rounds that elect further pivots; sets of a partition in one block of pairs; buckets of the global order (binary logarithm) at most
-ROUNDS, BLOCK, MAX_BITS = 4, 2048, 22
+#: rounds that elect further pivots in partitions of more than LARGE sets; buckets of the global order (binary logarithm) at most
+ROUNDS, LARGE, MAX_BITS = 2, 32, 22
+#: sets of a partition in one block; rows of one cell; pairs looked at at once in a cell
+BLOCK, CELL, PAIRS = 4096, 200_000, 1 << 20
 
 
 class Threshold:
@@ -138,7 +142,7 @@ def _tally(gram: int, bits: int):
 
 
 def _prefixes(gram: int, t: Threshold, order: bytes):
-    """(e, doc_id, f) for the prefix elements of every set, f telling sets apart; equal sets of a batch send once."""
+    """(e, doc_id, f, n, at) for the prefix elements of every set: f tells sets apart, n elements, e at that place; equal sets of a batch send once."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(order, np.uint8)
@@ -152,8 +156,9 @@ def _prefixes(gram: int, t: Threshold, order: bytes):
                 lead[rank] = np.concatenate(([True], f[rank][1:] != f[rank][:-1]))
                 much = np.where(lead, t.prefix(size), 0)
                 doc = np.repeat(np.arange(len(size)), much)
-                at = np.arange(len(doc)) - np.repeat(np.cumsum(much) - much, much) + ptr[:-1][doc]
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[i + doc]), pa.array(f[doc])], names=["e", "doc_id", "f"])
+                at = np.arange(len(doc)) - np.repeat(np.cumsum(much) - much, much)
+                e = h[at + ptr[:-1][doc]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (e, ids[i + doc], f[doc], size[doc].astype(np.int32), at.astype(np.int32))], names=["e", "doc_id", "f", "n", "at"])
 
     return send
 
@@ -212,24 +217,35 @@ def _walk(gram: int, t: Threshold, order: bytes):
     return walk
 
 
-def _rest(t: Threshold):
-    """Pairs of sets of two blocks of a partition, of different components, that may link."""
-
-    def rest(table: pa.Table) -> pa.Table:
-        x, c, n, i = (table[k].to_numpy() for k in ("x", "c", "n", "i"))
-        bits = np.stack([table[k].to_numpy() for k in BITS], axis=1)
-        low, high = np.flatnonzero(i == table["lo"][0].as_py()), np.flatnonzero(i == table["hi"][0].as_py())
-        a, b = [], []
-        for u in low:
-            k = high[c[high] != c[u]]
-            k = k[t.den * np.minimum(n[k], n[u]) >= t.num * np.maximum(n[k], n[u])]
-            k = k[np.bitwise_count(bits[k] ^ bits[u]).sum(axis=1) <= t.apart(n[k] + n[u])]
-            a.append(np.minimum(x[k], x[u]))
-            b.append(np.maximum(x[k], x[u]))
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"p": a, "x": b})
-
-    return rest
+def _apart(t: Threshold):
+    """Pairs of a cell's sets that share a partition and may link, from different components."""
+
+    def apart(table: pa.Table) -> pa.Table:
+        x, c, n, at, e, lo, hi, own = (table[k].to_numpy() for k in ("x", "c", "n", "at", "e", "lo", "hi", "own"))
+        order = np.lexsort((n, hi, lo, e))
+        x, c, n, at, own = (v[order] for v in (x, c, n.astype(np.int64), at.astype(np.int64), own))
+        key = np.stack([v[order] for v in (e, lo, hi)])
+        bits = np.stack([table[k].to_numpy()[order].view(np.uint64) for k in BITS], axis=1)  # counting bits takes the absolute value of signed numbers
+        group = np.concatenate(([0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0)))) if len(x) else np.zeros(0, np.int64)
+        across = (key[1] != key[2]) if len(x) else np.zeros(0, bool)
+        # sorted by size in a partition, the sets that are not too large for one follow it
+        many = np.searchsorted((group << 40) + n, (group << 40) + n * t.den // t.num, "right") - np.arange(len(x)) - 1
+        ends, found, i = np.cumsum(many), [np.zeros((0, 2), np.int64)], 0
+        while i < len(x):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+            u = np.repeat(np.arange(i, j), many[i:j])
+            v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(many[i:j]) - many[i:j], many[i:j])
+            need = -(-t.num * (n[u] + n[v]) // (t.num + t.den))
+            ok = (c[u] != c[v]) & (np.minimum(n[u] - at[u], n[v] - at[v]) >= need) & (~across[u] | (own[u] != own[v]))
+            u, v = u[ok], v[ok]
+            ok = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1) <= t.apart(n[u] + n[v])
+            u, v = x[u[ok]], x[v[ok]]
+            found.append(np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0))
+            i = j
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"p": out[:, 0], "x": out[:, 1]})
+
+    return apart
 
 
 class Join:
@@ -257,16 +273,20 @@ class Join:
 
     def candidates(self) -> DataFrame:
         """(p, x, w): edges from the sets of a partition to its least one, between representatives; the partitions are kept beside."""
-        sent = self.docs.where("doc_id is not null").mapInArrow(W.tidied(_prefixes(self.gram, self.t, self.order)), "e bigint, doc_id bigint, f bigint")
+        sent = self.docs.where("doc_id is not null").mapInArrow(W.tidied(_prefixes(self.gram, self.t, self.order)), "e bigint, doc_id bigint, f bigint, n int, at int")
         sent = materialize(sent)
         shared = sent.groupBy("e").agg(F.min("f").alias("low"), F.max("f").alias("high")).where("low <> high").select("e")
         rep_of = self.sets.where("n > 0").join(self.groups, ["n", "f", "g"]).select("doc_id", "rep").distinct()
-        own = materialize(sent.join(shared, "e").select("e", "doc_id").join(rep_of, "doc_id").select("e", F.col("rep").alias("x")).distinct())
-        # the hash of a partition's sets is its name, so that equal partitions are one; those whose names collide merge, which loses nothing
-        parts = own.groupBy("e").agg(F.min("x").alias("p"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(x))").alias("g")).where("m > 1")
-        stars = materialize(own.join(parts, "e").where("x <> p").groupBy("g", "p", "x", "m").agg(F.count("*").alias("w")))
-        self.stars = stars.where("m > 2").select("g", "p", "x")
-        return self.possible(stars.groupBy("p", "x").agg(F.sum("w").alias("w")))
+        self.parts = materialize(sent.join(shared, "e").select("e", "doc_id", "n", "at").join(rep_of, "doc_id").select("e", F.col("rep").alias("x"), "n", "at").distinct())
+        firsts = self.parts.groupBy("e").agg(F.min(F.struct("x", "n", "at")).alias("u"))
+        edges = self.parts.join(firsts, "e").where("x <> u.x").where(self._meet("u.n", "u.at", "n", "at"))
+        return self.possible(edges.groupBy(F.least("u.x", "x").alias("p"), F.greatest("u.x", "x").alias("x")).agg(F.count("*").alias("w")))
+
+    def _meet(self, n: str, at: str, m: str, to: str) -> Column:
+        """Sets of n and m elements may link if these places hold the first element that they share."""
+        t = self.t
+        left, total = F.least(F.col(n) - F.col(at), F.col(m) - F.col(to)), F.col(n) + F.col(m)
+        return (t.den * F.least(n, m) >= t.num * F.greatest(n, m)) & ((t.num + t.den) * left.cast("bigint") >= t.num * total)
 
     def possible(self, edges: DataFrame) -> DataFrame:
         """Edges that sizes and sketches do not rule out: sketches differ in no more bits than sets in elements."""
@@ -298,7 +318,7 @@ class Join:
             seen, comp, found = self._grown(self._elected(seen, comp, k), seen, comp)
             if not found:
                 break
-        return self._grown(self._between(seen, comp), seen, comp)[1]
+        return self._grown(self._rest(seen, comp), seen, comp)[1]
 
     def _grown(self, pairs: DataFrame, seen: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
         """What is seen and united once these pairs are verified, and whether any of them links."""
@@ -317,26 +337,28 @@ class Join:
         out = edges.join(comp.select(F.col("node").alias("p"), F.col("component").alias("cp")), "p", "left").join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left")
         return out.withColumns({"cp": F.coalesce("cp", "p"), "c": F.coalesce("c", "x")}).where("cp <> c")
 
-    def _mixed(self, comp: DataFrame) -> DataFrame:
-        """(g, x, c, m, least): sets of partitions of three and more that are not all in one component."""
-        own = self.stars.select("g", "x").union(self.stars.select("g", "p")).distinct()
-        own = own.join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
-        apart = own.groupBy("g").agg(F.count("*").alias("m"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most and m > 2")
-        return materialize(own.join(apart.drop("most"), "g").select("g", "x", "c", "m", "least"))
+    def _mixed(self, comp: DataFrame, more: int = 2) -> DataFrame:
+        """(e, x, n, at, c, m, least): sets of partitions of more than so many that are not all in one component."""
+        own = self.parts.join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
+        apart = own.groupBy("e").agg(F.count("*").alias("m"), F.min("c").alias("least"), F.max("c").alias("most")).where(f"least < most and m > {more}")
+        return materialize(own.join(apart.drop("most"), "e"))
 
     def _elected(self, seen: DataFrame, comp: DataFrame, k: int) -> DataFrame:
-        """Edges from every mixed partition's sets to one from outside its first component, drawn anew in each round."""
+        """Edges from the sets of every large mixed partition to one from outside its first component, drawn anew in each round."""
+        own = self._mixed(comp, LARGE)
+        draw = own.where("c <> least").groupBy("e").agg(F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("h"), "x", "c", "n", "at")).alias("u"))
+        pairs = own.join(draw, "e").where("c <> u.c").where(self._meet("u.n", "u.at", "n", "at"))
+        return self.possible(pairs.select(F.least("x", "u.x").alias("p"), F.greatest("x", "u.x").alias("x")).distinct()).join(seen, ["p", "x"], "left_anti")
+
+    def _rest(self, seen: DataFrame, comp: DataFrame) -> DataFrame:
+        """Pairs of sets that share any mixed partition and may link."""
         own = self._mixed(comp)
-        draw = own.where("c <> least").groupBy("g").agg(F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("h"), "x", "c")).alias("u"))
-        pairs = own.join(draw, "g").where("c <> u.c").select(F.least("x", "u.x").alias("p"), F.greatest("x", "u.x").alias("x")).distinct()
-        return self.possible(pairs).join(seen, ["p", "x"], "left_anti")
-
-    def _between(self, seen: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs of sets of one mixed partition that may link, block by block."""
-        own = self._mixed(comp).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-        own = own.withColumn("i", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = own.join(self.reps.select(F.col("doc_id").alias("x"), "n", *BITS), "x").select("g", F.least("i", "o").alias("lo"), F.greatest("i", "o").alias("hi"), "x", "c", "i", "n", *BITS)
-        pairs = rows.groupBy("g", "lo", "hi").applyInArrow(_rest(self.t), "p bigint, x bigint").distinct()
+        cells = -(-own.count() // CELL) or 1
+        own = own.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        own = own.withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = own.join(self.reps.select(F.col("doc_id").alias("x"), *BITS), "x").select("e", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "own", "x", "c", "n", "at", *BITS)
+        cell = F.pmod(F.xxhash64("e", "lo", "hi"), F.lit(cells))
+        pairs = rows.withColumn("cell", cell).groupBy("cell").applyInArrow(_apart(self.t), "p bigint, x bigint").distinct()
         return pairs.join(seen, ["p", "x"], "left_anti")
 
 

@@ -190,15 +190,15 @@ def shadowed(seed=3, families=12):
     return [(i, " ".join(ws)) for i, ws in enumerate(first + later)]
 
 
-@pytest.mark.parametrize(("rounds", "block"), [(4, 2048), (0, 2), (0, 2048), (1, 3)])
-def test_links_behind_an_unlike_pivot(spark, rounds, block, monkeypatch):
-    """However few rounds elect pivots and however partitions are cut into blocks."""
-    monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+@pytest.mark.parametrize(("rounds", "block", "cell"), [(2, 4096, 200_000), (0, 2, 50), (3, 3, 200_000)])
+def test_links_behind_an_unlike_pivot(spark, rounds, block, cell, monkeypatch):
+    """However few rounds elect pivots and however partitions are cut into blocks and cells."""
+    for name, value in (("BLOCK", block), ("ROUNDS", rounds), ("CELL", cell), ("LARGE", 2), ("PAIRS", block)):
+        monkeypatch.setattr(neardup, name, value)
     rows = [*shadowed(), *[(i + 1000, t) for i, t in chains(3)]]
     join = neardup.Join(frame(spark, rows))
     join.candidates()
-    firsts = {r.p for r in join.stars.collect()}
+    firsts = {r.x for r in join.parts.groupBy("e").agg(F.min("x").alias("x"), F.count("*").alias("m")).where("m > 2").collect()}
     assert min(firsts) < 12  # an unlike document is the pivot of a partition
     got = neardup.near_duplicates(frame(spark, rows))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == Counter(groups(rows))
