@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from shuttleplan.functions.geo import distance, in_polygon, same_point, travel_time, with_corridor
 from shuttleplan.functions.scratch import materialize
+from shuttleplan.operators.spatial import nearest_n
 
 PLANT = 0
 
@@ -20,12 +21,10 @@ def _pairs(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys)
 
 
-def _nearest(pairs: DataFrame, n: int | None, keys: list[str]) -> DataFrame:
-    """Per source all targets, or ranks 2 to n + 1: the nearest one is taken for the source itself."""
-    if n is None:
-        return pairs
-    order = Window.partitionBy(*keys, "src").orderBy("dist_est", "dst")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank").between(2, n + 1))
+def _nearest(sources: DataFrame, nodes: DataFrame, n: int, keys: list[str], accept=None) -> DataFrame:
+    """Ranks 2 to n + 1: the nearest one is taken for the source itself."""
+    found = nearest_n(sources, nodes.select(*keys, F.col("node_id").alias("dst"), "lat", "lon"), n + 1, keys, "src", "dst", accept)
+    return found.where("rank > 1")
 
 
 def _with_plant(edges: DataFrame, nodes: DataFrame, n: int, keys: list[str], plants: DataFrame) -> DataFrame:
@@ -45,14 +44,16 @@ def candidate_edges(nodes: DataFrame, n: int | None = 8, strategy: str = "full",
 
     full: the nearest nodes; wide and narrow: of those inside a corridor from the source to the plant
     (10 m beyond the ends and as wide as the distance to the plant; 100 m and a sixth of it), and the
-    plant has one edge of length 0 to itself. Equal distances go by node id.
+    plant has one edge of length 0 to itself. Equal distances go by node id. With ``n`` the search grows
+    from near cells, with None all pairs are the result. Nodes without coordinates have no edges.
     """
     keys = keys or ["scenario_id"]
     plants = nodes.where(F.col("node_id") == PLANT).select(*keys, F.col("lat").alias("plant_lat"), F.col("lon").alias("plant_lon"))
-    pairs = _pairs(nodes, keys)
     d = distance("lat1", "lon1", "lat2", "lon2")
-    if strategy == "full":
-        edges = _nearest(pairs.withColumn("dist_est", d), n, keys)
+    if strategy == "full" and n is None:
+        edges = _pairs(nodes, keys).withColumn("dist_est", d)
+    elif strategy == "full":
+        edges = _nearest(nodes.select(*keys, F.col("node_id").alias("src"), "lat", "lon"), nodes, n, keys)
     else:
         delta, share = {"wide": (10.0, 1.0), "narrow": (100.0, 6.0)}[strategy]
         to_plant = nodes.select(*keys, F.col("node_id").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).join(plants, keys)
@@ -63,9 +64,14 @@ def candidate_edges(nodes: DataFrame, n: int | None = 8, strategy: str = "full",
         # the corridor's box goes before the polygon test
         lat, lon = F.transform("area", lambda p: p["lat"]), F.transform("area", lambda p: p["lon"])
         area = area.where("not at_plant").select(*keys, "src", "lat1", "lon1", "area", F.array_min(lat).alias("s"), F.array_max(lat).alias("n"), F.array_min(lon).alias("w"), F.array_max(lon).alias("e"))
-        b = nodes.select(*keys, F.col("node_id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-        inside = area.join(b, keys).where("lat2 between s - 1e-4 and n + 1e-4 and lon2 between w - 1e-4 and e + 1e-4").where(in_polygon("lat2", "lon2", "area", edges=6))
-        edges = _nearest(inside.withColumn("dist_est", d), n, keys)
+        box = "{0} between s - 1e-4 and n + 1e-4 and {1} between w - 1e-4 and e + 1e-4"
+        if n is None:
+            b = nodes.select(*keys, F.col("node_id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+            edges = area.join(b, keys).where(box.format("lat2", "lon2")).where(in_polygon("lat2", "lon2", "area", edges=6)).withColumn("dist_est", d)
+        else:
+            reach = F.array_max(F.transform("area", lambda p: distance("lat1", "lon1", p["lat"], p["lon"]))) * 1.05 + 100
+            sources = area.withColumn("reach", reach).withColumnsRenamed({"lat1": "lat", "lon1": "lon"})
+            edges = _nearest(sources, nodes, n, keys, lambda: F.expr(box.format("_lat", "_lon")) & in_polygon("_lat", "_lon", "area", edges=6))
     if include_dest and n is not None:
         edges = _with_plant(edges, nodes, n, keys, plants)
     edges = edges.select(*keys, "src", "dst", "dist_est")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from math import degrees
+from collections.abc import Callable
+from math import degrees, pi, radians, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shuttleplan.functions.geo import EARTH_RADIUS_SEARCH, distance, squared_degrees
+from shuttleplan.functions.scratch import materialize
 
 
 def _height(radius: float) -> float:
@@ -64,15 +67,65 @@ def near_any(points: DataFrame, probes: DataFrame, radius: float, keys: list[str
     return points.join(near, [*keys, point_id], "left_anti" if negated else "left_semi")
 
 
+def nearest_n(sources: DataFrame, points: DataFrame, n: int, keys: list[str], source_id: str, point_id: str, accept: Callable[[], Column] | None = None) -> DataFrame:
+    """(keys, source_id, point_id, dist_est, rank): the n nearest points of every source, by distance and then id.
+
+    Both have ``keys``, their id, lat, lon; ids are unique per key. ``accept`` may restrict the pairs by the
+    sources' other columns and the point's ``_lat``, ``_lon``; a column ``reach`` of the sources then tells
+    the metres beyond which nothing is accepted. The radius of a join on grid cells doubles until every
+    source has its n, all points of its key, or its reach; each round takes only the sources that lack some.
+    A null coordinate pairs with nothing; points of a key without a source and sources without a point go.
+    """
+    spots = points.select(*keys, F.col(point_id).alias("_b"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).where("_lat is not null and _lon is not null")
+    totals = spots.groupBy(*keys).agg(F.count("*").alias("_total"), F.min("_lat").alias("s"), F.max("_lat").alias("n"), F.min("_lon").alias("w"), F.max("_lon").alias("e"))
+    totals = materialize(totals)
+    share = totals.agg(F.min((F.col("n") - F.col("s") + 1e-6) * (F.col("e") - F.col("w") + 1e-6) / F.col("_total"))).first()[0]
+    # the side of an area that holds one point on average, and n times that
+    radius = max(1.0, sqrt((share or 1.0) * (n + 1) / pi) * radians(1) * EARTH_RADIUS_SEARCH)
+    plain = sources.withColumn("_a", F.col(source_id)).where("lat is not null and lon is not null").join(totals.select(*keys, "_total"), keys)
+    if "reach" not in sources.columns:
+        plain = plain.withColumn("reach", F.lit(float("inf")))
+    left, done = materialize(plain), None
+    while True:
+        cells = with_cell(spots.withColumnsRenamed({"_lat": "lat", "_lon": "lon"}), radius).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
+        pairs = with_near_cells(left, radius).join(cells, [*keys, "_row", "_col"]).where(distance("lat", "lon", "_lat", "_lon", EARTH_RADIUS_SEARCH) <= radius)
+        pairs = (pairs.where(accept()) if accept else pairs).withColumn("dist_est", distance("lat", "lon", "_lat", "_lon"))
+        rank = F.row_number().over(Window.partitionBy(*keys, "_a").orderBy("dist_est", "_b"))
+        found = materialize(pairs.withColumn("rank", rank).where(F.col("rank") <= n).select(*keys, "_a", "_b", "dist_est", "rank"))
+        have = left.join(found.groupBy(*keys, "_a").agg(F.count("*").alias("_m")), [*keys, "_a"], "left")
+        enough = (F.coalesce("_m", F.lit(0)) >= F.least(F.lit(n), "_total")) | (F.col("reach") <= radius) | F.lit(radius > pi * EARTH_RADIUS_SEARCH)
+        left = materialize(have.where(~enough).drop("_m"))
+        found = found.join(left.select(*keys, "_a"), [*keys, "_a"], "left_anti")
+        done = found if done is None else done.unionByName(found)
+        if left.isEmpty():
+            return done.select(*keys, F.col("_a").alias(source_id), F.col("_b").alias(point_id), "dist_est", "rank")
+        radius *= 2
+
+
 def nearest_probe(points: DataFrame, probes: DataFrame, keys: list[str], point_id: str, probe_id: str) -> DataFrame:
     """For every probe, the point with the least squared degree distance; the least id on ties.
 
-    An equi-join on the keys and an aggregate that combines before its shuffle.
+    Square cells in degrees, joined to the nine around a probe, doubling until a point lies within one
+    side of every probe. Probes without a point of their key, or without coordinates, go.
     """
-    a = points.select(*keys, F.col(point_id).alias("_a"), "lat", "lon")
-    b = probes.select(*keys, F.col(probe_id).alias("_b"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    d2 = squared_degrees("lat", "lon", "_lat", "_lon")
-    return a.join(b, keys).groupBy(*keys, F.col("_b").alias(probe_id)).agg(F.min(F.struct(d2.alias("d2"), F.col("_a").alias(point_id))).alias("m")).select(*keys, probe_id, f"m.{point_id}", "m.d2")
+    a = points.select(*keys, F.col(point_id).alias("_a"), "lat", "lon").where("lat is not null and lon is not null")
+    b = probes.select(*keys, F.col(probe_id).alias("_b"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).where("_lat is not null and _lon is not null")
+    totals = materialize(a.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("lat") - F.min("lat")).alias("h"), (F.max("lon") - F.min("lon")).alias("w")))
+    share = totals.agg(F.min((F.col("h") + 1e-6) * (F.col("w") + 1e-6) / F.col("n"))).first()[0]
+    side, left, done = sqrt(share or 1.0) * 2, materialize(b.join(totals.select(*keys), keys, "left_semi")), None
+    while True:
+        steps = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+        near = left.withColumn("_o", steps).withColumn("_row", F.floor(F.col("_lat") / side) + F.col("_o"))
+        near = near.withColumn("_o", steps).withColumn("_col", F.floor(F.col("_lon") / side) + F.col("_o"))
+        cells = a.withColumns({"_row": F.floor(F.col("lat") / side), "_col": F.floor(F.col("lon") / side)})
+        d2 = squared_degrees("lat", "lon", "_lat", "_lon")
+        found = near.join(cells, [*keys, "_row", "_col"]).groupBy(*keys, "_b").agg(F.min(F.struct(d2.alias("d2"), F.col("_a").alias(point_id))).alias("m"))
+        found = materialize(found.where(F.col("m.d2") <= side * side))
+        done = found if done is None else done.unionByName(found)
+        left = materialize(left.join(found, [*keys, "_b"], "left_anti"))
+        if left.isEmpty():
+            return done.select(*keys, F.col("_b").alias(probe_id), f"m.{point_id}", "m.d2")
+        side *= 2
 
 
 def covered_split(points: DataFrame, assignments: DataFrame, keys: list[str], point_id: str) -> tuple[DataFrame, DataFrame]:
