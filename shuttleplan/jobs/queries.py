@@ -341,12 +341,12 @@ def _(spark, sf):
     return routes.segments(tours(n), links(n), KEY).select("scenario_id", "tour_id", "pos", "src", "dst", "dur_road")
 
 
-ANTS = "ants as (select scenario_id, node_id as ant_id, node_id as current from nodes where node_id > 0 and node_id % 3 = 0), visited as (select scenario_id, ant_id, unnest([current, current - 25]) as node_id from ants where ant_id % 2 = 0 union all select scenario_id, ant_id, current from ants where ant_id % 2 = 1), avoided as (select scenario_id, node_id from nodes where node_id % 10 = 7)"
+ANTS = "ants as (select scenario_id, node_id as ant_id, node_id as current from nodes where node_id > 0), visited as (select scenario_id, ant_id, unnest([current, current - 25]) as node_id from ants where ant_id % 2 = 0 union all select scenario_id, ant_id, current from ants where ant_id % 2 = 1), avoided as (select scenario_id, node_id from nodes where node_id % 10 = 7)"
 HOOD = "hood as (select a.scenario_id, a.ant_id, a.current, l.dst, l.dur_road from ants a join links l on l.scenario_id = a.scenario_id and l.src = a.current where not exists (select 1 from visited v where v.scenario_id = a.scenario_id and v.ant_id = a.ant_id and v.node_id = l.dst) and not exists (select 1 from avoided d where d.scenario_id = a.scenario_id and d.node_id = l.dst))"
 
 
 def hood(nodes):
-    ants = nodes.where("node_id > 0 and node_id % 3 = 0").select("scenario_id", F.col("node_id").alias("ant_id"), F.col("node_id").alias("current"))
+    ants = nodes.where("node_id > 0").select("scenario_id", F.col("node_id").alias("ant_id"), F.col("node_id").alias("current"))
     seen = F.when(F.col("ant_id") % 2 == 0, F.array("current", F.col("current") - 25)).otherwise(F.array("current"))
     visited = ants.select("scenario_id", "ant_id", F.explode(seen).alias("node_id"))
     return routes.neighbourhood(ants, links(nodes), visited, nodes.where("node_id % 10 = 7"), KEY)
@@ -570,16 +570,16 @@ def _(spark, sf):
 # --- set operations ------------------------------------------------------------------------------
 
 
-@query("s1_stops_and_centres", f"{ctes('geo_points', 'stops')}, {TOWNED}, every as (select scenario_id, 0 as source, stop_id as source_id, lat, lon from stops where stop_id % 10 = 0 union all select scenario_id, 1, cluster_id, avg(lat), avg(lon) from clustered where cluster_id is not null group by scenario_id, cluster_id) select scenario_id, source, source_id, round(lat, 9) as lat, round(lon, 9) as lon, row_number() over (partition by scenario_id order by source, source_id) as stop_no from every")
+@query("s1_stops_and_centres", f"{ctes('geo_points', 'stops')}, {TOWNED}, every as (select scenario_id, 0 as source, stop_id as source_id, lat, lon from stops union all select scenario_id, 1, cluster_id, avg(lat), avg(lon) from clustered where cluster_id is not null group by scenario_id, cluster_id) select scenario_id, source, source_id, round(lat, 9) as lat, round(lon, 9) as lon, row_number() over (partition by scenario_id order by source, source_id) as stop_no from every")
 def _(spark, sf):
-    out = stops.stops_and_centres(view(spark, sf, "stops").where("stop_id % 10 = 0"), cluster.centres(towns(spark, sf), KEY))
+    out = stops.stops_and_centres(view(spark, sf, "stops"), cluster.centres(towns(spark, sf), KEY))
     return out.withColumns({"lat": r("lat", 9), "lon": r("lon", 9)})
 
 
 @query("s3_unvisited", f"{NODES}, {STEPS}, {ANTS} select a.scenario_id, a.ant_id, l.dst from ants a join links l on l.scenario_id = a.scenario_id and l.src = a.current where l.dst not in (select node_id from visited v where v.scenario_id = a.scenario_id and v.ant_id = a.ant_id)")
 def _(spark, sf):
     n = view(spark, sf, "nodes")
-    ants = n.where("node_id > 0 and node_id % 3 = 0").select("scenario_id", F.col("node_id").alias("ant_id"), F.col("node_id").alias("current"))
+    ants = n.where("node_id > 0").select("scenario_id", F.col("node_id").alias("ant_id"), F.col("node_id").alias("current"))
     seen = F.when(F.col("ant_id") % 2 == 0, F.array("current", F.col("current") - 25)).otherwise(F.array("current"))
     return routes.neighbourhood(ants, links(n), ants.select("scenario_id", "ant_id", F.explode(seen).alias("node_id")), None, KEY).select("scenario_id", "ant_id", "dst")
 
@@ -993,7 +993,7 @@ def _(spark, sf):
 
 @query("s2_clusters_of_two_radii")
 def _(spark, sf):
-    return cluster.sweep(cluster_points(spark, sf), 1000, 4, KEY, iterations=2).where("cluster_id is not null").select("point_id", "cluster_id")
+    return cluster.sweep(cluster_points(spark, sf), 1000, 4, KEY, iterations=10).where("cluster_id is not null").select("point_id", "cluster_id")
 
 
 @query("k4_proposed_stops")
@@ -1042,18 +1042,27 @@ def search_input(spark, sf):
     return n, e.withColumn("dur_road", F.col("dur_est"))
 
 
+def start_nodes(n):
+    """Nodes nearest to probes five degrees apart."""
+    return routes.start_nodes(n.where("node_id > 0").select("scenario_id", F.col("node_id").alias("stop_id"), "lat", "lon"), KEY, step=5, offset=0)
+
+
 @query("k9_route_search")
 def _(spark, sf):
     n, e = search_input(spark, sf)
-    starts = n.where("node_id > 0").groupBy("scenario_id").agg(F.min("node_id").alias("node_id"))
-    return routes.search_routes(e, n, starts, iterations=10, ants=8).withColumn("fitness", r("fitness", 6))
+    return routes.search_routes(e, n, start_nodes(n)).withColumn("fitness", r("fitness", 6))
+
+
+@query("k9_route_search_avoiding")
+def _(spark, sf):
+    n, e = search_input(spark, sf)
+    return routes.search_routes(e, n, start_nodes(n), avoid=n.where("node_id % 10 = 7")).withColumn("fitness", r("fitness", 6))
 
 
 @query("k10_route_plan")
 def _(spark, sf):
     n, e = search_input(spark, sf)
-    starts = n.where("node_id > 0").groupBy("scenario_id").agg(F.array_sort(F.collect_list("node_id")).alias("n")).select("scenario_id", F.explode(F.slice("n", 1, 4)).alias("node_id"))
-    return routes.plan_routes(e, n, starts, iterations=10, ants=8).withColumn("fitness", r("fitness", 6))
+    return routes.plan_routes(e, n, start_nodes(n)).withColumn("fitness", r("fitness", 6))
 
 
 # --- jobs -----------------------------------------------------------------------------------------
@@ -1081,6 +1090,5 @@ def _(spark, sf):
 @query("w3_route_plan")
 def _(spark, sf):
     n = view(spark, sf, "nodes")
-    starts = routes.start_nodes(n.where("node_id > 0").select("scenario_id", F.col("node_id").alias("stop_id"), "lat", "lon"), KEY, step=60, offset=0)
-    _, figures = plans.route_plan(n, roads(graph.candidate_edges(n, 8, include_dest=True)), starts, iterations=10, ants=8)
+    _, figures = plans.route_rounds(n, roads(graph.candidate_edges(n, 8, include_dest=True)), start_nodes(n))
     return figures.withColumn("fitness", r("fitness", 6))

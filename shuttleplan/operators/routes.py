@@ -130,57 +130,78 @@ def people_served(tours: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFr
 
 
 def _search(edges: dict, weight: dict, start: int, end: int, rec: dict, rng, max_nodes: int, iterations: int, ants: int, rho: float, alpha: float, beta: float) -> tuple[list[int], float]:
-    """Ant colony from one start: (best tour, fitness)."""
+    """Ant colony from one start: (best tour, fitness).
+
+    Only edges that got a deposit are kept, with the iteration of it: the decay since then is applied
+    when an ant looks at the edge, so an iteration costs what its ants walk, not the number of edges.
+    """
     times = [t for out in edges.values() for _, t in out if t > 0]
     if not times:
         return [start], 0.0
     low, high = STRENGTH / max(times), STRENGTH / min(times)
-    tau = {(a, b): high for a, out in edges.items() for b, _ in out}
-    time = {(a, b): t for a, out in edges.items() for b, t in out}
-
-    def walk() -> list[int]:
-        tour = [start]
+    marked: dict[tuple[int, int], tuple[float, int]] = {}
+    draws = iter(())
+
+    def draw() -> float:
+        nonlocal draws
+        x = next(draws, None)
+        if x is None:
+            draws = iter(rng.random(2048).tolist())
+            x = next(draws)
+        return x
+
+    def strength(step: tuple[int, int], now: int) -> float:
+        value, since = marked.get(step, (high, 0))
+        if now > since:
+            value = min(max(value * (1 - rho), low), high)
+            value = max(value * (1 - rho) ** (now - since - 1), low)
+        return value
+
+    def walk(now: int) -> tuple[list[int], float]:
+        tour, total = [start], 0.0
         while tour[-1] != end and len(tour) <= 3 * max_nodes:
-            options = [b for b, _ in edges.get(tour[-1], ()) if b not in tour]
-            if not options:
-                break
-            p = np.array([tau[tour[-1], b] ** alpha * (1 / max(time[tour[-1], b], 1e-9)) ** beta * max(rec.get(b, 1.0), 0.0) for b in options])
-            if not p.sum() > 0:
+            here = tour[-1]
+            options = [(b, t) for b, t in edges.get(here, ()) if b not in tour]
+            p = [strength((here, b), now) ** alpha * (1 / max(t, 1e-9)) ** beta * max(rec.get(b, 1.0), 0.0) for b, t in options]
+            left = draw() * sum(p)
+            if not sum(p) > 0:
                 break
-            run = np.cumsum(p / p.sum())
-            k = int(np.searchsorted(run, rng.random()))
-            if k >= len(options):
-                break
-            tour.append(options[k])
-        return tour
-
-    def cost(tour: list[int]) -> float:
+            for (b, t), x in zip(options, p, strict=True):
+                left -= x
+                if left < 0:
+                    break
+            tour.append(b)
+            total += t
+        return tour, total
+
+    def cost(tour: list[int], total: float) -> float:
         people = sum(weight.get(x, 0.0) for x in tour)
-        total = sum(time[s] for s in zip(tour, tour[1:])) * (1 if tour[-1] == end else 1000)
-        return total * (abs(max_nodes - len(tour)) + 1) / people if people else float("inf")
+        return total * (1 if tour[-1] == end else 1000) * (abs(max_nodes - len(tour)) + 1) / people if people else float("inf")
 
     best, least = [start], float("inf")
-    for _ in range(iterations):
-        found = [walk() for _ in range(ants)]
-        costs = [cost(t) for t in found]
-        k = int(np.argmin(costs))
+    for now in range(iterations):
+        found = [walk(now) for _ in range(ants)]
+        costs = [cost(*f) for f in found]
+        k = min(range(ants), key=costs.__getitem__)
         if not least < costs[k]:
-            best, least = found[k], costs[k]
-        for s in tau:
-            tau[s] = min(max(tau[s] * (1 - rho), low), high)
-        if costs[k] > 0 and np.isfinite(costs[k]):
-            for s in zip(found[k], found[k][1:]):
-                tau[s] += 1 / costs[k]
+            best, least = found[k][0], costs[k]
+        if 0 < costs[k] < float("inf"):
+            for s in zip(found[k][0], found[k][0][1:]):
+                marked[s] = (strength(s, now + 1) + 1 / costs[k], now + 1)
     return best, least
 
 
-def plan_routes(edges: DataFrame, nodes: DataFrame, starts: DataFrame, key: str = "scenario_id", max_nodes: int = 5, iterations: int = 150, ants: int = 15, rho: float = 0.4, alpha: float = 1.0, beta: float = 0.0, seed: int = 1, duration: str = "dur_road", end_node: int = 0) -> DataFrame:
+def plan_routes(edges: DataFrame, nodes: DataFrame, starts: DataFrame, key: str = "scenario_id", max_nodes: int = 5, iterations: int = 150, ants: int = 15, rho: float = 0.4, alpha: float = 1.0, beta: float = 0.0, seed: int = 1, duration: str = "dur_road", end_node: int = 0, avoid: DataFrame | None = None) -> DataFrame:
     """(key, tour_id, pos, node_id, fitness): a tour from every start, starts in id order.
 
+    ``avoid`` (key, node_id) holds nodes that no tour may step on; a start among them still starts.
+
     A node's recurrency starts at the number of starts and drops by one for each tour that used it, so
     later tours avoid it: the starts of one scenario follow each other, scenarios run side by side.
     The random numbers of a start depend on (seed, scenario, start) alone.
     """
+    if avoid is not None:
+        edges = edges.join(avoid.select(key, F.col("node_id").alias("dst")), [key, "dst"], "left_anti")
     flat = (
         edges.select(key, F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col(duration).cast("double").alias("v"))
         .unionByName(nodes.select(key, F.lit(1).alias("kind"), F.col("node_id").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("weight").cast("double").alias("v")))
@@ -209,8 +230,10 @@ def plan_routes(edges: DataFrame, nodes: DataFrame, starts: DataFrame, key: str
     return flat.groupBy(key).applyInPandas(solve, f"{key} {kind}, tour_id bigint, pos int, node_id bigint, fitness double")
 
 
-def search_routes(edges: DataFrame, nodes: DataFrame, starts: DataFrame, key: str = "scenario_id", **how) -> DataFrame:
+def search_routes(edges: DataFrame, nodes: DataFrame, starts: DataFrame, key: str = "scenario_id", avoid: DataFrame | None = None, **how) -> DataFrame:
     """Independent searches: as plan_routes, but no start sees the others; every start is its own group."""
+    if avoid is not None:
+        edges = edges.join(avoid.select(key, F.col("node_id").alias("dst")), [key, "dst"], "left_anti")
     own = starts.select(key, F.col("node_id").alias("start"))
     label = F.concat_ws(":", F.col(key).cast("string"), F.col("start").cast("string"))
     every = [df.join(own, key).withColumn("_search", label).drop(key) for df in (edges, nodes)]

@@ -36,7 +36,7 @@ VIEWS = {
     "stops": f"""select route_id, pos, route_id * 1000 + pos as stop_id, cast(floor(route_id / 50e0) as bigint) % 5 as scenario_id, l_partkey as part_id, {_coords('l_partkey', 'w')}
         from (select l_orderkey as route_id, l_partkey, {_width('l_partkey')} as w,
               cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as bigint) as pos
-              from {{lineitem}} where l_orderkey % 50 = 0) q""",
+              from {{lineitem}}) q""",
     "people_points": f"select p_partkey as person_id, p_partkey % 5 as scenario_id, {_coords('p_partkey', 'w')} from (select p_partkey, {_width('p_partkey')} as w from {{part}}) q",
     "nodes": f"""select scenario_id, node_id, lat, lon, weight from (
         select p_partkey % 25 as scenario_id, p_partkey + 25 as node_id, cast(1 + p_partkey % 9 as double) as weight, {_coords('p_partkey', 'w')}

@@ -158,6 +158,48 @@ def test_polyline_round_trip(spark):
     assert [tuple(p) for p in out[0]] == [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)] and out[1:] == [None, None]
 
 
+def test_lazy_decay_equals_decay_of_every_edge():
+    """The search against one that evaporates all edges in every iteration."""
+    import numpy as np
+
+    edges = {a: [(b, float(10 + (a * 7 + b) % 50)) for b in range(12) if b != a] for a in range(1, 12)}
+    weight = {a: float(a % 5) for a in range(12)}
+
+    def plain(start, rng, max_nodes=5, iterations=30, ants=6, rho=0.4):
+        times = [t for out in edges.values() for _, t in out]
+        low, high = routes.STRENGTH / max(times), routes.STRENGTH / min(times)
+        tau, numbers = {(a, b): high for a, out in edges.items() for b, _ in out}, iter(rng.random(100_000).tolist())
+        best, least = [start], float("inf")
+        for _ in range(iterations):
+            found = []
+            for _ in range(ants):
+                tour, total = [start], 0.0
+                while tour[-1] != 0 and len(tour) <= 3 * max_nodes:
+                    options = [(b, t) for b, t in edges[tour[-1]] if b not in tour]
+                    p = [tau[tour[-1], b] for b, _ in options]
+                    left = next(numbers) * sum(p)
+                    for (b, t), x in zip(options, p):
+                        left -= x
+                        if left < 0:
+                            break
+                    tour.append(b)
+                    total += t
+                people = sum(weight[x] for x in tour)
+                found.append((total * (1 if tour[-1] == 0 else 1000) * (abs(max_nodes - len(tour)) + 1) / people if people else float("inf"), tour))
+            cost, tour = min(found, key=lambda f: f[0])
+            if not least < cost:
+                best, least = tour, cost
+            tau = {s: min(max(t * (1 - rho), low), high) for s, t in tau.items()}
+            for s in zip(tour, tour[1:]):
+                tau[s] += 1 / cost
+        return best, least
+
+    for start in range(1, 12):
+        got = routes._search(edges, weight, start, 0, dict.fromkeys(weight, 1.0), np.random.default_rng(start), 5, 30, 6, 0.4, 1.0, 0.0)
+        want = plain(start, np.random.default_rng(start))
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9
+
+
 def test_routes_are_valid_and_scored(spark):
     nodes = [(0, i, float(i % 5)) for i in range(12)]
     edges = [(0, a, b, float(10 + (a * 7 + b) % 50)) for a in range(1, 12) for b in range(0, a)]
@@ -166,6 +208,8 @@ def test_routes_are_valid_and_scored(spark):
     s = n.where("node_id in (11, 9)")
     got = routes.plan_routes(e, n, s, iterations=15, ants=6)
     again = routes.plan_routes(e.repartition(3), n.repartition(2), s, iterations=15, ants=6)
+    shy = routes.plan_routes(e, n, s, iterations=15, ants=6, avoid=n.where("node_id % 2 = 1"))
+    assert not {r.node_id for r in shy.where("pos > 0").collect()} & set(range(1, 12, 2)) and shy.where("node_id = 0").count() == 2
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
     known = {(a, b) for _, a, b, _ in edges}
     for t in (0, 1):
