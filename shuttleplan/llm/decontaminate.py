@@ -13,7 +13,6 @@ The documents are never shuffled; with several blocks only hits are merged per d
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,29 +202,3 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"),
     )
-
-
-def reference_rows(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
-    """Brute force for tests: every window of every item against every place of every document."""
-    import re
-
-    def cut(t: str | None) -> list[str]:
-        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-
-    out, known = [], []
-    for item, text in items:
-        ws = cut(text)
-        if item is not None and ws:
-            known.append((str(item), {tuple(ws)} if len(ws) < window else {tuple(ws[i : i + window]) for i in range(len(ws) - window + 1)}))
-    for doc, text in docs:
-        ws = cut(text)
-        hit, ids = set(), set()
-        for item, wins in known:
-            for m in {len(x) for x in wins}:
-                for i in range(len(ws) - m + 1):
-                    if tuple(ws[i : i + m]) in wins:
-                        hit.update(range(i, i + m))
-                        ids.add(item)
-        digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
-        out.append((doc, len(ws), len(hit), len(ids), digest, len(hit) > 0 and 20 * len(hit) >= len(ws)))
-    return out

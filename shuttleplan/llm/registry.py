@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shuttleplan.llm import decontaminate, language, neardup, packing, privacy, quality, repetition, substrings, templates, urlfilter
+from shuttleplan.llm import decontaminate, language, neardup, oracles, packing, privacy, quality, repetition, substrings, templates, urlfilter
 
 
 def _pipeline(spark, sf_dir: str):
@@ -28,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": urlfilter.OP9_SQL}
+    return dict(oracles.ORACLES)
