@@ -41,8 +41,8 @@ SKETCH = 256
 BITS = [f"s{i}" for i in range(SKETCH // 64)]
 #: members of a pivot in one tree
 TREE = 256
-#: rounds that elect further pivots in partitions of more than LARGE sets; buckets of the global order (binary logarithm) at most
-ROUNDS, LARGE, MAX_BITS = 2, 32, 22
+#: rounds that elect further pivots in partitions of more than LARGE sets; buckets of the global order (binary logarithm)
+ROUNDS, LARGE, BUCKET_BITS = 2, 32, 18
 #: sets of a partition in one block; rows of one cell; pairs looked at at once in a cell
 BLOCK, CELL, PAIRS = 4096, 200_000, 1 << 20
 
@@ -251,8 +251,8 @@ def _apart(t: Threshold):
 class Join:
     """The steps over one table of documents."""
 
-    def __init__(self, docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = DEN):
-        self.gram, self.t = gram, Threshold(num, den)
+    def __init__(self, docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = DEN, bucket_bits: int = BUCKET_BITS):
+        self.gram, self.t, self.bucket_bits = gram, Threshold(num, den), bucket_bits
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         rows = self.docs.mapInArrow(W.tidied(_describe(gram)), "doc_id bigint, n bigint, f bigint, g bigint, " + ", ".join(f"{b} bigint" for b in BITS))
         self.sets = materialize(rows)
@@ -262,12 +262,10 @@ class Join:
 
     @functools.cached_property
     def order(self) -> bytes:
-        """The level of every bucket: twice the binary logarithm of its count. Of bounded size (``MAX_BITS``)."""
-        total = self.sets.agg(F.sum("n")).first()[0] or 0
-        bits = min(MAX_BITS, max(16, int(total // 256).bit_length()))
-        n = self.docs.select("text").mapInArrow(W.tidied(_tally(self.gram, bits)), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+        """The level of every bucket: twice the binary logarithm of its count; one byte a bucket, whatever the size of the corpus."""
+        n = self.docs.select("text").mapInArrow(W.tidied(_tally(self.gram, self.bucket_bits)), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
         got = n.select("bucket", F.ceil(2 * F.log2(F.col("n") + 1)).cast("tinyint").alias("level")).toArrow()
-        levels = np.zeros(1 << bits, np.uint8)
+        levels = np.zeros(1 << self.bucket_bits, np.uint8)
         levels[got["bucket"].to_numpy()] = got["level"].to_numpy().astype(np.uint8)
         return levels.tobytes()
 
@@ -277,9 +275,11 @@ class Join:
         sent = materialize(sent)
         shared = sent.groupBy("e").agg(F.min("f").alias("low"), F.max("f").alias("high")).where("low <> high").select("e")
         rep_of = self.sets.where("n > 0").join(self.groups, ["n", "f", "g"]).select("doc_id", "rep").distinct()
-        self.parts = materialize(sent.join(shared, "e").select("e", "doc_id", "n", "at").join(rep_of, "doc_id").select("e", F.col("rep").alias("x"), "n", "at").distinct())
-        firsts = self.parts.groupBy("e").agg(F.min(F.struct("x", "n", "at")).alias("u"))
-        edges = self.parts.join(firsts, "e").where("x <> u.x").where(self._meet("u.n", "u.at", "n", "at"))
+        own = sent.join(shared, "e").select("e", "doc_id", "n", "at").join(rep_of, "doc_id").select("e", F.col("rep").alias("x"), "n", "at").distinct()
+        own = materialize(own)
+        firsts = own.groupBy("e").agg(F.min(F.struct("x", "n", "at")).alias("u"), F.count("*").alias("m")).where("m > 1")
+        self.parts = materialize(own.join(firsts, "e"))
+        edges = self.parts.where("x <> u.x").where(self._meet("u.n", "u.at", "n", "at"))
         return self.possible(edges.groupBy(F.least("u.x", "x").alias("p"), F.greatest("u.x", "x").alias("x")).agg(F.count("*").alias("w")))
 
     def _meet(self, n: str, at: str, m: str, to: str) -> Column:
@@ -339,8 +339,9 @@ class Join:
 
     def _mixed(self, comp: DataFrame, more: int = 2) -> DataFrame:
         """(e, x, n, at, c, m, least): sets of partitions of more than so many that are not all in one component."""
-        own = self.parts.join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
-        apart = own.groupBy("e").agg(F.count("*").alias("m"), F.min("c").alias("least"), F.max("c").alias("most")).where(f"least < most and m > {more}")
+        own = self.parts.where(F.col("m") > more).drop("u")
+        own = own.join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
+        apart = own.groupBy("e").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
         return materialize(own.join(apart.drop("most"), "e"))
 
     def _elected(self, seen: DataFrame, comp: DataFrame, k: int) -> DataFrame:
