@@ -1,6 +1,6 @@
 """Near-duplicate documents: a prefix-tree join of word n-gram sets under one global order.
 
-Order. Every n-gram is counted over all documents in hash buckets (``bucket_bits`` of them); an element of a
+Order. Every n-gram is counted over all documents in hash buckets (2 to the power of ``bucket_bits`` of them); an element of a
 set is the frequency level of its bucket in the top byte and 56 bits of its hash below, so numeric order is
 one global order, rarest first. A set is the path of its elements in that order.
 
