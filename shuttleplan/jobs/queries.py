@@ -270,7 +270,7 @@ def _(spark, sf):
 
 
 NODES = ctes("nodes")
-FULL = f"edges as (select * from (select a.scenario_id, a.node_id as src, b.node_id as dst, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as dist_est, row_number() over (partition by a.scenario_id, a.node_id order by {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, b.node_id) as k from nodes a join nodes b on a.scenario_id = b.scenario_id) where k between 2 and 9)"
+FULL = f"edges as materialized (select * from (select a.scenario_id, a.node_id as src, b.node_id as dst, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as dist_est, row_number() over (partition by a.scenario_id, a.node_id order by {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, b.node_id) as k from nodes a join nodes b on a.scenario_id = b.scenario_id) where k between 2 and 9)"
 
 
 @query("c6_knn_edges_full", f"{NODES}, {FULL} select scenario_id, src, dst, round(dist_est, 3) as dist_est, round(0.2e0 * dist_est, 3) as dur_est from edges")
@@ -283,12 +283,36 @@ def _(spark, sf):
     return graph.candidate_edges(view(spark, sf, "nodes"), 8, include_dest=True).select("scenario_id", "src", "dst", r("dist_est").alias("dist_est"))
 
 
-@query("c7_knn_edges_wide")
+def corridor_sql(delta: str, share: str) -> str:
+    """The nearest nodes inside the corridor to the plant; corners by the spherical law, the ray test by edge."""
+    ends = ("lat1", "lon1", "lat2", "lon2")
+    one, two = dest("lat1", "lon1", f"-{delta}", "b12"), dest("lat2", "lon2", delta, "b12")
+    turns = {"c1": ("1", ""), "c2": ("1", "-"), "c3": ("2", "-"), "c4": ("2", "")}
+    corners = {k: dest(f"p{p}lat", f"p{p}lon", f"{sign}w", "side") for k, (p, sign) in turns.items()}
+    columns = ", ".join(f"{lat} as {k}lat, {lon} as {k}lon" for k, (lat, lon) in corners.items())
+    ring = "p1 c1 c4 p2 c3 c2 p1".split()
+    hits = " + ".join(
+        f"case when lon > least({a}lon, {b}lon) and lon < greatest({a}lon, {b}lon) and lat <= {a}lat + (lon - {a}lon) * (({b}lat - {a}lat) / ({b}lon - {a}lon)) then 1 else 0 end"
+        for a, b in zip(ring, ring[1:])
+    )
+    far = hav("lat1", "lon1", "lat", "lon")
+    return f"""{NODES}, ends as (select a.scenario_id, a.node_id as src, a.lat as lat1, a.lon as lon1, p.lat as lat2, p.lon as lon2
+            from nodes a join nodes p on p.scenario_id = a.scenario_id and p.node_id = 0),
+        aimed as (select *, {bearing(*ends)} as b12, {hav(*ends)} / {share} as w from ends),
+        tips as (select *, {wrap("b12 - 90")} as side, {one[0]} as p1lat, {one[1]} as p1lon, {two[0]} as p2lat, {two[1]} as p2lon from aimed where b12 is not null),
+        areas as materialized (select *, {columns} from tips),
+        found as (select scenario_id, src, node_id as dst, {far} as d, row_number() over (partition by scenario_id, src order by {far}, node_id) as k
+            from areas join nodes using (scenario_id) where ({hits}) % 2 = 1)
+        select scenario_id, src, dst, round(d, 3) as dist_est, round(0.2e0 * d, 3) as dur_est from found where k between 2 and 9
+        union all select scenario_id, src, 0, 0e0, 0e0 from aimed where b12 is null"""
+
+
+@query("c7_knn_edges_wide", corridor_sql("10e0", "1"))
 def _(spark, sf):
     return graph.candidate_edges(view(spark, sf, "nodes"), 8, "wide").withColumns({"dist_est": r("dist_est"), "dur_est": r("dur_est")})
 
 
-@query("c8_knn_edges_narrow")
+@query("c8_knn_edges_narrow", corridor_sql("100e0", "6"))
 def _(spark, sf):
     return graph.candidate_edges(view(spark, sf, "nodes"), 8, "narrow").withColumns({"dist_est": r("dist_est"), "dur_est": r("dur_est")})
 
@@ -544,7 +568,17 @@ def _(spark, sf):
     return routes.weighted_pick(o.withColumn("r", (F.col("o") * 7919 % 1000) / F.lit(1000.0)), ["o"])
 
 
-@query("f8_thinned_stops")
+# a place is decided once a lower near one is kept, or all lower near ones are dropped
+THINNED = f"""{ctes('stops').replace('with ', 'with recursive ', 1)},
+    places as materialized (select lat, lon, min(stop_id) as id from stops group by lat, lon),
+    lower_ones as materialized (select a.id as a, b.id as b from places a join places b on b.id < a.id and abs(a.lat - b.lat) < 0.01e0 where {near('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200),
+    rounds as (select 0 as n, id, 0 as st from places union all
+        select r.n + 1, r.id, case when r.st <> 0 then r.st when coalesce(max(case when l.st = 1 then 1 end), 0) = 1 then 2 when count(l.id) filter (where l.st = 0) = 0 then 1 else 0 end
+        from rounds r left join lower_ones e on e.a = r.id left join rounds l on l.id = e.b
+        where (select min(st) from rounds) = 0 group by r.n, r.id, r.st)"""
+
+
+@query("f8_thinned_stops", f"{THINNED} select id as stop_id, round(lat, 9) as lat, round(lon, 9) as lon from places where id in (select id from rounds where st = 1)")
 def _(spark, sf):
     return stops.thin(view(spark, sf, "stops"), 200).select("stop_id", r("lat", 9).alias("lat"), r("lon", 9).alias("lon"))
 
@@ -876,7 +910,16 @@ def _(spark, sf):
     return out.withColumns({"lat": r("lat", 5), "lon": r("lon", 5)})
 
 
-@query("i9_encoded_lines")
+# differences of whole hundred thousandths, the sign in the lowest bit, five bits a character from the low end
+ENCODED = f"""{ctes('stops')}, whole as (select route_id, pos, cast(trunc(lat * 1e5) as bigint) as y, cast(trunc(lon * 1e5) as bigint) as x from stops),
+    steps as (select route_id, pos, y - coalesce(lag(y) over w, 0) as dy, x - coalesce(lag(x) over w, 0) as dx from whole window w as (partition by route_id order by pos)),
+    numbers as (select route_id, pos, 0 as part, case when dy < 0 then -2 * dy - 1 else 2 * dy end as v from steps union all select route_id, pos, 1, case when dx < 0 then -2 * dx - 1 else 2 * dx end from steps),
+    letters as (select route_id, pos, part, j, chr(cast(63 + v // cast(pow(32, j) as bigint) % 32 + case when v >= cast(pow(32, j + 1) as bigint) then 32 else 0 end as integer)) as ch
+        from numbers, range(7) t(j) where j = 0 or v >= cast(pow(32, j) as bigint)),
+    encoded as (select route_id, string_agg(ch, '' order by pos, part, j) as polyline from letters group by route_id)"""
+
+
+@query("i9_encoded_lines", f"{ENCODED} select route_id, polyline from encoded")
 def _(spark, sf):
     return shapes.encode_routes(line_points(spark, sf), ["route_id"])
 
@@ -950,7 +993,11 @@ def _(spark, sf):
     return shapes.edge_popups(road_edges(spark, sf).where("dist_road is not null"))
 
 
-@query("i14_direction_alternatives")
+WAYS = f"""{ctes('stops')}, drawn as (select route_id, cast(count(*) as integer) as n_points, '[' || string_agg('[' || cast(trunc(lon * 1e5) / 1e5 as varchar) || ',' || cast(trunc(lat * 1e5) / 1e5 as varchar) || ']', ',' order by pos) || ']' as xy from stops group by route_id),
+    ways as (select *, cast(route_id % 5000 as varchar) as far, cast(route_id % 700 as varchar) as took from drawn, (values (cast(0 as integer)), (cast(1 as integer))) t(alternative))"""
+
+
+@query("i14_direction_alternatives", f"{WAYS} select route_id as req, alternative, n_points, {feature_sql('LineString', 'xy')} as geojson, took || ',' || took as durations, far || ',' || far as distances from ways")
 def _(spark, sf):
     lines = shapes.encode_routes(line_points(spark, sf), ["route_id"])
     value = lambda x: F.struct(x.cast("bigint").alias("value"))
@@ -976,7 +1023,17 @@ def cluster_points(spark, sf):
     return view(spark, sf, "people_points").withColumnRenamed("person_id", "point_id")
 
 
-@query("k1_dbscan")
+# every core point spreads its id over higher ones; the least that arrives is the cluster
+CLUSTERED = f"""{ctes('people_points').replace('with ', 'with recursive ', 1)},
+    close as materialized (select a.person_id as a, b.person_id as b from people_points a join people_points b on a.scenario_id = b.scenario_id and abs(a.lat - b.lat) < 0.01e0 where {near('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 400),
+    core as materialized (select a from close group by a having count(*) >= 4),
+    hops as materialized (select a, b from close where a in (from core) and b in (from core)),
+    reach as (select a, a as c from core union select h.b, r.c from reach r join hops h on h.a = r.a where r.c < h.b),
+    own as (select a, min(c) as c from reach group by a),
+    label as (select a, c from own union all select b, min(c) from close join own using (a) where b not in (from core) group by b)"""
+
+
+@query("k1_dbscan", f"{CLUSTERED} select person_id as point_id, c as cluster_id from people_points left join label on a = person_id")
 def _(spark, sf):
     return cluster.dbscan(cluster_points(spark, sf), 400, 4, KEY).select("point_id", "cluster_id")
 

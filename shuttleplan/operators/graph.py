@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from shuttleplan.functions.geo import distance, in_polygon, same_point, travel_time, with_corridor
 from shuttleplan.functions.scratch import materialize
+from shuttleplan.operators.order import numbered
 from shuttleplan.operators.spatial import nearest_n
 
 PLANT = 0
@@ -155,7 +156,7 @@ def request_plan(edges: DataFrame, n: int, limit: int = 100, keys: list[str] | N
     size = max(1, floor(sqrt(limit / n)))
     per = edges.groupBy(*keys, "src").agg(F.array_sort(F.collect_list(F.struct("dist_est", "dst"))).alias("t"))
     per = per.select(*keys, "src", F.transform("t", lambda x: x["dst"]).alias("targets"))
-    per = per.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("src")) - 1) / size))
+    per = numbered(per, keys, ["src"], "_no").withColumn("batch", F.floor((F.col("_no") - 1) / size)).drop("_no")
     run = Window.partitionBy(*keys, "batch").orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
     up = F.sum(F.size("targets")).over(run).cast("bigint")
     return per.withColumn("up", up).withColumn("down", F.col("up") - F.size("targets")).select(*keys, "batch", "src", "down", "up", "targets")

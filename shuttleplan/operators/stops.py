@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from shuttleplan.functions.geo import destination
 from shuttleplan.functions.scratch import materialize
 from shuttleplan.operators.components import connected_components
+from shuttleplan.operators.order import numbered
 from shuttleplan.operators.spatial import radius_join
 
 
@@ -44,17 +45,20 @@ def thin(stops: DataFrame, radius: float = 200.0, keys: list[str] | None = None,
 
     The scan's result is the lexicographically first maximal independent set of the radius graph.
     Each round keeps every undecided stop without a lower undecided neighbour and drops the
-    neighbours of those kept; ids are unique over all keys.
+    neighbours of those kept; ids are unique over all keys. Of stops at one place only the least can stay,
+    so the graph is one of places. Stops without coordinates stay.
     """
     keys = keys or []
-    pairs = radius_join(stops, stops.withColumnRenamed(stop_id, "_other"), radius, keys, stop_id, "_other")
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    spots = materialize(stops.where(placed).groupBy(*keys, "lat", "lon").agg(F.min(stop_id).alias(stop_id)))
+    pairs = radius_join(spots, spots.withColumnRenamed(stop_id, "_other"), radius, keys, stop_id, "_other")
     edges = materialize(pairs.where(F.col(stop_id) != F.col("_other")).select(F.col(stop_id).alias("a"), F.col("_other").alias("b")))
-    open_ = materialize(stops.select(F.col(stop_id).alias("a")))
-    kept = None
+    open_ = materialize(spots.select(F.col(stop_id).alias("a")))
+    kept = stops.where(~placed).select(F.col(stop_id).alias("a"))
     while True:
         lower = edges.where("b < a").join(open_.select(F.col("a").alias("b")), "b", "left_semi").select("a").distinct()
         win = materialize(open_.join(lower, "a", "left_anti"))
-        kept = win if kept is None else kept.union(win)
+        kept = materialize(kept.union(win))
         beaten = edges.join(win, "a", "left_semi").select(F.col("b").alias("a")).distinct()
         open_ = materialize(open_.join(win, "a", "left_anti").join(beaten, "a", "left_anti"))
         if open_.isEmpty():
@@ -113,5 +117,4 @@ def stops_and_centres(selected: DataFrame, centres: DataFrame) -> DataFrame:
     both = selected.select("scenario_id", F.lit(0).alias("source"), F.col("stop_id").alias("source_id"), "lat", "lon").unionByName(
         centres.select("scenario_id", F.lit(1).alias("source"), F.col("cluster_id").alias("source_id"), "lat", "lon")
     )
-    order = Window.partitionBy("scenario_id").orderBy("source", "source_id")
-    return both.withColumn("stop_no", F.row_number().over(order).cast("bigint"))
+    return numbered(both, ["scenario_id"], ["source", "source_id"], "stop_no")

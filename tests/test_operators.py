@@ -9,6 +9,7 @@ from test_geo import crossings, metres
 from shuttleplan.functions.geo import EARTH_RADIUS_SEARCH, with_corridor
 from shuttleplan.operators import clean, cluster, graph, responses, routes, shapes, spatial, stops
 from shuttleplan.operators.components import connected_components
+from shuttleplan.operators.order import numbered
 from shuttleplan.sources import tables
 
 
@@ -96,6 +97,28 @@ def test_dbscan(spark, seed):
     assert {r.point_id: r.cluster_id for r in got.collect()} == dbscan(rows, 250, 4)
 
 
+@pytest.mark.parametrize(("seed", "gap"), [(1, 180), (2, 246), (3, 254), (4, 330)])
+def test_dbscan_of_crowded_cells(spark, seed, gap):
+    """Two dense streets about a radius apart, many points at one place, some strays."""
+    rng = random.Random(seed)
+    lat = 21.9 + gap / 111_195
+    rows = [(rng.choice((21.9, lat)), -102.3 + rng.uniform(0, 0.01)) for _ in range(260)]
+    rows += [(21.9, -102.3)] * 30 + [(21.9 + rng.uniform(-0.01, 0.02), -102.3 + rng.uniform(-0.01, 0.02)) for _ in range(60)]
+    rng.shuffle(rows)
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    got = cluster.dbscan(points(spark, rows), 250, 4, ["scenario_id"])
+    assert {r.point_id: r.cluster_id for r in got.collect()} == dbscan(rows, 250, 4)
+
+
+def test_numbers_and_places(spark):
+    rows = [(k % 3, k * 7919 % 101) for k in range(300)]
+    want = {(a, b): n for a in range(3) for n, b in enumerate(sorted({b for x, b in rows if x == a}), 1)}
+    df = spark.createDataFrame(sorted(set(rows)), "k int, v int").repartition(5)
+    assert {(r.k, r.v): r.n for r in numbered(df, ["k"], ["v"], "n").collect()} == want
+    same = points(spark, [(3, 21.9, -102.3), (1, 21.9, -102.3), (2, 21.9, -102.3), (9, None, 1.0)], "stop_id")
+    assert sorted(r.stop_id for r in stops.thin(same, 200).collect()) == [1, 9]
+
+
 def test_dbscan_groups_are_apart(spark):
     rows = cloud(40, 2)
     both = points(spark, rows).union(points(spark, [(i + 1000, a, b) for i, a, b in rows]).withColumn("scenario_id", F.lit(1)))
