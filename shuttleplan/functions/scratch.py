@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 _written: list[str] = []
+#: the list of the innermost ``temporary`` block of this thread
+_owner: ContextVar[list[str]] = ContextVar("_owner", default=_written)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,15 +34,42 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    _written.append(path)
+    _owner.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that this driver wrote so far; call it once results that read them are stored. Returns their number."""
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this driver wrote outside of ``temporary`` blocks; call it once results that read them are stored. Returns their number."""
+    return _delete(spark, _written)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables that this thread writes inside the block at its end, those of other jobs stay.
+
+    Gives a function that writes a result which outlives the block, as a table of the surrounding one.
+    """
+    outer, own = _owner.get(), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        inner = _owner.set(outer)
+        try:
+            return materialize(df)
+        finally:
+            _owner.reset(inner)
+
+    token = _owner.set(own)
+    try:
+        yield keep
+    finally:
+        _owner.reset(token)
+        _delete(spark, own)

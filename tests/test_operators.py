@@ -305,3 +305,17 @@ def test_scratch_tables_can_be_released(spark):
     df = materialize(spark.range(5))
     assert df.count() == 5
     assert release(spark) == 1 and release(spark) == 0
+
+
+def test_temporary_tables_go_and_kept_ones_stay(spark):
+    from shuttleplan.functions.scratch import materialize, release, temporary
+
+    release(spark)
+    before = materialize(spark.range(3))
+    with temporary(spark) as keep:
+        inner = materialize(spark.range(5))
+        kept = keep(inner.where("id > 1"))
+    assert before.count() == 3 and kept.count() == 3
+    with pytest.raises(Exception):  # noqa: B017
+        inner.count()
+    assert release(spark) == 2
