@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shuttleplan.functions.scratch import materialize
+from shuttleplan.functions.scratch import temporary
 from shuttleplan.llm import decontaminate, language, neardup, packing, templates
 
 
@@ -53,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage; what a stage writes for itself goes once its documents are stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with temporary(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
