@@ -17,7 +17,7 @@ partition is its first pivot, so work is linear in a family of copies, and large
 
 Components. Linked sets are united. A large partition whose sets ended in different components elects another
 pivot from outside the first component, for a few rounds; then all that is still apart in any partition goes
-through the trees too, where sizes, places and a parity sketch of the sets do not rule a link out. Those pairs
+through the trees too, where sizes, places and parity sketches of the sets (as wide as large sets need) do not rule a link out. Those pairs
 are found in cells of bounded size (``CELL``); a partition beyond ``BLOCK`` sets is cut into pairs of blocks.
 All pairs of different texts that link are therefore united, directly or through others.
 """
@@ -104,12 +104,28 @@ def _sum(x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return (c[ptr[1:]] - c[ptr[:-1]]).view(np.int64)
 
 
+def wide_sketches(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit words of every set, all words): parity sketches of one to two bits an element for sets of more than ``SKETCH`` elements, else none.
+
+    An element's bit is the lower part of its hash, so a sketch twice as wide is folded by XOR of its halves.
+    """
+    size = np.diff(ptr)
+    bits = np.where(size > SKETCH, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), 0)
+    start, d = np.cumsum(bits) - bits, np.repeat(np.arange(len(size)), size)
+    long = bits[d] > 0
+    d = d[long]
+    at = start[d] + (h[long] & (bits[d] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(bool)
+    return bits // 64, np.packbits(odd).view(np.int64)
+
+
 def _describe(gram: int):
-    """doc_id, text hash -> size, 128-bit set hash, parity sketch."""
+    """doc_id, text -> size, 128-bit set hash, parity sketch, and a wide one for sets of more than ``SKETCH`` elements."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, one, two, sketch = [], [], [], [np.zeros((0, SKETCH // 64), np.int64)]
+            much, wide = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
             for _, h, ptr in _sets(batch.column(1), gram):
                 docs = len(ptr) - 1
                 n.append(np.diff(ptr))
@@ -119,8 +135,12 @@ def _describe(gram: int):
                 bit = (h >> np.uint64(56)).astype(np.int64)
                 odd = (np.bincount(d * SKETCH + bit, minlength=docs * SKETCH) & 1).astype(bool).reshape(docs, SKETCH)
                 sketch.append(np.packbits(odd, axis=1).view(np.int64))
+                words, bits = wide_sketches(h, ptr)
+                much.append(words)
+                wide.append(bits)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(much)).astype(np.int32)), pa.array(np.concatenate(wide)))
             cols = [pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64()) for x in (n, one, two)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *[pa.array(x) for x in np.concatenate(sketch).T]], names=["doc_id", "n", "f", "g", *BITS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *[pa.array(x) for x in np.concatenate(sketch).T], lists], names=["doc_id", "n", "f", "g", *BITS, "wide"])
 
     return describe
 
@@ -254,11 +274,11 @@ class Join:
     def __init__(self, docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = DEN, bucket_bits: int = BUCKET_BITS):
         self.gram, self.t, self.bucket_bits = gram, Threshold(num, den), bucket_bits
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        rows = self.docs.mapInArrow(W.tidied(_describe(gram)), "doc_id bigint, n bigint, f bigint, g bigint, " + ", ".join(f"{b} bigint" for b in BITS))
+        rows = self.docs.mapInArrow(W.tidied(_describe(gram)), "doc_id bigint, n bigint, f bigint, g bigint, " + ", ".join(f"{b} bigint" for b in BITS) + ", wide array<bigint>")
         self.sets = materialize(rows)
         groups = self.sets.where("n > 0 and doc_id is not null").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
         self.groups = materialize(groups)
-        self.reps = materialize(self.sets.where("n > 0").join(self.groups.select("n", "f", "g", F.col("rep").alias("doc_id")), ["n", "f", "g", "doc_id"]).select("doc_id", "n", *BITS).dropDuplicates(["doc_id"]))
+        self.reps = materialize(self.sets.where("n > 0").join(self.groups.select("n", "f", "g", F.col("rep").alias("doc_id")), ["n", "f", "g", "doc_id"]).select("doc_id", "n", *BITS, "wide").dropDuplicates(["doc_id"]))
 
     @functools.cached_property
     def order(self) -> bytes:
@@ -294,7 +314,22 @@ class Join:
         a, b = (self.reps.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), *[F.col(c).alias(f"{c}{k}") for c in BITS]) for k in "px")
         both = edges.join(a, "p").join(b, "x").where(t.den * F.least("np", "nx") >= t.num * F.greatest("np", "nx"))
         apart = sum((F.bit_count(F.col(f"{c}p").bitwiseXOR(F.col(f"{c}x"))) for c in BITS), F.lit(0))
-        return both.where(apart * (t.den + t.num) <= (t.den - t.num) * (F.col("np") + F.col("nx"))).select("p", "x", *[c for c in edges.columns if c not in ("p", "x")])
+        return self._close(both.where(apart * (t.den + t.num) <= (t.den - t.num) * (F.col("np") + F.col("nx"))).select("p", "x", *[c for c in edges.columns if c not in ("p", "x")]))
+
+    def _close(self, edges: DataFrame) -> DataFrame:
+        """Edges that the wide sketches do not rule out; those of large sets still tell unlike ones apart where short sketches are full."""
+        t = self.t
+        a, b = (self.reps.where(F.col("n") > SKETCH).select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}")) for k in "px")
+        both = edges.join(a, "p", "left").join(b, "x", "left")
+        least = F.least(F.size("wp"), F.size("wx"))
+        differ = F.aggregate(F.zip_with(self._folded("wp", least), self._folded("wx", least), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
+        out = F.col("wp").isNotNull() & F.col("wx").isNotNull() & (F.greatest(F.size("wp"), F.size("wx")) <= 2 * least)
+        return both.where(~out | (differ * (t.den + t.num) <= (t.den - t.num) * (F.col("np") + F.col("nx")))).select(*edges.columns)
+
+    @staticmethod
+    def _folded(c: str, words: Column) -> Column:
+        halves = F.zip_with(F.slice(c, F.lit(1), words), F.slice(c, words + 1, words), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(c) > words, halves).otherwise(F.col(c))
 
     def walked(self, edges: DataFrame) -> DataFrame:
         """(p, x, both): overlap of each edge's sets by the trees of its pivot, -1 where a bound showed that they do not link."""
@@ -360,7 +395,7 @@ class Join:
         rows = own.join(self.reps.select(F.col("doc_id").alias("x"), *BITS), "x").select("e", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "own", "x", "c", "n", "at", *BITS)
         cell = F.pmod(F.xxhash64("e", "lo", "hi"), F.lit(cells))
         pairs = rows.withColumn("cell", cell).groupBy("cell").applyInArrow(_apart(self.t), "p bigint, x bigint").distinct()
-        return pairs.join(seen, ["p", "x"], "left_anti")
+        return self._close(pairs.join(seen, ["p", "x"], "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = DEN) -> DataFrame:
