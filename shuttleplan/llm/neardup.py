@@ -57,6 +57,10 @@ class Threshold:
         """Elements in which two linked sets of this total size differ at most."""
         return total * (self.den - self.num) // (self.den + self.num)
 
+    def told(self, n):
+        """Whether the short sketch of a set of n elements tells anything: those of unlike large sets differ in half of the bits, which linked ones may too."""
+        return 2 * n * (self.den - self.num) < (self.den + self.num) * SKETCH // 2
+
     def overlap(self, total: int) -> int:
         """Least common elements of linked sets with this total size."""
         return -(-self.num * total // (self.num + self.den))
@@ -246,6 +250,7 @@ def _apart(t: Threshold):
         x, c, n, at, own = (v[order] for v in (x, c, n.astype(np.int64), at.astype(np.int64), own))
         key = np.stack([v[order] for v in (e, lo, hi)])
         bits = np.stack([table[k].to_numpy()[order].view(np.uint64) for k in BITS], axis=1)  # counting bits takes the absolute value of signed numbers
+        full = ~t.told(n)
         group = np.concatenate(([0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0)))) if len(x) else np.zeros(0, np.int64)
         across = (key[1] != key[2]) if len(x) else np.zeros(0, bool)
         # sorted by size in a partition, the sets that are not too large for one follow it
@@ -258,7 +263,7 @@ def _apart(t: Threshold):
             need = -(-t.num * (n[u] + n[v]) // (t.num + t.den))
             ok = (c[u] != c[v]) & (np.minimum(n[u] - at[u], n[v] - at[v]) >= need) & (~across[u] | (own[u] != own[v]))
             u, v = u[ok], v[ok]
-            ok = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1) <= t.apart(n[u] + n[v])
+            ok = full[u] | full[v] | (np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1) <= t.apart(n[u] + n[v]))
             u, v = x[u[ok]], x[v[ok]]
             found.append(np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0))
             i = j
@@ -372,27 +377,30 @@ class Join:
         out = edges.join(comp.select(F.col("node").alias("p"), F.col("component").alias("cp")), "p", "left").join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left")
         return out.withColumns({"cp": F.coalesce("cp", "p"), "c": F.coalesce("c", "x")}).where("cp <> c")
 
-    def _mixed(self, comp: DataFrame, more: int = 2) -> DataFrame:
-        """(e, x, n, at, c, m, least): sets of partitions of more than so many that are not all in one component."""
-        own = self.parts.where(F.col("m") > more).drop("u")
+    def _mixed(self, comp: DataFrame) -> DataFrame:
+        """(e, x, n, at, c, m, least): sets of partitions of more than LARGE that are not all in one component."""
+        own = self.parts.where(F.col("m") > LARGE).drop("u")
         own = own.join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
         apart = own.groupBy("e").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
         return materialize(own.join(apart.drop("most"), "e"))
 
     def _elected(self, seen: DataFrame, comp: DataFrame, k: int) -> DataFrame:
         """Edges from the sets of every large mixed partition to one from outside its first component, drawn anew in each round."""
-        own = self._mixed(comp, LARGE)
+        own = self._mixed(comp)
         draw = own.where("c <> least").groupBy("e").agg(F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("h"), "x", "c", "n", "at")).alias("u"))
         pairs = own.join(draw, "e").where("c <> u.c").where(self._meet("u.n", "u.at", "n", "at"))
         return self.possible(pairs.select(F.least("x", "u.x").alias("p"), F.greatest("x", "u.x").alias("x")).distinct()).join(seen, ["p", "x"], "left_anti")
 
     def _rest(self, seen: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs of sets that share any mixed partition and may link."""
-        own = self._mixed(comp)
+        """Pairs of sets that share any mixed partition and may link; small partitions are looked at whether mixed or not."""
+        columns = ["e", "x", "n", "at", "m"]
+        own = self.parts.where((F.col("m") > 2) & (F.col("m") <= LARGE)).select(columns).unionByName(self._mixed(comp).select(columns))
         cells = -(-own.count() // CELL) or 1
+        told = [F.when(self.t.told(F.col("n")), F.col(b)).otherwise(0).alias(b) for b in BITS]
+        sets = self.reps.select(F.col("doc_id").alias("x"), *told).join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
         own = own.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
         own = own.withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = own.join(self.reps.select(F.col("doc_id").alias("x"), *BITS), "x").select("e", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "own", "x", "c", "n", "at", *BITS)
+        rows = own.join(sets, "x").select("e", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "own", "x", "c", "n", "at", *BITS)
         cell = F.pmod(F.xxhash64("e", "lo", "hi"), F.lit(cells))
         pairs = rows.withColumn("cell", cell).groupBy("cell").applyInArrow(_apart(self.t), "p bigint, x bigint").distinct()
         return self._close(pairs.join(seen, ["p", "x"], "left_anti"))

@@ -204,6 +204,38 @@ def test_links_behind_an_unlike_pivot(spark, rounds, block, cell, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == Counter(groups(rows))
 
 
+def long_families(seed=7):
+    """Long texts around the bound, of sizes on both sides of powers of two, and unlike ones that share passages."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared, out = [word() for _ in range(120)], []
+    for size in (240, 258, 505, 1020, 1100):
+        base = shared + [word() for _ in range(size - 120)]
+        for share in (0.0, 0.012, 0.016, 0.017, 0.018, 0.019, 0.02, 0.05):
+            ws = list(base)
+            for k in rng.sample(range(size), int(share * size)):
+                ws[k] = word()
+            out.append(ws + [word() for _ in range(rng.choice([0, 0, size // 40, size // 12]))])
+    rng.shuffle(out)
+    return [(i, " ".join(ws)) for i, ws in enumerate(out)]
+
+
+def test_wide_sketches_keep_every_link(spark):
+    rows = long_families()
+    sets = [shingles(t) for _, t in rows]
+    links = {(i, j) for j in range(len(rows)) for i in range(j) if 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j])}
+    join = neardup.Join(frame(spark, rows))
+    every = spark.createDataFrame([(i, j) for j in range(len(rows)) for i in range(j)], "p long, x long")
+    close = {(r.p, r.x) for r in join._close(every).collect()}
+    assert links <= close
+    unlike = {(i, j) for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) < len(sets[i] | sets[j]) / 2}
+    same = {(i, j) for i, j in unlike if min(len(sets[i]), len(sets[j])) > 256 and 9 * max(len(sets[i]), len(sets[j])) < 10 * min(len(sets[i]), len(sets[j]))}
+    assert same and not same & close
+    got = neardup.near_duplicates(frame(spark, rows))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == Counter(groups(rows))
+    assert 1 < len({r.component_id for r in got.collect()}) < len(rows)
+
+
 def test_jaccard_join_of_other_grams(spark):
     rows = chains(4)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows), 5, 4, 5).collect()}
