@@ -377,24 +377,27 @@ class Join:
         out = edges.join(comp.select(F.col("node").alias("p"), F.col("component").alias("cp")), "p", "left").join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left")
         return out.withColumns({"cp": F.coalesce("cp", "p"), "c": F.coalesce("c", "x")}).where("cp <> c")
 
-    def _mixed(self, comp: DataFrame) -> DataFrame:
-        """(e, x, n, at, c, m, least): sets of partitions of more than LARGE that are not all in one component."""
-        own = self.parts.where(F.col("m") > LARGE).drop("u")
-        own = own.join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
-        apart = own.groupBy("e").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
-        return materialize(own.join(apart.drop("most"), "e"))
+    def _mixed(self, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Sets of partitions of more than LARGE that are not all in one component, with the partition's first pivot; those of them that are linked, with their component c."""
+        own = self.parts.where(F.col("m") > LARGE).select("e", "x", "n", "at", "m", F.col("u.x").alias("first"))
+        linked = own.join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x")
+        whole = linked.groupBy("e").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("k"), F.min("m").alias("m")).where("least = most and k = m").select("e")
+        return own.join(whole, "e", "left_anti"), linked.join(whole, "e", "left_anti")
 
     def _elected(self, seen: DataFrame, comp: DataFrame, k: int) -> DataFrame:
         """Edges from the sets of every large mixed partition to one from outside its first component, drawn anew in each round."""
-        own = self._mixed(comp)
-        draw = own.where("c <> least").groupBy("e").agg(F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("h"), "x", "c", "n", "at")).alias("u"))
-        pairs = own.join(draw, "e").where("c <> u.c").where(self._meet("u.n", "u.at", "n", "at"))
-        return self.possible(pairs.select(F.least("x", "u.x").alias("p"), F.greatest("x", "u.x").alias("x")).distinct()).join(seen, ["p", "x"], "left_anti")
+        own, linked = self._mixed(comp)
+        inside = linked.join(linked.groupBy("e").agg(F.min("c").alias("c")), ["e", "c"]).select("e", "x")
+        outside = own.where("x <> first").join(inside, ["e", "x"], "left_anti")
+        draw = outside.groupBy("e").agg(F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("h"), "x", "n", "at")).alias("u"))
+        pairs = own.join(draw, "e").where("x <> u.x").where(self._meet("u.n", "u.at", "n", "at"))
+        edges = self.possible(pairs.select(F.least("x", "u.x").alias("p"), F.greatest("x", "u.x").alias("x")).distinct())
+        return self._cross(edges, comp).select("p", "x").join(seen, ["p", "x"], "left_anti")
 
     def _rest(self, seen: DataFrame, comp: DataFrame) -> DataFrame:
         """Pairs of sets that share any mixed partition and may link; small partitions are looked at whether mixed or not."""
         columns = ["e", "x", "n", "at", "m"]
-        own = self.parts.where((F.col("m") > 2) & (F.col("m") <= LARGE)).select(columns).unionByName(self._mixed(comp).select(columns))
+        own = self.parts.where((F.col("m") > 2) & (F.col("m") <= LARGE)).select(columns).unionByName(self._mixed(comp)[0].select(columns))
         cells = -(-own.count() // CELL) or 1
         told = [F.when(self.t.told(F.col("n")), F.col(b)).otherwise(0).alias(b) for b in BITS]
         sets = self.reps.select(F.col("doc_id").alias("x"), *told).join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
