@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shuttleplan.llm.hardneg import OP11_SQL
 from shuttleplan.llm.merkle import OP13_SQL
 from shuttleplan.llm.urlfilter import OP9_SQL
 
@@ -56,4 +57,4 @@ select d.doc_id, len(ws) as n_words, coalesce(n.n, 0) as n_hit, coalesce(items.n
 from d left join n using (doc_id) left join items using (doc_id)
 """
 
-ORACLES = {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_merkle_manifest": OP13_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shuttleplan.llm import bytebpe, decontaminate, language, merkle, neardup, oracles, packing, privacy, quality, repetition, substrings, templates, urlfilter
+from shuttleplan.llm import bytebpe, decontaminate, hardneg, language, merkle, neardup, oracles, packing, privacy, quality, repetition, substrings, templates, urlfilter
 
 
 def _pipeline(spark, sf_dir: str):
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_url_filter": urlfilter.op9_url_filter,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_hard_negatives": hardneg.op11_hard_negatives,
         "op12_byte_bpe": bytebpe.op12_byte_bpe,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
