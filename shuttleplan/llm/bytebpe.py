@@ -16,8 +16,6 @@ is still open: text is given out as soon as its characters are whole.
 from __future__ import annotations
 
 import base64
-import re
-import sys
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -31,15 +29,15 @@ from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: states, pairs of tokens and pieces kept a process; beyond, the tables start anew
-STATES, PAIRS, PIECES = 50_000, 1_000_000, 1_000_000
+STATES, PAIRS, PIECES = 50_000, 500_000, 500_000
+#: slots of the table of verdicts on pairs
+SLOTS = 1 << 20
 #: meetings of a place before its arc is formed
 OFTEN = 32
-#: characters up to which a piece's ids are kept; stretches and ids taken at once
+#: characters up to which a piece's ids are kept; ids decoded at once
 SHORT, RUN = 64, 200_000
 #: bytes of texts that are split at once
-BYTES = 16 << 20
-#: a blank after white space (which other engines define for ASCII only), and one after something else
-LATER, INNER = "[" + "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()) + "] ", re.compile(r"(?<=\S) ")
+BYTES = 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -95,31 +93,31 @@ class Transducer:
         self.reset()
 
     def _link(self) -> None:
-        """Trie edges as sorted arrays, and for every node the one of its longest suffix."""
-        order = np.argsort(keys := np.fromiter(self.child.keys(), np.int64, len(self.child)))
-        self.keys, self.to = keys[order], np.fromiter(self.child.values(), np.int64, len(self.child))[order]
-        self.end, self.back = np.array(self.ends, np.int64), np.zeros(len(self.ends), np.int64)
+        """For every node the one of its longest suffix, and where every byte leads (rows of nodes with edges only)."""
+        n = len(self.ends)
+        edges, to = np.fromiter(self.child.keys(), np.int64, len(self.child)), np.fromiter(self.child.values(), np.int64, len(self.child))
+        order = np.argsort(edges)
+        edges, to = edges[order], to[order]
+        self.end, self.back = np.array(self.ends, np.int64), np.zeros(n, np.int64)
         self.width = np.zeros(max(self.tokens) + 1, np.int64)
         for i, t in self.tokens.items():
             self.width[i] = len(t)
-        self.judged = np.zeros(0, np.int64), np.zeros(0, bool)
-        row = np.zeros(1, np.int64)
-        while len(row):
-            lo, hi = np.searchsorted(self.keys, row << 8), np.searchsorted(self.keys, (row + 1) << 8)
+        inner = np.array(self.inner)
+        self.row, self.table = np.where(inner, np.cumsum(inner) - 1, -1), np.zeros((inner.sum(), 256), np.int32)
+        level = np.zeros(1, np.int64)
+        while len(level):
+            own = level[inner[level]]
+            if own[:1].any():  # below node 0, what is no edge goes on from the longest suffix
+                self.table[self.row[own]] = self.table[self.row[self.back[own]]]
+            lo, hi = np.searchsorted(edges, own << 8), np.searchsorted(edges, (own + 1) << 8)
             at = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())
-            node, to = self.keys[at] >> 8, self.to[at]
-            self.back[to] = np.where(node == 0, 0, self._go(self.back[node], self.keys[at] & 255))
-            row = to
-
-    def _go(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """The nodes of the longest suffixes of nodes and a byte each; every byte is an edge of node 0."""
-        out, left = np.zeros(len(node), np.int64), np.arange(len(node))
-        while len(left):
-            at = np.minimum(np.searchsorted(self.keys, key := node << 8 | byte), len(self.keys) - 1)
-            found = self.keys[at] == key
-            out[left[found]] = self.to[at[found]]
-            left, node, byte = left[~found], self.back[node[~found]], byte[~found]
-        return out
+            node, byte, level = edges[at] >> 8, edges[at] & 255, to[at]
+            self.back[level] = np.where(node == 0, 0, self.table[self.row[node], byte])
+            self.table[self.row[node], byte] = level
+            # a node without edges goes on from its longest suffix that has some, which lies higher up
+            rest = level[~inner[level]]
+            self.row[rest] = self.row[self.back[rest]]
+        self.judged, self.verdict = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
 
     def reset(self) -> None:
         self.states = [((0, -1, ()),)]
@@ -193,21 +191,19 @@ class Transducer:
         return next(waiting for node, _, waiting in readings if node == 0)
 
     def _judge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """``follows`` for many pairs; those new to the table are judged once."""
+        """``follows`` for many pairs; a table with one pair a slot keeps the last verdicts."""
         key = a << 32 | b
-        known, good = self.judged
-        at = np.searchsorted(known, key)
-        new = np.unique(key[(known[np.minimum(at, len(known) - 1)] != key) if len(known) else slice(None)])
+        slot = (key * 0x9E3779B97F4A7C1 >> 20) & (SLOTS - 1)
+        out = self.verdict[slot]
+        new = np.flatnonzero(self.judged[slot] != key)
         if len(new):
-            verdicts = np.array([self._may(int(k >> 32), int(k & 0xFFFFFFFF)) for k in new.tolist()], bool)
-            if len(known) > PAIRS:
-                known, good = known[:0], good[:0]
-                new, verdicts = (u := np.unique(key)), np.array([self._may(int(k >> 32), int(k & 0xFFFFFFFF)) for k in u.tolist()], bool)
-            known = np.concatenate([known, new])
-            order = np.argsort(known, kind="stable")
-            self.judged = known, good = known[order], np.concatenate([good, verdicts])[order]
-            at = np.searchsorted(known, key)
-        return good[at]
+            keys, inverse = np.unique(key[new], return_inverse=True)
+            verdicts = np.array([self._may(k >> 32, k & 0xFFFFFFFF) for k in keys.tolist()], bool)
+            out[new] = verdicts[inverse]
+            self.judged[slot[new]], self.verdict[slot[new]] = key[new], out[new]
+            # of pairs that share a slot the last one stays, with its own verdict
+            self.verdict[slot[new]] = verdicts[np.searchsorted(keys, self.judged[slot[new]])]
+        return out
 
     def plain(self, pieces: list[bytes]) -> list[bytes]:
         """32-bit ids of pieces without states: at each place the one token that may follow the one where it starts."""
@@ -218,7 +214,7 @@ class Transducer:
         last, node = np.full(len(data), -1, np.int64), np.zeros(len(pieces), np.int64)
         for i in range(1, int(size.max(initial=0)) + 1):
             n = np.searchsorted(-size, -i, "right")  # pieces that have an i-th byte
-            node = self._go(node[:n], data[first[:n] + i - 1].astype(np.int64))
+            node = self.table[self.row[node[:n]], data[first[:n] + i - 1]]
             left, at = np.arange(n), node
             while len(left):
                 t = self.end[at]
@@ -270,68 +266,34 @@ class Transducer:
 
 
 class Encoder:
-    """Ids of whole texts.
-
-    No match of the pattern may hold a blank after something other than white space. So texts fall apart before such
-    blanks, and only stretches not seen before are matched; of their matches, only those not seen before are encoded.
-    """
+    """Ids of whole texts; of the pattern's matches only those not seen before are encoded."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.machine, self.pattern = Transducer(read_ranks(path)), regex.compile(pattern)
         self.pieces: dict[str, bytes] = {}
-        self.after_blank: dict[str, bytes] = {}
-
-    def _learn(self, stretches: list[str]) -> list[bytes]:
-        """Ids of stretches of text."""
-        matches = [self.pattern.findall(s) for s in stretches]
-        new = [*set(chain.from_iterable(matches)).difference(self.pieces)]
-        self.pieces.update(zip(new, self.machine.encode([p.encode("utf-8", "replace") for p in new])))
-        out = [b"".join(map(self.pieces.__getitem__, m)) for m in matches]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(32-bit ids of all texts one after another, number of ids of each); null is empty."""
+        matches = [self.pattern.findall(t or "") for t in texts.to_pylist()]
+        count = np.fromiter(map(len, matches), np.int64, len(matches))
+        coded = pa.array(chain.from_iterable(matches), pa.string(), size=int(count.sum())).dictionary_encode()
+        pieces, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = [p for p in pieces if p not in self.pieces]
+        self.pieces.update(zip(new, self.machine.encode([p.encode() for p in new])))
+        forms = [*map(self.pieces.__getitem__, pieces)]
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         for p in new:
             if len(p) > SHORT:
                 self.pieces.pop(p, None)
-        return out
-
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(32-bit ids of all texts one after another, number of ids of each); null is empty."""
-        texts = pc.fill_null(texts, "")
-        uneven = pc.match_substring_regex(texts, LATER)
-        parts = pc.split_pattern(texts, " ")
-        if pc.any(uneven).as_py():  # a run of white space that holds a blank stays in one stretch
-            parts = _mended(texts, parts, uneven)
-        counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-        starts = np.cumsum(counts) - counts
-        coded = parts.flatten().dictionary_encode()
-        stretches, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        new = [s for s in stretches if s not in self.after_blank]
-        for k in range(0, len(new), RUN):
-            self.after_blank.update(zip(new[k : k + RUN], self._learn([" " + s for s in new[k : k + RUN]])))
-        # the first stretch of a text has no blank before it
-        forms = [*map(self.after_blank.__getitem__, stretches), *self._learn([stretches[c] for c in code[starts].tolist()])]
-        code[starts] = len(stretches) + np.arange(len(starts))
-        if len(self.after_blank) > PIECES:
-            self.after_blank.clear()
-        for s in new:
-            if len(s) > SHORT:
-                self.after_blank.pop(s, None)
         size = np.fromiter(map(len, forms), np.int64, len(forms)) // 4
         first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(forms), np.int32)
         width = size[code]
-        out = flat[np.repeat(first[code] - (np.cumsum(width) - width), width) + np.arange(width.sum())]
-        return out, np.add.reduceat(width, starts) if len(starts) else width
-
-
-def _mended(texts: pa.Array, parts: pa.Array, uneven: pa.Array) -> pa.Array:
-    """``parts`` with the uneven texts split by ``INNER`` instead."""
-    at = np.arange(len(texts))
-    odd = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
-    other = pa.array([INNER.split(t) for t in texts.take(pa.array(odd)).to_pylist()], parts.type)
-    at[odd] = len(texts) + np.arange(len(odd))
-    return pa.concat_arrays([parts, other]).take(pa.array(at))
+        done = np.concatenate([[0], np.cumsum(width)])
+        out = flat[np.repeat(first[code] - done[:-1], width) + np.arange(done[-1])]
+        return out, np.diff(done[np.concatenate([[0], np.cumsum(count)])])
 
 
 def _utf8_states() -> tuple[np.ndarray, int]:
