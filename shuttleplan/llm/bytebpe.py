@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: states, pairs of tokens and pieces kept a process; beyond, the tables start anew
-STATES, PAIRS, PIECES = 50_000, 500_000, 500_000
+STATES, PAIRS, PIECES = 50_000, 500_000, 400_000
 #: slots of the table of verdicts on pairs
 SLOTS = 1 << 20
 #: meetings of a place before its arc is formed
@@ -276,9 +276,15 @@ class Encoder:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(32-bit ids of all texts one after another, number of ids of each); null is empty."""
-        matches = [self.pattern.findall(t or "") for t in texts.to_pylist()]
+        texts = [t or "" for t in texts.to_pylist()]
+        matches = [*map(self.pattern.findall, texts)]
         count = np.fromiter(map(len, matches), np.int64, len(matches))
-        coded = pa.array(chain.from_iterable(matches), pa.string(), size=int(count.sum())).dictionary_encode()
+        every = chain.from_iterable(matches)
+        if count.sum() == 0 or any("\0" in t for t in texts):
+            every = pa.array([*every], pa.string())
+        else:  # one string is handed over faster than many
+            every = pc.split_pattern(pa.array(["\0".join(every)], pa.large_string()), "\0").flatten()
+        coded = every.dictionary_encode()
         pieces, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         new = [p for p in pieces if p not in self.pieces]
         self.pieces.update(zip(new, self.machine.encode([p.encode() for p in new])))

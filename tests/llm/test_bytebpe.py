@@ -30,8 +30,10 @@ def texts(n=1500):
     return ["".join(rng.choice(k) for _ in range(rng.randint(0, 80))) for k in (rng.choice(kinds) for _ in range(n))]
 
 
-def test_encoding():
+@pytest.mark.parametrize("zero", [False, True])
+def test_encoding(zero):
     some = [*texts(), None, "", " ", "a  b", "a   b\n\n c ", "<|endoftext|>", "don't we'll", "x" * 5000, "ab " * 4000]
+    some += ["a\0b"] if zero else []
     for _ in range(2):  # the second time from the tables
         flat, counts = own().ids(pa.array(some, pa.string()))
         assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [other().encode_ordinary(t or "") for t in some]
