@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: states, pairs of tokens and pieces kept a process; beyond, the tables start anew
-STATES, PAIRS, PIECES = 50_000, 500_000, 400_000
+STATES, PAIRS, PIECES = 50_000, 250_000, 250_000
 #: slots of the table of verdicts on pairs
 SLOTS = 1 << 20
 #: meetings of a place before its arc is formed
@@ -37,7 +37,7 @@ OFTEN = 32
 #: characters up to which a piece's ids are kept; ids decoded at once
 SHORT, RUN = 64, 200_000
 #: bytes of texts that are split at once
-BYTES = 8 << 20
+BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -134,6 +134,7 @@ class Transducer:
         """May token ``b`` stand right after ``a``: nothing merges across while both form, each at its own pace."""
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
+            self.steps.clear()
         one, two, none = self._steps(a), self._steps(b), len(self.ranks) << 32
         last, first = self.tokens[a][-1:], self.tokens[b][:1]
         i = j = 0
