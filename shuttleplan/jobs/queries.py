@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql.window import Window
 
 from shuttleplan.functions import geo as G
 from shuttleplan.functions import text as T
-from shuttleplan.functions.scratch import materialize
+from shuttleplan.functions.scratch import materialize, shared_folder
 from shuttleplan.jobs import plans
 from shuttleplan.jobs.sqltext import bearing, ctes, dest, hav, in_poly, near, wrap
 from shuttleplan.operators import clean, cluster, graph, report, responses, routes, shapes, spatial, stops
@@ -92,14 +93,11 @@ def _(spark, sf):
 
 
 def stored(spark, sf, how: str):
-    from shuttleplan.functions.scratch import shared_folder
-    import uuid
-
     path = f"{shared_folder(spark)}/groups-{uuid.uuid4().hex}"
     groups = clean.group_postal_codes(geocoded(spark, sf), KEY)
     tables.append_groups(groups, path)
     (tables.append_groups if how == "append" else tables.replace_groups)(groups.where("scenario_id < 5"), path)
-    return spark.read.schema(groups.schema).parquet(path)
+    return tables.read_groups(spark, path).select(*groups.columns)
 
 
 D1 = "groups as (select scenario_id, cp, lat, lon, address, count(*) as count from geocoded where cp is not null and lat is not null and lon is not null and address is not null group by all)"
@@ -141,6 +139,22 @@ def _(spark, sf):
     return tables.remove_by_id(p, p.where("person_id % 7 = 3"), "person_id").select(*p.columns)
 
 
+@query("a7_removed_from_store", f"{GEO}, {D1} select scenario_id, cp, count from groups where right(cp, 1) <> '3'")
+def _(spark, sf):
+    path = f"{shared_folder(spark)}/groups-{uuid.uuid4().hex}"
+    groups = clean.group_postal_codes(geocoded(spark, sf), KEY)
+    tables.append_groups(groups, path, "first")
+    tables.remove_groups(spark, path, groups.where("right(cp, 1) = '3'"), "cp")
+    return tables.read_groups(spark, path).select(*[F.col(c).cast(groups.schema[c].dataType) for c in ("scenario_id", "cp", "count")])
+
+
+@query("a6_registered_maps", f"{MAPS} select * from maps")
+def _(spark, sf):
+    path = f"{shared_folder(spark)}/maps-{uuid.uuid4().hex}"
+    tables.register_map(maps(spark, sf), path)
+    return spark.read.parquet(path).select("map_id", "city", "user")
+
+
 # --- projections, filters, predicates -----------------------------------------------------------
 
 
@@ -234,6 +248,12 @@ def _(spark, sf):
     return out.withColumn("distance_m", r("distance_m"))
 
 
+@query("c2_radius_join_hot_cells", f"{MATCH} select scenario_id, person_id, stop_id, round(d, 3) as distance_m from pairs")
+def _(spark, sf):
+    out = spatial.radius_join(view(spark, sf, "people_points"), view(spark, sf, "stops"), 1000, KEY, "person_id", "stop_id", hot=8)
+    return out.withColumn("distance_m", r("distance_m"))
+
+
 @query("c3_near_any_stop", f"{MATCH} select distinct person_id from pairs")
 def _(spark, sf):
     return spatial.near_any(view(spark, sf, "people_points"), view(spark, sf, "stops"), 1000, KEY, "person_id", "stop_id").select("person_id")
@@ -588,7 +608,17 @@ def _(spark, sf):
     return stops.assign_nearest(matches(spark, sf), KEY).withColumn("distance_m", r("distance_m"))
 
 
-@query("f9_balanced_assignment")
+# one person of every scenario a step, in id order; loads is what the stops hold so far
+BALANCED = MATCH.replace("with ", "with recursive ", 1) + """, choices as (select scenario_id, person_id, list(stop_id order by stop_id) as options, row_number() over (partition by scenario_id order by person_id) as k from pairs group by scenario_id, person_id),
+    walk(scenario_id, k, person_id, stop_id, loads) as (
+        select distinct scenario_id, cast(0 as bigint), cast(null as bigint), cast(null as bigint), cast(map() as map(bigint, bigint)) from choices
+        union all
+        select scenario_id, k, person_id, pick, map_concat(loads, map([pick], [coalesce(loads[pick], 0) + 1])) from (
+            select w.scenario_id, c.k, c.person_id, w.loads, list_sort(list_transform(c.options, lambda s: {'load': coalesce(w.loads[s], 0), 'stop': s}))[1].stop as pick
+            from walk w join choices c on c.scenario_id = w.scenario_id and c.k = w.k + 1))"""
+
+
+@query("f9_balanced_assignment", f"{BALANCED} select w.person_id, w.stop_id, round(p.d, 3) as distance_m from walk w join pairs p on p.scenario_id = w.scenario_id and p.person_id = w.person_id and p.stop_id = w.stop_id")
 def _(spark, sf):
     return stops.assign_balanced(matches(spark, sf)).withColumn("distance_m", r("distance_m"))
 

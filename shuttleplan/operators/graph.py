@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from shuttleplan.functions.geo import distance, in_polygon, same_point, travel_time, with_corridor
 from shuttleplan.functions.scratch import materialize
-from shuttleplan.operators.order import numbered
+from shuttleplan.operators.order import numbered, percentiles
 from shuttleplan.operators.spatial import nearest_n
 
 PLANT = 0
@@ -45,8 +45,8 @@ def candidate_edges(nodes: DataFrame, n: int | None = 8, strategy: str = "full",
 
     full: the nearest nodes; wide and narrow: of those inside a corridor from the source to the plant
     (10 m beyond the ends and as wide as the distance to the plant; 100 m and a sixth of it), and the
-    plant has one edge of length 0 to itself. Equal distances go by node id. With ``n`` the search grows
-    from near cells, with None all pairs are the result. Nodes without coordinates have no edges.
+    plant has one edge of length 0 to itself. Equal distances go by node id. With ``n`` only near cells are
+    searched, of a corridor those that it meets; with None all pairs are the result. Nodes without coordinates have no edges.
     """
     keys = keys or ["scenario_id"]
     plants = nodes.where(F.col("node_id") == PLANT).select(*keys, F.col("lat").alias("plant_lat"), F.col("lon").alias("plant_lon"))
@@ -91,12 +91,14 @@ def attach_roads(edges: DataFrame, roads: DataFrame, keys: list[str] | None = No
 def robust(df: DataFrame, column: str, out: str, keys: list[str], negated: bool = False, weight: float = 1.0, approximate: bool = False) -> DataFrame:
     """Adds (x - median) / (q85 - q25), shifted to a least value of 0, times ``weight``; a zero range divides by 1.
 
-    ``approximate`` takes approximate percentiles, for groups whose values do not fit one task.
+    Percentiles are exact (``order.percentiles``); ``approximate`` takes approximate ones, in one pass.
     """
-    q = F.percentile_approx(column, [0.25, 0.5, 0.85], 100_000) if approximate else F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.85)))
-    stats = df.groupBy(*keys).agg(q.alias("_q"), F.min(column).alias("_min"), F.max(column).alias("_max"))
-    joined = df.join(stats, keys)
-    spread = F.col("_q")[2] - F.col("_q")[0]
+    if approximate:
+        quarters = df.groupBy(*keys).agg(F.percentile_approx(column, [0.25, 0.85], 100_000).alias("_q"))
+    else:
+        quarters = percentiles(df, column, [0.25, 0.85], keys).withColumnRenamed("q", "_q")
+    joined = df.join(df.groupBy(*keys).agg(F.min(column).alias("_min"), F.max(column).alias("_max")), keys).join(quarters, keys, "left")
+    spread = F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))
     scale = F.when(spread == 0, F.lit(1.0)).otherwise(spread)
     value = ((F.col("_max") - F.col(column)) if negated else (F.col(column) - F.col("_min"))) / scale
     return joined.withColumn(out, value * F.lit(weight)).drop("_q", "_min", "_max")

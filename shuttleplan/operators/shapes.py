@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,61 +34,76 @@ def densify(points: DataFrame, eps: float, keys: list[str]) -> DataFrame:
     return out.select(*keys, "pos", "k", at("lat", "_lat").alias("lat"), at("lon", "_lon").alias("lon"))
 
 
-def _decode(text: str | None) -> list[dict] | None:
-    """Points of an encoded polyline; null for null or for text that ends inside a number."""
-    if text is None:
-        return None
-    values, value, shift = [], 0, 0
-    for ch in text:
-        byte = ord(ch) - 63
-        value |= (byte & 31) << shift
-        shift += 5
-        if byte < 32:
-            values.append(~(value >> 1) if value & 1 else value >> 1)
-            value = shift = 0
-    if shift or len(values) % 2:
-        return None
-    out, lat, lon = [], 0, 0
-    for a, b in zip(values[::2], values[1::2]):
-        lat, lon = lat + a, lon + b
-        out.append({"lat": lat / 1e5, "lon": lon / 1e5})
-    return out
-
-
-def _encode(points: list | None) -> str | None:
-    """Coordinates are cut (not rounded) to five places."""
-    if points is None:
-        return None
-    out, before = [], (0, 0)
-    for p in points:
-        now = (int(p["lat"] * 1e5), int(p["lon"] * 1e5))
-        for a, b in zip(now, before):
-            v = (a - b) << 1
-            v = ~v if v < 0 else v
-            while v >= 32:
-                out.append(chr((v & 31 | 32) + 63))
-                v >>= 5
-            out.append(chr(v + 63))
-        before = now
-    return "".join(out)
+#: characters of a number at most (five bits each), and points summed at once
+LETTERS, CHUNK = 13, 64
 
 
-def decode_polyline(text: str | Column) -> Column:
-    """Ordered points of an encoded polyline."""
+def _pick(x: Column, i: Column) -> Column:
+    return F.get(x, i)
 
-    @F.pandas_udf(POINTS)
-    def decode(texts: pd.Series) -> pd.Series:
-        return pd.Series([_decode(t) for t in texts], dtype=object)
 
-    return decode(text)
+def decode_polyline(text: str | Column) -> Column:
+    """Ordered points of an encoded polyline; null for null, for text that ends inside a number or a point, and for longer numbers than 64 bits.
+
+    Characters become groups of five bits; a group below 32 ends a number. Numbers are differences, summed in chunks.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    codes = F.transform(F.filter(F.split(text, ""), lambda ch: ch != ""), lambda ch: F.ascii(ch) - 63)
+    steps = lambda codes, ends: F.transform(
+        ends,
+        lambda end, k: F.aggregate(
+            F.transform(F.slice(codes, F.coalesce(_pick(ends, k - 1), F.lit(-1)) + 2, end - F.coalesce(_pick(ends, k - 1), F.lit(-1))), lambda x, j: F.call_function("shiftleft", x.bitwiseAND(31).cast("bigint"), j * 5)),
+            F.lit(0).cast("bigint"),
+            lambda a, b: a + b,
+        ),
+    )
+    signed = lambda v: F.when(v % 2 != 0, -F.shiftright(v, 1) - 1).otherwise(F.shiftright(v, 1))
+
+    def sums(d: Column) -> Column:
+        total = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda a, b: a + b)
+        return _with(
+            F.transform(F.sequence(F.lit(0), F.floor(F.size(d) / CHUNK).cast("int")), lambda c: total(F.slice(d, c * CHUNK + 1, CHUNK))),
+            lambda chunks: F.transform(d, lambda _, i: total(F.slice(chunks, F.lit(1), F.floor(i / CHUNK).cast("int"))) + total(F.slice(d, F.floor(i / CHUNK).cast("int") * CHUNK + 1, i % CHUNK + 1))),
+        )
+
+    def points(codes: Column, ends: Column) -> Column:
+        whole = (F.coalesce(_pick(ends, F.size(ends) - 1), F.lit(-1)) == F.size(codes) - 1) & (F.size(ends) % 2 == 0)
+        short = ~F.exists(F.transform(ends, lambda e, k: e - F.coalesce(_pick(ends, k - 1), F.lit(-1))), lambda n: n > LETTERS)
+        split = lambda v, side: F.filter(v, lambda _, i: i % 2 == side)
+        pair = lambda v: F.transform(F.arrays_zip(sums(split(v, 0)).alias("a"), sums(split(v, 1)).alias("b")), lambda p: F.struct((p["a"] / 1e5).alias("lat"), (p["b"] / 1e5).alias("lon")))
+        return F.when(whole & short, _with(F.transform(steps(codes, ends), signed), pair))
+
+    ends = lambda codes: F.filter(F.transform(codes, lambda x, i: F.when(x < 32, i)), lambda i: i.isNotNull())
+    return _with(codes, lambda c: _with(ends(c), lambda e: points(c, e)))
+
+
+def _with(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def encode_polyline(points: str | Column) -> Column:
-    @F.pandas_udf("string")
-    def encode(lists: pd.Series) -> pd.Series:
-        return pd.Series([_encode(p) for p in lists], dtype=object)
+    """Encoded polyline of ordered points; coordinates are cut (not rounded) to five places. Null for null.
+
+    Differences with the sign in the lowest bit, five bits a character from the low end.
+    """
+    whole = lambda x: (x * F.lit(1e5)).cast("bigint")
+
+    def letters(v: Column) -> Column:
+        groups = F.filter(F.sequence(F.lit(0), F.lit(LETTERS - 1)), lambda j: (j == 0) | (F.call_function("shiftright", v, j * 5) > 0))
+        more = lambda j: F.when((j < LETTERS - 1) & (F.call_function("shiftright", v, (j + 1) * 5) > 0), 32).otherwise(0)
+        return F.array_join(F.transform(groups, lambda j: F.char(F.call_function("shiftright", v, j * 5).bitwiseAND(31) + more(j) + 63)), "")
+
+    def number(now: Column, before: Column) -> Column:
+        d = now - F.coalesce(before, F.lit(0))
+        return F.when(d < 0, -2 * d - 1).otherwise(2 * d)
+
+    def text(p: Column) -> Column:
+        both = lambda x, i: F.concat(*[_with(number(x[c], _pick(p, i - 1)[c]), letters) for c in ("a", "b")])
+        return F.array_join(F.transform(p, both), "")
 
-    return encode(points)
+    points = F.col(points) if isinstance(points, str) else points
+    return _with(F.transform(points, lambda p: F.struct(whole(p["lat"]).alias("a"), whole(p["lon"]).alias("b"))), text)
 
 
 def ordered_points(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import degrees, pi, radians, sqrt
+from math import degrees, pi, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +41,27 @@ def with_near_cells(df: DataFrame, radius: float) -> DataFrame:
     return rows.withColumn("_col", F.explode(F.array_distinct(cols)))
 
 
-def radius_join(points: DataFrame, probes: DataFrame, radius: float, keys: list[str], point_id: str, probe_id: str, salts: int = 1) -> DataFrame:
+#: points that a cell's task takes at once where ``hot`` is asked for
+HOT = 100_000
+
+
+def _split_hot(a: DataFrame, b: DataFrame, on: list[str], hot: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_salt``: cells of more than ``hot`` points are dealt into as many parts as that takes, the others stay whole.
+
+    The table of such cells has a row for every ``hot`` points at most, so counting them first moves little.
+    """
+    cells = materialize(a.groupBy(*on).agg(F.ceil(F.count("*") / hot).alias("_parts")).where("_parts > 1"))
+    a = a.join(cells, on, "left").withColumn("_salt", F.pmod(F.xxhash64("_a"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    b = b.join(cells, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - F.lit(1).cast("bigint")))).drop("_parts")
+    return a, b
+
+
+def radius_join(points: DataFrame, probes: DataFrame, radius: float, keys: list[str], point_id: str, probe_id: str, salts: int = 1, hot: int | None = None) -> DataFrame:
     """(keys, point_id, probe_id, distance_m) of all pairs within ``radius`` metres, ends included.
 
     Both sides have ``keys``, their id, lat, lon; ids are unique per key. The probes are the smaller
-    side: they are replicated to nine cells, and ``salts`` times more if the points crowd few cells.
+    side: they are replicated to nine cells, and ``salts`` times more if the points crowd few cells. ``hot`` splits only
+    the cells that hold more points than that, as measured.
     Rows with a null coordinate or key pair with nothing.
     """
     a = with_cell(points.select(*keys, F.col(point_id).alias("_a"), "lat", "lon").where("lat is not null and lon is not null"), radius)
@@ -56,6 +72,9 @@ def radius_join(points: DataFrame, probes: DataFrame, radius: float, keys: list[
         a = a.withColumn("_salt", F.pmod(F.xxhash64("_a"), F.lit(salts)))
         b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_salt", F.col("_salt").cast("bigint"))
         on = [*on, "_salt"]
+    elif hot:
+        a, b = _split_hot(a, b, on, hot)
+        on = [*on, "_salt"]
     d = distance("lat", "lon", "_lat", "_lon", EARTH_RADIUS_SEARCH)
     pairs = a.join(b, on).withColumn("distance_m", d).where(F.col("distance_m") <= radius)
     return pairs.select(*keys, F.col("_a").alias(point_id), F.col("_b").alias(probe_id), "distance_m")
@@ -67,65 +86,142 @@ def near_any(points: DataFrame, probes: DataFrame, radius: float, keys: list[str
     return points.join(near, [*keys, point_id], "left_anti" if negated else "left_semi")
 
 
+#: the finest level of the nested grid, whose cells have a side of 360 / 2 ** 24 degrees; every second level is counted
+FINEST, STEP = 24, 2
+
+
+def _place(degrees_: Column, off: float) -> Column:
+    """Row or column of a coordinate on the finest level."""
+    return F.floor((degrees_ + off) * (2**FINEST / 360.0))
+
+
+def _shifted(x: Column, level: Column) -> Column:
+    return F.floor(x / F.pow(F.lit(2.0), F.lit(FINEST) - level))
+
+
+def _at_levels(spots: DataFrame, levels: list[int]) -> DataFrame:
+    """Points (_lat, _lon) with their cell on each of the levels: (_level, _row, _col)."""
+    out = spots.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    return out.withColumns({"_row": _shifted(_place(F.col("_lat"), 90.0), F.col("_level")), "_col": _shifted(_place(F.col("_lon"), 180.0), F.col("_level"))})
+
+
+def _own_level(sources: DataFrame, spots: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """Sources (lat, lon) with ``side``: degrees of the finest cell round the source that holds ``n`` points, 360 if none does.
+
+    A quadtree from counts: cells of the finest level are counted, and their counts summed level by level. So
+    every source starts at the scale of its own neighbourhood, however dense others are.
+    """
+    levels = [*range(0, FINEST + 1, STEP)]
+    fine = spots.groupBy(*keys, _place(F.col("_lat"), 90.0).alias("_r"), _place(F.col("_lon"), 180.0).alias("_c")).agg(F.count("*").alias("_n"))
+    fine = fine.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    cells = fine.groupBy(*keys, "_level", _shifted(F.col("_r"), F.col("_level")).alias("_row"), _shifted(F.col("_c"), F.col("_level")).alias("_col")).agg(F.sum("_n").alias("_n"))
+    cells = materialize(cells.where(F.col("_n") >= n).drop("_n"))
+    at = _at_levels(sources.select(*keys, "_a", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), levels)
+    own = at.join(cells, [*keys, "_level", "_row", "_col"], "left_semi").groupBy(*keys, "_a").agg(F.max("_level").alias("_level"))
+    return sources.join(own, [*keys, "_a"], "left").withColumn("side", F.lit(360.0) / F.pow(F.lit(2.0), F.coalesce("_level", F.lit(0)))).drop("_level")
+
+
+def _strip(area: str, south: Column, north: Column) -> Column:
+    """(w, e): how far the closed polygon reaches between two latitudes, null if it does not."""
+
+    def part(i: Column) -> Column:
+        a, b = F.element_at(area, i), F.element_at(area, i + 1)
+        meets = (F.greatest(a["lat"], b["lat"]) >= south) & (F.least(a["lat"], b["lat"]) <= north)
+        at = lambda y: F.least(F.greatest(F.coalesce(F.try_divide(y - a["lat"], b["lat"] - a["lat"]), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        flat = a["lat"] == b["lat"]
+        one, two = F.when(flat, F.lit(0.0)).otherwise(at(south)), F.when(flat, F.lit(1.0)).otherwise(at(north))
+        ends = [a["lon"] + t * (b["lon"] - a["lon"]) for t in (one, two)]
+        return F.when(meets, F.struct(F.least(*ends).alias("w"), F.greatest(*ends).alias("e")))
+
+    parts = F.transform(F.sequence(F.lit(1), F.size(area) - 1), part)
+    return F.struct(F.array_min(F.transform(parts, lambda p: p["w"])).alias("w"), F.array_max(F.transform(parts, lambda p: p["e"])).alias("e"))
+
+
+def _cover(sources: DataFrame, d_lat: Column, d_lon: Column, area: bool) -> DataFrame:
+    """One row for each cell that may hold a point within (d_lat, d_lon) degrees of a source and, if asked, in its ``area``.
+
+    Cells are as large as half the reach or more, so a source has at most some 25; rows of cells are cut to what the
+    polygon covers of them, a ten-thousandth of a degree more on every side.
+    """
+    level = F.least(F.greatest(F.floor(F.log2(F.lit(360.0) / F.greatest(d_lat, d_lon))) + 1, F.lit(0)), F.lit(FINEST)).cast("int")
+    out = sources.withColumns({"_dlat": d_lat, "_dlon": d_lon, "_level": level}).withColumn("_side", F.lit(360.0) / F.pow(F.lit(2.0), F.col("_level")))
+    low, high = F.greatest(F.col("lat") - F.col("_dlat"), F.lit(-90.0)), F.least(F.col("lat") + F.col("_dlat"), F.lit(90.0))
+    if area:
+        tips = F.transform("area", lambda p: p["lat"])
+        low, high = F.greatest(low, F.array_min(tips) - 1e-4), F.least(high, F.array_max(tips) + 1e-4)
+    rows = F.sequence(_shifted(_place(low, 90.0), F.col("_level")), _shifted(_place(high, 90.0), F.col("_level")))
+    out = out.withColumn("_row", F.explode(F.when(low <= high, rows)))
+    west, east = F.lit(-180.0), F.lit(180.0)
+    if area:
+        out = out.withColumn("_s", _strip("area", F.col("_row") * F.col("_side") - 90 - 1e-4, (F.col("_row") + 1) * F.col("_side") - 90 + 1e-4)).where("_s.w is not null")
+        west, east = F.greatest(F.col("_s.w") - 1e-4, west), F.least(F.col("_s.e") + 1e-4, east)
+
+    def columns(turn: float) -> Column:
+        a, b = F.greatest(F.col("lon") - F.col("_dlon") + turn, west), F.least(F.col("lon") + F.col("_dlon") + turn, east)
+        return F.when(a <= b, F.sequence(_shifted(_place(a, 180.0), F.col("_level")), _shifted(_place(b, 180.0), F.col("_level")))).otherwise(F.array().cast("array<bigint>"))
+
+    cols = F.array_distinct(F.concat(*[columns(t) for t in (-360.0, 0.0, 360.0)]))
+    return out.withColumn("_col", F.explode(cols)).drop("_dlat", "_dlon", "_side", *(["_s"] if area else []))
+
+
 def nearest_n(sources: DataFrame, points: DataFrame, n: int, keys: list[str], source_id: str, point_id: str, accept: Callable[[], Column] | None = None) -> DataFrame:
     """(keys, source_id, point_id, dist_est, rank): the n nearest points of every source, by distance and then id.
 
-    Both have ``keys``, their id, lat, lon; ids are unique per key. ``accept`` may restrict the pairs by the
-    sources' other columns and the point's ``_lat``, ``_lon``; a column ``reach`` of the sources then tells
-    the metres beyond which nothing is accepted. The radius of a join on grid cells doubles until every
-    source has its n, all points of its key, or its reach; each round takes only the sources that lack some.
+    Both have ``keys``, their id, lat, lon; ids are unique per key. Each source starts with the radius of the finest cell of a
+    nested grid that holds n points (``_own_level``), which is enough unless ``accept`` leaves some out: it may restrict
+    the pairs by the sources' other columns and the point's ``_lat``, ``_lon``. Sources that lack some
+    go on with four times their radius, until they have n, all points of their key, or their ``reach`` (a column, the metres beyond which nothing
+    is accepted). With a column ``area``, a closed polygon outside of which nothing is accepted, only cells that it meets are joined.
     A null coordinate pairs with nothing; points of a key without a source and sources without a point go.
     """
     spots = points.select(*keys, F.col(point_id).alias("_b"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).where("_lat is not null and _lon is not null")
-    totals = spots.groupBy(*keys).agg(F.count("*").alias("_total"), F.min("_lat").alias("s"), F.max("_lat").alias("n"), F.min("_lon").alias("w"), F.max("_lon").alias("e"))
-    totals = materialize(totals)
-    share = totals.agg(F.min((F.col("n") - F.col("s") + 1e-6) * (F.col("e") - F.col("w") + 1e-6) / F.col("_total"))).first()[0]
-    # the side of an area that holds one point on average, and n times that
-    radius = max(1.0, sqrt((share or 1.0) * (n + 1) / pi) * radians(1) * EARTH_RADIUS_SEARCH)
-    plain = sources.withColumn("_a", F.col(source_id)).where("lat is not null and lon is not null").join(totals.select(*keys, "_total"), keys)
+    spots = materialize(spots)
+    totals = spots.groupBy(*keys).agg(F.count("*").alias("_total"))
+    plain = sources.withColumn("_a", F.col(source_id)).where("lat is not null and lon is not null").join(totals, keys)
     if "reach" not in sources.columns:
         plain = plain.withColumn("reach", F.lit(float("inf")))
-    left, done = materialize(plain), None
+    plain = _own_level(plain, spots, n, keys)
+    left, done = materialize(plain.withColumn("_r", F.radians("side") * sqrt(2) * EARTH_RADIUS_SEARCH * 1.001 + 1e-3).drop("side")), None
     while True:
-        cells = with_cell(spots.withColumnsRenamed({"_lat": "lat", "_lon": "lon"}), radius).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
-        pairs = with_near_cells(left, radius).join(cells, [*keys, "_row", "_col"]).where(distance("lat", "lon", "_lat", "_lon", EARTH_RADIUS_SEARCH) <= radius)
+        d_lat = F.degrees(F.col("_r") / EARTH_RADIUS_SEARCH) * 1.000001
+        edge = F.least(F.abs("lat") + d_lat, F.lit(90.0))
+        d_lon = F.least(F.lit(360.0), F.try_divide(d_lat, F.greatest(F.cos(F.radians(edge)), F.lit(1e-4))))
+        near = _cover(left, d_lat, d_lon, "area" in left.columns)
+        levels = [r[0] for r in near.select("_level").distinct().collect()]
+        if not levels:
+            return (done if done is not None else left.select(*keys, "_a", F.lit(None).cast("bigint").alias("_b"), F.lit(0.0).alias("dist_est"), F.lit(1).alias("rank")).where("false")).select(*keys, F.col("_a").alias(source_id), F.col("_b").alias(point_id), "dist_est", "rank")
+        pairs = near.join(_at_levels(spots, levels), [*keys, "_level", "_row", "_col"]).where(distance("lat", "lon", "_lat", "_lon", EARTH_RADIUS_SEARCH) <= F.col("_r"))
         pairs = (pairs.where(accept()) if accept else pairs).withColumn("dist_est", distance("lat", "lon", "_lat", "_lon"))
         rank = F.row_number().over(Window.partitionBy(*keys, "_a").orderBy("dist_est", "_b"))
         found = materialize(pairs.withColumn("rank", rank).where(F.col("rank") <= n).select(*keys, "_a", "_b", "dist_est", "rank"))
         have = left.join(found.groupBy(*keys, "_a").agg(F.count("*").alias("_m")), [*keys, "_a"], "left")
-        enough = (F.coalesce("_m", F.lit(0)) >= F.least(F.lit(n), "_total")) | (F.col("reach") <= radius) | F.lit(radius > pi * EARTH_RADIUS_SEARCH)
+        enough = (F.coalesce("_m", F.lit(0)) >= F.least(F.lit(n), "_total")) | (F.col("reach") <= F.col("_r")) | (F.col("_r") > pi * EARTH_RADIUS_SEARCH)
         left = materialize(have.where(~enough).drop("_m"))
-        found = found.join(left.select(*keys, "_a"), [*keys, "_a"], "left_anti")
-        done = found if done is None else done.unionByName(found)
         if left.isEmpty():
+            done = found if done is None else done.unionByName(found)
             return done.select(*keys, F.col("_a").alias(source_id), F.col("_b").alias(point_id), "dist_est", "rank")
-        radius *= 2
+        found = found.join(left.select(*keys, "_a"), [*keys, "_a"], "left_anti")
+        done = found if done is None else done.unionByName(found)
+        left = left.withColumn("_r", F.least(F.col("_r") * 4, F.greatest(F.col("reach"), F.col("_r"))))
 
 
 def nearest_probe(points: DataFrame, probes: DataFrame, keys: list[str], point_id: str, probe_id: str) -> DataFrame:
     """For every probe, the point with the least squared degree distance; the least id on ties.
 
-    Square cells in degrees, joined to the nine around a probe, doubling until a point lies within one
-    side of every probe. Probes without a point of their key, or without coordinates, go.
+    The finest cell of the nested grid that holds both the probe and a point bounds the distance, so the cells within its diagonal
+    are joined once. Probes without a point of their key, or without coordinates, go.
     """
-    a = points.select(*keys, F.col(point_id).alias("_a"), "lat", "lon").where("lat is not null and lon is not null")
-    b = probes.select(*keys, F.col(probe_id).alias("_b"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).where("_lat is not null and _lon is not null")
-    totals = materialize(a.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("lat") - F.min("lat")).alias("h"), (F.max("lon") - F.min("lon")).alias("w")))
-    share = totals.agg(F.min((F.col("h") + 1e-6) * (F.col("w") + 1e-6) / F.col("n"))).first()[0]
-    side, left, done = sqrt(share or 1.0) * 2, materialize(b.join(totals.select(*keys), keys, "left_semi")), None
-    while True:
-        steps = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-        near = left.withColumn("_o", steps).withColumn("_row", F.floor(F.col("_lat") / side) + F.col("_o"))
-        near = near.withColumn("_o", steps).withColumn("_col", F.floor(F.col("_lon") / side) + F.col("_o"))
-        cells = a.withColumns({"_row": F.floor(F.col("lat") / side), "_col": F.floor(F.col("lon") / side)})
-        d2 = squared_degrees("lat", "lon", "_lat", "_lon")
-        found = near.join(cells, [*keys, "_row", "_col"]).groupBy(*keys, "_b").agg(F.min(F.struct(d2.alias("d2"), F.col("_a").alias(point_id))).alias("m"))
-        found = materialize(found.where(F.col("m.d2") <= side * side))
-        done = found if done is None else done.unionByName(found)
-        left = materialize(left.join(found, [*keys, "_b"], "left_anti"))
-        if left.isEmpty():
-            return done.select(*keys, F.col("_b").alias(probe_id), f"m.{point_id}", "m.d2")
-        side *= 2
+    a = points.select(*keys, F.col(point_id).alias("_b"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).where("_lat is not null and _lon is not null")
+    b = probes.select(*keys, F.col(probe_id).alias("_a"), "lat", "lon").where("lat is not null and lon is not null")
+    a = materialize(a)
+    b = _own_level(b.join(a.select(*keys).distinct(), keys, "left_semi"), a, 1, keys)
+    reach = F.col("side") * sqrt(2) * 1.001
+    near = materialize(_cover(b.withColumn("_d", reach), F.col("_d"), F.col("_d"), False))
+    levels = [r[0] for r in near.select("_level").distinct().collect()] or [0]
+    pairs = near.join(_at_levels(a, levels), [*keys, "_level", "_row", "_col"])
+    d2 = squared_degrees("_lat", "_lon", "lat", "lon")
+    found = pairs.groupBy(*keys, "_a").agg(F.min(F.struct(d2.alias("d2"), F.col("_b").alias(point_id))).alias("m"))
+    return found.select(*keys, F.col("_a").alias(probe_id), f"m.{point_id}", "m.d2")
 
 
 def covered_split(points: DataFrame, assignments: DataFrame, keys: list[str], point_id: str) -> tuple[DataFrame, DataFrame]:

@@ -40,29 +40,48 @@ def scatter(groups: DataFrame, keys: list[str], max_radius: float = 750.0, seed:
     return rows.withColumn("p", destination("lat", "lon", metres, heading)).select(*keys, "cp", "i", F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
 
 
-def thin(stops: DataFrame, radius: float = 200.0, keys: list[str] | None = None, stop_id: str = "stop_id") -> DataFrame:
+#: stops or people of a component that one task scans at once
+BLOCK = 50_000
+
+
+def _thin_scan(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block of a component in id order; ``b`` is a lower neighbour (null for none), ``gone`` tells that an earlier block keeps it."""
+    rows = rows.sort_values("a", kind="stable")
+    kept: dict[int, bool] = {}
+    for a, b, gone in zip(rows["a"].tolist(), rows["b"].tolist(), rows["gone"].tolist()):
+        kept[a] = kept.get(a, True) and not gone and not (b == b and b is not None and kept.get(int(b), False))
+    return pd.DataFrame({"a": [a for a, yes in kept.items() if yes]}, dtype="int64")
+
+
+def thin(stops: DataFrame, radius: float = 200.0, keys: list[str] | None = None, stop_id: str = "stop_id", block: int = BLOCK) -> DataFrame:
     """Stops that a scan in id order keeps: those without a kept one within the radius.
 
-    The scan's result is the lexicographically first maximal independent set of the radius graph.
-    Each round keeps every undecided stop without a lower undecided neighbour and drops the
-    neighbours of those kept; ids are unique over all keys. Of stops at one place only the least can stay,
+    The scan depends on its order inside a component of the radius graph only, so components are scanned side by side, in
+    blocks of ``block`` stops: a block sees what earlier ones kept. Rounds are as many as
+    the largest component has blocks. Ids are unique over all keys. Of stops at one place only the least can stay,
     so the graph is one of places. Stops without coordinates stay.
     """
     keys = keys or []
     placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    spots = materialize(stops.where(placed).groupBy(*keys, "lat", "lon").agg(F.min(stop_id).alias(stop_id)))
+    spots = materialize(stops.where(placed).groupBy(*keys, "lat", "lon").agg(F.min(stop_id).cast("bigint").alias(stop_id)))
     pairs = radius_join(spots, spots.withColumnRenamed(stop_id, "_other"), radius, keys, stop_id, "_other")
-    edges = materialize(pairs.where(F.col(stop_id) != F.col("_other")).select(F.col(stop_id).alias("a"), F.col("_other").alias("b")))
-    open_ = materialize(spots.select(F.col(stop_id).alias("a")))
-    kept = stops.where(~placed).select(F.col(stop_id).alias("a"))
-    while True:
-        lower = edges.where("b < a").join(open_.select(F.col("a").alias("b")), "b", "left_semi").select("a").distinct()
-        win = materialize(open_.join(lower, "a", "left_anti"))
-        kept = materialize(kept.union(win))
-        beaten = edges.join(win, "a", "left_semi").select(F.col("b").alias("a")).distinct()
-        open_ = materialize(open_.join(win, "a", "left_anti").join(beaten, "a", "left_anti"))
-        if open_.isEmpty():
-            return stops.join(kept, stops[stop_id] == kept["a"], "left_semi")
+    edges = materialize(pairs.where(F.col(stop_id) > F.col("_other")).select(F.col(stop_id).alias("a"), F.col("_other").alias("b")))
+    comp = numbered(connected_components(edges).select(F.col("node").alias("a"), "component"), ["component"], ["a"], "_no")
+    comp = materialize(comp.select("a", "component", F.floor((F.col("_no") - 1) / block).alias("_block")))
+    dealt = materialize(comp.join(edges, "a", "left"))
+    lone = spots.select(F.col(stop_id).alias("a")).join(comp.select("a"), "a", "left_anti")
+    kept, most = stops.where(~placed).select(F.col(stop_id).cast("bigint").alias("a")).union(lone), dealt.agg(F.max("_block")).first()[0]
+    done = None
+    for k in range(0 if most is None else most + 1):
+        now = dealt.where(F.col("_block") == k)
+        if done is None:
+            now = now.withColumn("gone", F.lit(False))
+        else:
+            now = now.join(done.select(F.col("a").alias("b"), F.lit(True).alias("_is")), "b", "left").withColumn("gone", F.coalesce("_is", F.lit(False)))
+        part = materialize(now.select("component", "a", "b", "gone").groupBy("component").applyInPandas(lambda df: _thin_scan(df), "a bigint"))
+        done = part if done is None else done.union(part)
+    kept = kept if done is None else kept.union(done)
+    return stops.join(kept, stops[stop_id] == kept["a"], "left_semi")
 
 
 def assign_nearest(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,33 +91,45 @@ def assign_nearest(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _scan(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sequential scan of one component: people in order, each to its emptiest candidate."""
-    load: dict[int, int] = {}
+    """Sequential scan of a block of one component: people in order, each to its emptiest candidate; ``load`` has the earlier blocks' people."""
+    load: dict[int, int] = dict(zip(rows["stop_id"].tolist(), rows["load"].tolist()))
     people, chosen, far = [], [], []
     rows = rows.sort_values(["person_id", "stop_id"], kind="stable")
     starts = rows["person_id"].ne(rows["person_id"].shift()).to_numpy().nonzero()[0].tolist() + [len(rows)]
     person, stop, dist = rows["person_id"].tolist(), rows["stop_id"].tolist(), rows["distance_m"].tolist()
     for a, b in zip(starts, starts[1:]):
-        k = min(range(a, b), key=lambda i: load.get(stop[i], 0))
-        load[stop[k]] = load.get(stop[k], 0) + 1
+        k = min(range(a, b), key=lambda i: load[stop[i]])
+        load[stop[k]] += 1
         people.append(person[a])
         chosen.append(stop[k])
         far.append(dist[k])
     return pd.DataFrame({"person_id": people, "stop_id": chosen, "distance_m": far})
 
 
-def assign_balanced(pairs: DataFrame) -> DataFrame:
-    """(person_id, stop_id, distance_m): people in id order, each to the candidate stop with fewest people so far.
+def assign_balanced(pairs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(person_id, stop_id, distance_m): people in id order, each to the candidate stop with fewest people so far, the lower id on ties.
 
-    The scan depends on its order only within a connected component of the candidate graph, so
-    components run side by side. A component carries ids and distances only (24 bytes a pair); for
-    metropolitan components beyond a task's memory ``assign_nearest`` is the other policy.
-    Person and stop ids are unique over all keys.
+    The scan depends on its order inside a component of the candidate graph only. Components are scanned side by
+    side, in blocks of ``block`` people: a block starts with the loads that the earlier ones left, which are kept as a
+    table. So a task holds one block's pairs, however large a town is, and rounds are as many as the largest
+    component has blocks. Person and stop ids are unique over all keys.
     """
     both = materialize(pairs.select("person_id", "stop_id", "distance_m"))
     graph = both.select((F.col("person_id") * 2).alias("a"), (F.col("stop_id") * 2 + 1).alias("b"))
-    comp = connected_components(graph).select((F.col("node") / 2).cast("bigint").alias("person_id"), "component", (F.col("node") % 2).alias("kind")).where("kind = 0").drop("kind")
-    return both.join(comp, "person_id").groupBy("component").applyInPandas(lambda df: _scan(df), "person_id bigint, stop_id bigint, distance_m double")
+    comp = connected_components(graph).where("node % 2 = 0").select((F.col("node") / 2).cast("bigint").alias("person_id"), "component")
+    comp = numbered(comp, ["component"], ["person_id"], "_no").withColumn("_block", F.floor((F.col("_no") - 1) / block)).drop("_no")
+    dealt = materialize(both.join(comp, "person_id"))
+    most, done, loads = dealt.agg(F.max("_block")).first()[0] or 0, None, None
+    for k in range(most + 1):
+        now = dealt.where(F.col("_block") == k)
+        now = now.withColumn("load", F.lit(0).cast("bigint")) if loads is None else now.join(loads, "stop_id", "left").withColumn("load", F.coalesce("load", F.lit(0)))
+        part = now.groupBy("component").applyInPandas(lambda df: _scan(df), "person_id bigint, stop_id bigint, distance_m double")
+        if most == 0:
+            return part
+        part = materialize(part)
+        done = part if done is None else done.union(part)
+        loads = materialize(done.groupBy("stop_id").agg(F.count("*").alias("load")))
+    return done
 
 
 def people_per_stop(stops: DataFrame, assignments: DataFrame) -> DataFrame:

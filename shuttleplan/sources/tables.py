@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shuttleplan.functions.scratch import materialize
 from shuttleplan.functions.text import clock_minutes
 
 DIRECTORY = "idx bigint, cp string, lat string, lon string, address string"
@@ -55,14 +58,56 @@ def with_minutes(df: DataFrame) -> DataFrame:
     return out.withColumn("arrival_min", (F.col("departure_min") + F.col("duration_min")) % 1440)
 
 
-def append_groups(groups: DataFrame, path: str) -> None:
-    """One row a postal group, by scenario; a second upload adds its rows again."""
-    groups.write.mode("append").partitionBy("scenario_id").parquet(path)
+def append_groups(groups: DataFrame, path: str, upload: str | None = None) -> None:
+    """One row a postal group, by scenario and upload; a second upload adds its rows again.
+
+    ``upload`` names the upload: repeated under the same name (a retried job, a replayed batch) it replaces what it wrote
+    before, so nothing is added twice. Without a name every call is an upload of its own.
+    """
+    own = groups.withColumn("upload", F.lit(upload or uuid.uuid4().hex))
+    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scenario_id", "upload").parquet(path)
 
 
-def replace_groups(groups: DataFrame, path: str) -> None:
+def replace_groups(groups: DataFrame, path: str, upload: str | None = None) -> None:
     """As append_groups, but the scenarios at hand replace what they had."""
-    groups.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scenario_id").parquet(path)
+    spark, upload = groups.sparkSession, upload or uuid.uuid4().hex
+    mine = materialize(groups)
+    append_groups(mine, path, upload)
+    # earlier uploads of these scenarios go once the new one is stored
+    old = read_groups(spark, path).where(F.col("upload") != upload).join(mine.select("scenario_id").distinct(), "scenario_id", "left_semi")
+    _drop_partitions(spark, path, materialize(old.select("scenario_id", "upload").distinct()))
+
+
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """All groups of a store, with scenario_id and upload as written."""
+    kinds = spark.read.parquet(path)
+    return kinds.withColumns({"scenario_id": F.col("scenario_id").cast("int"), "upload": F.col("upload").cast("string")})
+
+
+def _drop_partitions(spark: SparkSession, path: str, parts: DataFrame) -> None:
+    """Delete the folders of the (scenario_id, upload) partitions of a written table; they come one after another."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for r in parts.toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/scenario_id={r['scenario_id']}/upload={r['upload']}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def remove_groups(spark: SparkSession, path: str, ids: DataFrame, key: str) -> int:
+    """Remove the rows of a store whose ``key`` is listed; returns how many partitions changed.
+
+    Only partitions that hold a listed id are read whole and written anew, the others keep their files; a partition of
+    which nothing is left goes. Removing the same ids again changes nothing.
+    """
+    store, listed = read_groups(spark, path), materialize(ids.select(key).distinct())
+    where = ["scenario_id", "upload"]
+    hit = materialize(store.join(listed, key, "left_semi").select(*where).distinct())
+    if hit.isEmpty():
+        return 0
+    # written aside first, as a partition can't be read while it is overwritten
+    rest = materialize(store.join(hit, where, "left_semi").join(listed, key, "left_anti").select(*store.columns))
+    rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*where).parquet(path)
+    _drop_partitions(spark, path, materialize(hit.join(rest.select(*where).distinct(), where, "left_anti")))
+    return hit.count()
 
 
 def register_map(row: DataFrame, path: str) -> None:

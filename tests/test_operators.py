@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from test_geo import crossings, metres
 
 from shuttleplan.functions.geo import EARTH_RADIUS_SEARCH, with_corridor
-from shuttleplan.operators import clean, cluster, graph, responses, routes, shapes, spatial, stops
+from shuttleplan.operators import clean, cluster, components, graph, responses, routes, shapes, spatial, stops
 from shuttleplan.operators.components import connected_components
-from shuttleplan.operators.order import numbered
+from shuttleplan.operators.order import numbered, percentiles
 from shuttleplan.sources import tables
 
 
@@ -43,8 +43,8 @@ def test_radius_join_is_cross_join(spark, base):
     a = [(i, base[0] + rng.uniform(0, 0.03), wrap(base[1] + rng.uniform(0, 0.03))) for i in range(80)]
     b = [(i, base[0] + rng.uniform(0, 0.03), wrap(base[1] + rng.uniform(0, 0.03))) for i in range(40)]
     want = {(x[0], y[0]) for x in a for y in b if near(x[1:], y[1:]) <= 700}
-    for salts in (1, 3):
-        got = spatial.radius_join(points(spark, a, "person_id"), points(spark, b, "stop_id"), 700, ["scenario_id"], "person_id", "stop_id", salts)
+    for salts, hot in ((1, None), (3, None), (1, 5)):
+        got = spatial.radius_join(points(spark, a, "person_id"), points(spark, b, "stop_id"), 700, ["scenario_id"], "person_id", "stop_id", salts, hot)
         assert sorted((r.person_id, r.stop_id) for r in got.collect()) == sorted(want)
 
 
@@ -54,8 +54,48 @@ def test_thinning_is_the_scan(spark, seed):
     for r in rows:
         if all(near(r[1:], k[1:]) > 300 for k in kept):
             kept.append(r)
-    got = stops.thin(points(spark, rows, "stop_id"), 300, ["scenario_id"])
-    assert sorted(r.stop_id for r in got.collect()) == [k[0] for k in kept]
+    for block in (stops.BLOCK, 7):
+        got = stops.thin(points(spark, rows, "stop_id"), 300, ["scenario_id"], block=block)
+        assert sorted(r.stop_id for r in got.collect()) == [k[0] for k in kept]
+
+
+def written(monkeypatch, modules):
+    """Number of tables that the modules write from now on, as a list with one entry each."""
+    out = []
+    for m in modules:
+        monkeypatch.setattr(m, "materialize", lambda df, f=m.materialize: (out.append(m), f(df))[1])
+    return out
+
+
+def test_thinning_a_street(spark, monkeypatch):
+    street = [(i, 21.9, -102.3 + i * 0.001) for i in range(1000)]
+    count = written(monkeypatch, [stops, components])
+    got = stops.thin(points(spark, street, "stop_id"), 150, ["scenario_id"])
+    assert sorted(r.stop_id for r in got.collect()) == list(range(0, 1000, 2))
+    assert len(count) <= 30  # twelve rounds of two tables, six more
+
+
+def test_nearest_of_mixed_density(spark, monkeypatch):
+    rows = cloud(150, 11, side=2.0) + [(i + 500, a, b) for i, a, b in cloud(150, 12, side=0.0005, base=(22.5, -101.7))] + [(900, 21.9, 179.99), (901, 21.9, -179.99), (902, 89.9, 0.0), (903, None, 1.0)]
+    count = written(monkeypatch, [spatial])
+    got = spatial.nearest_n(points(spark, rows, "src"), points(spark, rows, "dst"), 4, ["scenario_id"], "src", "dst")
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.src, []).append((r.rank, r.dst))
+    assert len(count) <= 5
+    for i, *a in (r for r in rows if r[1] is not None):
+        far = sorted((metres(a, b), j) for j, *b in rows if b[0] is not None)
+        mine = [j for _, j in sorted(found[i])]
+        assert [round(metres(a, dict((j, b) for j, *b in rows)[x]), 3) for x in mine] == [round(d, 3) for d, _ in far[:4]]
+
+
+def test_exact_percentiles(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice([None, float(rng.randint(0, 9)), rng.random()])) for k in (0, 1, 2) for _ in range(200)] + [(3, None), (4, 7.0)] + [(5, 1.0)] * 300
+    df = spark.createDataFrame(rows, "k int, x double").repartition(5)
+    got = {r.k: r.q for r in percentiles(df, "x", [0.0, 0.25, 0.5, 0.85, 1.0], ["k"]).collect()}
+    want = df.groupBy("k").agg(F.percentile("x", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.85, 1.0)])).alias("q"))
+    assert got == {r.k: r.q for r in want.collect() if r.q is not None}
 
 
 def test_balanced_assignment_is_the_scan(spark):
@@ -68,7 +108,8 @@ def test_balanced_assignment_is_the_scan(spark):
             load[best] = load.get(best, 0) + 1
             want[p[0]] = best
     pairs = spatial.radius_join(points(spark, people, "person_id"), points(spark, at, "stop_id"), 900, ["scenario_id"], "person_id", "stop_id")
-    assert {r.person_id: r.stop_id for r in stops.assign_balanced(pairs).collect()} == want
+    for block in (stops.BLOCK, 8):
+        assert {r.person_id: r.stop_id for r in stops.assign_balanced(pairs, block).collect()} == want
 
 
 def dbscan(rows, eps, m):
@@ -110,6 +151,18 @@ def test_dbscan_of_crowded_cells(spark, seed, gap):
     assert {r.point_id: r.cluster_id for r in got.collect()} == dbscan(rows, 250, 4)
 
 
+@pytest.mark.parametrize("gap", [243, 249.9, 251])
+def test_margins_of_crowded_cells(spark, gap):
+    """Two crowded places whose nearest points are ``gap`` metres apart, on a slope."""
+    rng, rows = random.Random(5), []
+    for k in range(800):
+        a, b = rng.uniform(0, 1), rng.uniform(0, 1)
+        up = (k % 2) * (gap + 30 * a) + (1 - k % 2) * -30 * a
+        rows.append((k, 21.9 + (up + 10 * b) / 111_195, -102.3 + b * 30 / 103_000))
+    got = cluster.dbscan(points(spark, rows), 250, 4, ["scenario_id"])
+    assert {r.point_id: r.cluster_id for r in got.collect()} == dbscan(rows, 250, 4)
+
+
 def test_numbers_and_places(spark):
     rows = [(k % 3, k * 7919 % 101) for k in range(300)]
     want = {(a, b): n for a in range(3) for n, b in enumerate(sorted({b for x, b in rows if x == a}), 1)}
@@ -176,9 +229,14 @@ def test_polyline_round_trip(spark):
     lines = shapes.encode_routes(df, ["r"])
     got = {(x.r, x.pos): (x.lat, x.lon) for x in shapes.decode_routes(lines, ["r"]).collect()}
     assert got == {(r, k): (int(a * 1e5) / 1e5, int(b * 1e5) / 1e5) for r, k, a, b in rows}
-    known = spark.createDataFrame([("_p~iF~ps|U_ulLnnqC_mqNvxq`@",), (None,), ("_p~",)], "t string")
+    known = spark.createDataFrame([("_p~iF~ps|U_ulLnnqC_mqNvxq`@",), (None,), ("_p~",), ("_p~iF",), ("",)], "t string")
     out = [r[0] for r in known.select(shapes.decode_polyline("t")).collect()]
-    assert [tuple(p) for p in out[0]] == [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)] and out[1:] == [None, None]
+    assert [tuple(p) for p in out[0]] == [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)] and out[1:] == [None, None, None, []]
+    rng, at = random.Random(2), []
+    for k in range(700):
+        at.append((3, k, rng.uniform(-90, 90), rng.uniform(-180, 180)))
+    long = shapes.encode_routes(spark.createDataFrame(at, df.schema), ["r"])
+    assert {(x.pos): (x.lat, x.lon) for x in shapes.decode_routes(long, ["r"]).collect()} == {k: (int(a * 1e5) / 1e5, int(b * 1e5) / 1e5) for _, k, a, b in at}
 
 
 def test_lazy_decay_equals_decay_of_every_edge():
@@ -285,6 +343,47 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in stops.stops_of_routes(tables.read_routes(spark, str(tmp_path / "r.json"))).collect()] == [(1, 0, 1.0, 2.0)]
 
 
+def test_store_rewrites_what_it_must(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(s, f"{c:05d}", 1.0, 2.0, "x", c) for s in (1, 2, 3) for c in range(4)]
+    groups = spark.createDataFrame(rows, "scenario_id int, cp string, lat double, lon double, address string, count bigint")
+    tables.append_groups(groups, path, "one")
+    tables.append_groups(groups, path, "one")
+    tables.append_groups(groups.where("scenario_id = 2 and cp = '00003'"), path, "two")
+    read = lambda: sorted((r.scenario_id, r.upload, r.cp) for r in tables.read_groups(spark, path).collect())
+    assert read() == sorted([(s, "one", c) for s, c, *_ in rows] + [(2, "two", "00003")])
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+    before = files()
+    listed = spark.createDataFrame([("00003",), ("99999",)], "cp string").where("cp is not null")
+    assert tables.remove_groups(spark, path, spark.createDataFrame([("no such",)], "cp string"), "cp") == 0 and files() == before
+    assert tables.remove_groups(spark, path, listed, "cp") == 4
+    assert read() == sorted((s, "one", c) for s, c, *_ in rows if c != "00003")
+    before = files()
+    assert tables.remove_groups(spark, path, spark.createDataFrame([(2,)], "scenario_id int"), "scenario_id") == 1
+    assert files() == {f: t for f, t in before.items() if "scenario_id=2" not in str(f)}
+    tables.replace_groups(groups.where("scenario_id = 1 and cp = '00001'"), path)
+    assert [(s, c) for s, _, c in read()] == [(1, "00001"), *[(3, f"{c:05d}") for c in range(3)]]
+
+
+def test_replayed_batch_adds_nothing(spark, tmp_path):
+    from shuttleplan.streaming import headcount
+
+    people = spark.createDataFrame([(1, k, f"2000{k % 3}") for k in range(12)], "scenario_id int, person_id bigint, postal_code string")
+    people.repartition(3).write.parquet(str(tmp_path / "in"))
+    directory = spark.createDataFrame([(k, f"2000{k}", 21.9, -102.3, "x") for k in range(3)], "idx bigint, cp string, lat double, lon double, address string")
+    box, path = [(21.0, -103.0), (21.0, -102.0), (22.5, -102.0), (22.5, -103.0), (21.0, -103.0)], str(tmp_path / "store")
+    stream = lambda: spark.readStream.schema(people.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    headcount.store_groups(stream(), directory, box, path, str(tmp_path / "check")).awaitTermination()
+    once = sorted(tuple(r) for r in tables.read_groups(spark, path).groupBy("cp").agg(F.sum("count")).collect())
+    assert once == [(f"2000{k}", 4) for k in range(3)]
+    # the last batch was stored, but its end was not noted: it runs again after the restart
+    max((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda f: int(f.name)).unlink()
+    for crc in (tmp_path / "check" / "commits").glob(".*.crc"):
+        crc.unlink()
+    headcount.store_groups(stream(), directory, box, path, str(tmp_path / "check")).awaitTermination()
+    assert sorted(tuple(r) for r in tables.read_groups(spark, path).groupBy("cp").agg(F.sum("count")).collect()) == once
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from shuttleplan.streaming.headcount import enrich
 
