@@ -29,7 +29,7 @@ SAMPLE_ROWS = 6000
 MAX_LANGUAGES = 500
 #: share of clean calibration rows that the rejection threshold may cost at most; least confidence that is enough for any text
 CLEAN_LOSS, ENOUGH = 0.001, 0.5
-#: characters of a text that make a shuffled row of the training sample
+#: characters of a stretch of a text that makes a shuffled row of the training sample
 SHUFFLED = 4000
 UNKNOWN = "und"
 _letter = regex.compile(r"\p{L}")
@@ -109,7 +109,8 @@ def train(texts: list[str], langs: list[str], enough: float = ENOUGH, epochs: in
     names = sorted(set(langs))
     other = rng.permutation(len(texts))[: max(1, len(texts) // (2 * len(names) + 1))]
     y = np.array([names.index(x) for x in langs] + [len(names)] * len(other))
-    texts = texts + [shuffled(texts[i][:SHUFFLED], rng) for i in other]
+    starts = [int(rng.integers(max(1, len(texts[i]) - SHUFFLED + 1))) for i in other]
+    texts = texts + [shuffled(texts[i][s : s + SHUFFLED], rng) for i, s in zip(other, starts)]
     turn = rng.permutation(len(texts))
     cut = max(1, len(texts) // 5) if len(texts) >= 10 else 0
     calib, fit = turn[:cut], turn[cut:]
@@ -141,7 +142,7 @@ def train(texts: list[str], langs: list[str], enough: float = ENOUGH, epochs: in
         model["temperature"] = float(min(np.geomspace(0.1, 10, 60), key=loss))
         clean = y[calib] < len(names)
         sure = softmax(raw[clean] / model["temperature"])[:, :-1].max(axis=1)
-        if len(sure):
+        if len(sure) * CLEAN_LOSS >= 1:  # fewer rows can't tell so small a share; the class of no language decides alone
             model["threshold"] = float(min(enough, np.quantile(sure, CLEAN_LOSS, method="lower")))
     return model
 
@@ -192,7 +193,8 @@ def predict_languages(docs: DataFrame, model: dict, keep: list[str] | None = Non
     """The columns ``keep`` (default doc_id), lang_pred, score and rejected; one row for each row.
 
     ``und`` (score 0, rejected) for null text, text without a letter, or a model without languages;
-    otherwise the likeliest language and its calibrated probability, rejected below the threshold.
+    otherwise the likeliest language and its calibrated probability, rejected below the threshold or if no language
+    at all is likelier.
     Only ``text`` is looked at. Repeated rows get the same answer.
     """
     keep = ["doc_id"] if keep is None else keep
@@ -204,13 +206,14 @@ def predict_languages(docs: DataFrame, model: dict, keep: list[str] | None = Non
             data, off = W.utf8(batch.column(len(keep)))
             data = W.LOWER[data]
             letters = _with_letter(data, off, batch.column(len(keep)))
-            names, scores = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters))
+            names, scores, other = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters)), np.zeros(len(letters))
             if m["names"]:
                 for i, j in W.runs(off):
-                    p = softmax(logits(data[off[i] : off[j]], off[i : j + 1] - off[i], m["table"], m["bias"]) / m["temperature"])[:, :-1]
+                    p = softmax(logits(data[off[i] : off[j]], off[i : j + 1] - off[i], m["table"], m["bias"]) / m["temperature"])
+                    p, other[i:j] = p[:, :-1], p[:, -1]
                     names[i:j], scores[i:j] = np.array(m["names"], object)[p.argmax(axis=1)], p.max(axis=1)
                 names[~letters], scores[~letters] = UNKNOWN, 0.0
-            rejected = (names == UNKNOWN) | (scores < m["threshold"])
+            rejected = (names == UNKNOWN) | (other > scores) | (scores < m["threshold"])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names.tolist(), pa.string()), pa.array(scores), pa.array(rejected.astype(bool))], names=[*[f"k{i}" for i in range(len(keep))], "lang_pred", "score", "rejected"])
 
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]

@@ -392,9 +392,11 @@ def test_packing_round_trip(spark):
 # --- op5 ----------------------------------------------------------------------------------------
 
 
-def test_language_held_out(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = language.fit_languages(docs, 800)
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_language_held_out(spark, sf):
+    """With the query's own parameters."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    model = language.fit_languages(docs)
     got = language.predict_languages(docs, model, keep=["doc_id", "lang"]).withColumn("held", language.held_out()).where("held").collect()
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
     assert all(0 <= r.score <= 1 for r in got)
