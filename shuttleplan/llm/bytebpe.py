@@ -29,15 +29,15 @@ from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: states, pairs of tokens and pieces kept a process; beyond, the tables start anew
-STATES, PAIRS, PIECES = 50_000, 250_000, 250_000
+STATES, PAIRS, PIECES = 50_000, 250_000, 350_000
 #: slots of the table of verdicts on pairs
 SLOTS = 1 << 20
 #: meetings of a place before its arc is formed
-OFTEN = 32
+OFTEN = 128
 #: characters up to which a piece's ids are kept; ids decoded at once
 SHORT, RUN = 64, 200_000
 #: bytes of texts that are split at once
-BYTES = 2 << 20
+BYTES = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
