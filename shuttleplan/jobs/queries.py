@@ -275,6 +275,21 @@ def _(spark, sf):
     return yes.select("person_id", F.lit(True).alias("covered")).union(no.select("person_id", F.lit(False)))
 
 
+BUSY = f"{MATCH}, busy as (select stop_id, count(*) as people from pairs group by stop_id having count(*) >= 4)"
+
+
+@query("b9_stops_many_can_walk_to", f"{BUSY} select * from busy")
+def _(spark, sf):
+    return stops.busy_stops(matches(spark, sf), 4)
+
+
+@query("c4_covered_by_busy_stops", f"{BUSY} select p.person_id, p.person_id in (select person_id from pairs join busy using (stop_id)) as covered from people_points p")
+def _(spark, sf):
+    near = matches(spark, sf)
+    yes, no = spatial.covered_split(view(spark, sf, "people_points"), near.join(stops.busy_stops(near, 4), "stop_id", "left_semi"), KEY, "person_id")
+    return yes.select("person_id", F.lit(True).alias("covered")).union(no.select("person_id", F.lit(False)))
+
+
 PROBES = "probes as (select distinct scenario_id, t as probe, 21.6e0 + t * 0.1e0 as lat, -102.8e0 + t * 0.12e0 as lon from geo_points, range(8) r(t))"
 
 

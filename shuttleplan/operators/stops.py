@@ -45,11 +45,11 @@ BLOCK = 50_000
 
 
 def _thin_scan(rows: pd.DataFrame) -> pd.DataFrame:
-    """A block of a component in id order; ``b`` is a lower neighbour (null for none), ``gone`` tells that an earlier block keeps it."""
+    """A block of a component in id order; ``b`` is a lower neighbour (``a`` itself for none), ``gone`` tells that an earlier block keeps it."""
     rows = rows.sort_values("a", kind="stable")
     kept: dict[int, bool] = {}
     for a, b, gone in zip(rows["a"].tolist(), rows["b"].tolist(), rows["gone"].tolist()):
-        kept[a] = kept.get(a, True) and not gone and not (b == b and b is not None and kept.get(int(b), False))
+        kept[a] = kept.get(a, True) and not gone and not (b != a and kept.get(b, False))
     return pd.DataFrame({"a": [a for a, yes in kept.items() if yes]}, dtype="int64")
 
 
@@ -78,7 +78,7 @@ def thin(stops: DataFrame, radius: float = 200.0, keys: list[str] | None = None,
             now = now.withColumn("gone", F.lit(False))
         else:
             now = now.join(done.select(F.col("a").alias("b"), F.lit(True).alias("_is")), "b", "left").withColumn("gone", F.coalesce("_is", F.lit(False)))
-        part = materialize(now.select("component", "a", "b", "gone").groupBy("component").applyInPandas(lambda df: _thin_scan(df), "a bigint"))
+        part = materialize(now.select("component", "a", F.coalesce("b", "a").alias("b"), "gone").groupBy("component").applyInPandas(lambda df: _thin_scan(df), "a bigint"))
         done = part if done is None else done.union(part)
     kept = kept if done is None else kept.union(done)
     return stops.join(kept, stops[stop_id] == kept["a"], "left_semi")
