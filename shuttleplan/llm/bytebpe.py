@@ -9,7 +9,8 @@ at once, the rest waits for at most as many bytes as the longest token has.
 
 Arcs are formed where a place is met often; a rare piece is read with suffix links instead, by the same rule of which
 token may follow which. Texts are split by the vocabulary's pattern, and each piece runs by itself; the ids of pieces
-seen before are kept in a bounded table. Decoding gathers the bytes of ids and tracks, id by id, whether a character
+seen before are kept in a bounded table. Where bytes alone show that no match of the pattern goes on (``cuts``), texts
+are cut first, and the pattern splits only chunks that are not in the table yet. Decoding gathers the bytes of ids and tracks, id by id, whether a character
 is still open: text is given out as soon as its characters are whole.
 """
 
@@ -27,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shuttleplan.llm import wordhash as W
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: states, pairs of tokens and pieces kept a process; beyond, the tables start anew
 STATES, PAIRS, PIECES = 50_000, 250_000, 350_000
@@ -38,6 +41,16 @@ OFTEN = 128
 SHORT, RUN = 64, 200_000
 #: bytes of texts that are split at once
 BYTES = 4 << 20
+#: patterns by which texts may be cut at ``cuts``: a match is a contraction, letters, digits or other marks, with one space before at most, or white space
+CUT = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"])
+#: kinds of bytes: control, letter, digit, mark, white space, apostrophe, part of a longer character
+KIND = np.zeros(256, np.uint8)
+for _kind, _bytes in ((3, range(0x21, 0x7F)), (1, chain(range(65, 91), range(97, 123))), (2, range(48, 58)), (4, (0x20, *range(9, 14))), (5, b"'"), (6, range(0x80, 0x100))):
+    KIND[list(_bytes)] = _kind
+#: whether a match ends between two kinds, at 8 * first + second
+BETWEEN = np.zeros(64, bool)
+for _first, _second in ((1, (2, 3, 4, 5)), (2, (1, 3, 4, 5)), (3, (1, 2, 4)), (5, (2, 4)), (6, (4,))):
+    BETWEEN[[8 * _first + k for k in _second]] = True
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -266,29 +279,58 @@ class Transducer:
         return out
 
 
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Places of UTF-8 bytes before which a match of a pattern in ``CUT`` ends and no look-ahead reaches over.
+
+    No match goes on from a character that is not white space to white space, nor between letters, digits and marks, but
+    for an apostrophe and the letters after it. Only ASCII characters are told apart; white space after a longer
+    character is a place only if that one cannot be white space itself.
+    """
+    kind = KIND[data]
+    at = np.flatnonzero(BETWEEN[kind[:-1] * 8 + kind[1:]]) + 1
+    far = np.flatnonzero(kind[at - 1] == 6)
+    one, two = data[at[far] - 2], data[np.maximum(at[far] - 3, 0)]
+    # U+0085 and U+00A0; U+1680; U+2000 to U+205F; U+3000
+    blank = (one == 0xC2) | ((two == 0xE1) & (one == 0x9A)) | ((two == 0xE2) & ((one == 0x80) | (one == 0x81))) | ((two == 0xE3) & (one == 0x80))
+    return np.delete(at, far[blank])
+
+
 class Encoder:
-    """Ids of whole texts; of the pattern's matches only those not seen before are encoded."""
+    """Ids of whole texts; of chunks and of the pattern's matches only those not seen before are encoded."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.machine, self.pattern = Transducer(read_ranks(path)), regex.compile(pattern)
+        self.machine, self.pattern, self.cut = Transducer(read_ranks(path)), regex.compile(pattern), pattern in CUT
         self.pieces: dict[str, bytes] = {}
 
+    def _chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(chunks of all texts one after another, number of chunks of each): ranges between cuts, else the matches."""
+        if self.cut:
+            data, off = W.utf8(texts)
+            first = np.zeros(len(data), bool)
+            first[cuts(data)] = True
+            first[off[:-1][np.diff(off) > 0]] = True
+            start = np.flatnonzero(first)
+            ends = np.append(start, len(data))
+            return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(data)), np.diff(np.searchsorted(start, off))
+        matches = [self.pattern.findall(t or "") for t in texts.to_pylist()]
+        return pa.array([*chain.from_iterable(matches)], pa.large_string()), np.fromiter(map(len, matches), np.int64, len(matches))
+
+    def _learn(self, new: list[str]) -> list[str]:
+        """Keep the ids of chunks; gives what is new. Those of a chunk that is one match are kept once; a match taken alone is a match again."""
+        split = [*map(self.pattern.findall, new)] if self.cut else [[p] for p in new]
+        todo = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.pieces]
+        self.pieces.update(zip(todo, self.machine.encode([p.encode() for p in todo])))
+        self.pieces.update((p, b"".join(map(self.pieces.__getitem__, own))) for p, own in zip(new, split) if len(own) != 1)
+        return new + todo
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(32-bit ids of all texts one after another, number of ids of each); null is empty."""
-        texts = [t or "" for t in texts.to_pylist()]
-        matches = [*map(self.pattern.findall, texts)]
-        count = np.fromiter(map(len, matches), np.int64, len(matches))
-        every = chain.from_iterable(matches)
-        if count.sum() == 0 or any("\0" in t for t in texts):
-            every = pa.array([*every], pa.string())
-        else:  # one string is handed over faster than many
-            every = pc.split_pattern(pa.array(["\0".join(every)], pa.large_string()), "\0").flatten()
-        coded = every.dictionary_encode()
+        chunks, count = self._chunks(texts)
+        coded = chunks.dictionary_encode()
         pieces, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        new = [p for p in pieces if p not in self.pieces]
-        self.pieces.update(zip(new, self.machine.encode([p.encode() for p in new])))
+        new = self._learn([p for p in pieces if p not in self.pieces])
         forms = [*map(self.pieces.__getitem__, pieces)]
         if len(self.pieces) > PIECES:
             self.pieces.clear()

@@ -88,3 +88,24 @@ def test_frames(spark):
     key = lambda r: (r[0] is not None, r[0] or 0, len(r[1]))
     assert sorted(((r.doc_id, r.ids, r.decoded) for r in got), key=key) == sorted(((i, other().encode_ordinary(t or ""), t or "") for i, t, *_ in rows), key=key)
     assert B.encode_documents(docs.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_cutting_keeps_matches():
+    """Texts are cut only where matches end, whatever stands around, and the pattern reads a chunk that repeats once."""
+    rng = random.Random(9)
+    parts = [*"aZ7!' \n\t", "'s", "'re", "  ", "\r\n", "\x1c", "\x85", "\xa0", " ", " ", " ", " ", " ", "　", "—", "。", "́", "۳", *"éж語", "\x00", "\x7f", "​"]
+    some = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(20_000)]
+    encoder = B.Encoder(PATH, P.PATTERN)
+    flat, counts = encoder.ids(pa.array(some))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [other().encode_ordinary(t) for t in some]
+    read = []
+
+    class Pattern:
+        def findall(self, text, real=encoder.pattern):
+            read.append(len(text))
+            return real.findall(text)
+
+    encoder.pattern, text = Pattern(), " ".join(f"w{k % 100}, it's" for k in range(5000))
+    flat, _ = encoder.ids(pa.array([text]))
+    assert flat.tolist() == other().encode_ordinary(text)
+    assert sum(read) < len(text) / 10
