@@ -27,8 +27,8 @@ from shuttleplan.llm import wordhash as W
 CAPACITY, END_ID = 4096, 1
 #: pieces up to which the search is complete; beyond: lengths tried at a place, maximal fillings looked at for a bin, bins tried a piece
 EXACT, WIDTH, MOST, NODES = 20, 4, 64, 1
-#: bytes of text whose words are looked up at once
-RUN = 4 << 20
+#: bytes of text whose words are looked up at once; two workers of an executor hold several numbers a word
+RUN = 1 << 20
 MARK, PLAIN_CHAR = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
 VOCABULARY = "word_bpe_49k.json"
 PIECES = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -74,13 +74,15 @@ class Encoder:
             new = np.flatnonzero(place < 0)
             raw = w.data.tobytes()
             a, b = start[first[new]].tolist(), end[first[new]].tolist()
-            got: list[list[int]] = []
+            size, flat = [], [self.flat]
             for k in range(0, len(a), 10_000):  # the library's answers are large
                 part = [raw[x:y].decode() for x, y in zip(a[k : k + 10_000], b[k : k + 10_000], strict=True)]
-                got += [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
+                got = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+                size += map(len, got)
+                flat.append(np.concatenate(got))
+            size = np.array(size, np.int64)
             at = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate([self.flat, np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))])
+            self.flat = np.concatenate(flat)
             into = np.searchsorted(self.known, seen[new])  # both are sorted
             self.known = np.insert(self.known, into, seen[new])
             self.at, self.size = np.insert(self.at, into, at), np.insert(self.size, into, size)

@@ -21,20 +21,26 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def tidied(scan: Callable) -> Callable:
-    """A mapInArrow function that hands freed memory back when its task ends: Python workers live on for later stages."""
+    """A mapInArrow function that hands freed memory back when its task starts, for the stages before, and when it ends: Python workers live on."""
 
     @functools.wraps(scan)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         yield from scan(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        release()
 
     return run
 
 
+def release() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """True for every byte outside the given inclusive ranges."""
     out = np.ones(256, bool)

@@ -799,3 +799,22 @@ def test_pipeline_against_brute_force(spark):
     whole = P.run(spark, SF)
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert Counter(map(tuple, whole.select(cols).collect())) == Counter(map(tuple, kept["best_fit_packing"].select(cols).collect()))
+
+
+def test_tokenising_holds_little():
+    """A task's arrays and lists stay small beside its text, however many words are new."""
+    import tracemalloc
+
+    rng = random.Random(5)
+    text = [" ".join(f"w{rng.randrange(60_000)}" for _ in range(3000)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(text)], names=["doc_id", "text"])
+    tokenise = packing._tokenise(packing.vocabulary_path(), 4096)
+    packing._encoders[packing.vocabulary_path()] = packing.Encoder(packing.vocabulary_path())
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in tokenise(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows >= 200
+    assert peak < 90e6
