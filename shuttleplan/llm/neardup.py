@@ -1,6 +1,7 @@
 """Near-duplicate documents: a prefix-tree join of word n-gram sets under one global order.
 
-Order. Every n-gram is counted over all documents in hash buckets (2 to the power of ``bucket_bits`` of them); an element of a
+Order. Every n-gram is counted over all documents in hash buckets, whose number follows that of the n-grams (``SHARE`` a
+bucket, up to 2 to the power of ``MOST_BITS`` buckets), so that rare ones are told from frequent ones in a large corpus as in a small one; an element of a
 set is the frequency level of its bucket in the top byte and 56 bits of its hash below, so numeric order is
 one global order, rarest first. A set is the path of its elements in that order.
 
@@ -41,8 +42,10 @@ SKETCH = 256
 BITS = [f"s{i}" for i in range(SKETCH // 64)]
 #: members of a pivot in one tree
 TREE = 256
-#: rounds that elect further pivots in partitions of more than LARGE sets; buckets of the global order (binary logarithm)
-ROUNDS, LARGE, BUCKET_BITS = 2, 32, 18
+#: rounds that elect further pivots in partitions of more than LARGE sets
+ROUNDS, LARGE = 2, 32
+#: shingles a bucket of the global order; least and most buckets, and buckets counted as one group (binary logarithms); levels to a doubling
+SHARE, LEAST_BITS, MOST_BITS, GROUP_BITS, FINE = 16, 16, 24, 14, 6
 #: sets of a partition in one block; rows of one cell; pairs looked at at once in a cell
 BLOCK, CELL, PAIRS = 4096, 200_000, 1 << 20
 
@@ -149,22 +152,37 @@ def _describe(gram: int):
     return describe
 
 
+def bucket_bits(shingles: int) -> int:
+    """Binary logarithm of the number of buckets for so many shingles."""
+    return min(MOST_BITS, max(LEAST_BITS, (max(0, shingles - 1) // SHARE).bit_length()))
+
+
 def _tally(gram: int, bits: int):
-    """(bucket, n): shingles of a task's documents by hash bucket."""
+    """(part, at): the buckets of a task's shingles, part by part, each as 16-bit places in order and as often as it occurs."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << bits, np.int64)
+        n = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for _, h, _ in _sets(batch.column(0), gram):
-                n += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        bucket = np.flatnonzero(n)
-        for i in range(0, len(bucket), 50_000):
-            k = bucket[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n[k])], names=["bucket", "n"])
+                np.add.at(n, (h >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        for part, own in enumerate(n.reshape(-1, 1 << GROUP_BITS)):
+            if own.any():
+                at = np.repeat(np.arange(1 << GROUP_BITS, dtype=np.uint16), own)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at.tobytes()], pa.binary())], names=["part", "at"])
 
     return tally
 
 
+def _levels(table: pa.Table) -> pa.Table:
+    """(part, level): the levels of a part's buckets, one byte each."""
+    n = np.zeros(1 << GROUP_BITS, np.int64)
+    for chunk in table["at"].chunks:
+        for at in chunk:
+            n += np.bincount(np.frombuffer(at.as_buffer(), np.uint16), minlength=1 << GROUP_BITS)
+    level = np.minimum(np.ceil(FINE * np.log2(n + 1)), 255).astype(np.uint8)
+    return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
+
+
 def _prefixes(gram: int, t: Threshold, order: bytes):
     """(e, doc_id, f, n, at) for the prefix elements of every set: f tells sets apart, n elements, e at that place; equal sets of a batch send once."""
 
@@ -276,8 +294,8 @@ def _apart(t: Threshold):
 class Join:
     """The steps over one table of documents."""
 
-    def __init__(self, docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = DEN, bucket_bits: int = BUCKET_BITS):
-        self.gram, self.t, self.bucket_bits = gram, Threshold(num, den), bucket_bits
+    def __init__(self, docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = DEN):
+        self.gram, self.t = gram, Threshold(num, den)
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         rows = self.docs.mapInArrow(W.tidied(_describe(gram)), "doc_id bigint, n bigint, f bigint, g bigint, " + ", ".join(f"{b} bigint" for b in BITS) + ", wide array<bigint>")
         self.sets = materialize(rows)
@@ -287,11 +305,13 @@ class Join:
 
     @functools.cached_property
     def order(self) -> bytes:
-        """The level of every bucket: twice the binary logarithm of its count; one byte a bucket, whatever the size of the corpus."""
-        n = self.docs.select("text").mapInArrow(W.tidied(_tally(self.gram, self.bucket_bits)), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-        got = n.select("bucket", F.ceil(2 * F.log2(F.col("n") + 1)).cast("tinyint").alias("level")).toArrow()
-        levels = np.zeros(1 << self.bucket_bits, np.uint8)
-        levels[got["bucket"].to_numpy()] = got["level"].to_numpy().astype(np.uint8)
+        """The level of every bucket, ``FINE`` times the binary logarithm of its count: one byte a bucket."""
+        bits = bucket_bits(self.sets.agg(F.sum("n")).first()[0] or 0)
+        parts = self.docs.select("text").mapInArrow(W.tidied(_tally(self.gram, bits)), "part int, at binary")
+        got = parts.groupBy("part").applyInArrow(_levels, "part int, level binary").toArrow()
+        levels = np.zeros((1 << bits - GROUP_BITS, 1 << GROUP_BITS), np.uint8)
+        for part, level in zip(got["part"].to_pylist(), got["level"].to_pylist(), strict=True):
+            levels[part] = np.frombuffer(level, np.uint8)
         return levels.tobytes()
 
     def candidates(self) -> DataFrame:

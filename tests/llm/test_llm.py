@@ -236,6 +236,23 @@ def test_wide_sketches_keep_every_link(spark):
     assert 1 < len({r.component_id for r in got.collect()}) < len(rows)
 
 
+def test_order_follows_the_corpus(spark, monkeypatch):
+    """The table of the global order grows with the shingles, so a passage of many documents stays out of the first elements."""
+    monkeypatch.setattr(neardup, "LEAST_BITS", 14)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(300))
+    for n, bits in ((100, 14), (400, 16)):
+        rows = [(i, " ".join([*(word() for _ in range(2000)), *[passage] * (i < 50)])) for i in range(n)]
+        join = neardup.Join(frame(spark, rows).repartition(3))
+        join.candidates()
+        assert join.parts.where(F.col("m") > neardup.LARGE).isEmpty()
+        h = np.concatenate([h for _, h, _ in neardup._sets(pa.array([t for _, t in rows]), 3)])
+        count = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        assert len(h) <= neardup.SHARE << bits
+        assert (np.frombuffer(join.order, np.uint8) == np.ceil(neardup.FINE * np.log2(count + 1))).all()
+
+
 def test_jaccard_join_of_other_grams(spark):
     rows = chains(4)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows), 5, 4, 5).collect()}
