@@ -93,7 +93,7 @@ def test_frames(spark):
 def test_cutting_keeps_matches():
     """Texts are cut only where matches end, whatever stands around, and the pattern reads a chunk that repeats once."""
     rng = random.Random(9)
-    parts = [*"aZ7!' \n\t", "'s", "'re", "  ", "\r\n", "\x1c", "\x85", "\xa0", " ", " ", " ", " ", " ", "　", "—", "。", "́", "۳", *"éж語", "\x00", "\x7f", "​"]
+    parts = [*"aZ7!' \n\t", "'s", "'re", "  ", "\r\n", *"\x00\x1c\x7f\x85\xa0        　​—。́۳éж語"]
     some = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(20_000)]
     encoder = B.Encoder(PATH, P.PATTERN)
     flat, counts = encoder.ids(pa.array(some))
