@@ -125,7 +125,8 @@ def _scan(index, text: int) -> callable:
                     items.append([block.ids[x] for x in own[1][k : k + got[d]]])
                     k += got[d]
             fields = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *fields], names=[*batch.schema.names, "n_words", "spans", "item_ids"])
+            kept = [c for c in batch.schema.names if c != "t"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *fields], names=[*kept, "n_words", "spans", "item_ids"])
 
     return scan
 
@@ -145,7 +146,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // (2 * max_index_words)))
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
+    text = keep.index("text") if "text" in keep else len(keep)  # texts go to Python once, and come back only if kept
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *[F.col("text").alias("t")] * (text == len(keep)))
     schema = ", ".join(f"k{i} {t}" for i, t in enumerate(docs.select(*keep).schema[c].dataType.simpleString() for c in keep))
     outs = []
     for b in range(blocks):
@@ -155,8 +157,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
             rows_b = rows.withColumn("r", F.xxhash64(*rows.columns))
         else:
             rows_b = rows
-        scanned = rows_b.mapInArrow(W.tidied(_scan(shared, len(keep))), f"{schema}, t string, {'r bigint, ' if blocks > 1 else ''}{HITS}")
-        outs.append(scanned.drop("t"))
+        outs.append(rows_b.mapInArrow(W.tidied(_scan(shared, text)), f"{schema}, {'r bigint, ' if blocks > 1 else ''}{HITS}"))
     if blocks == 1:
         out = outs[0]
     else:

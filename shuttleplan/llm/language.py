@@ -31,6 +31,8 @@ MAX_LANGUAGES = 500
 CLEAN_LOSS, ENOUGH = 0.001, 0.5
 #: characters of a stretch of a text that makes a shuffled row of the training sample
 SHUFFLED = 4000
+#: places of a text whose grams are looked up at once
+PART = 1 << 18
 UNKNOWN = "und"
 _letter = regex.compile(r"\p{L}")
 
@@ -53,19 +55,22 @@ def grams(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.
 
 
 def logits(data: np.ndarray, off: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Documents x languages."""
+    """Documents x languages; what is held beside them does not depend on the length of a document."""
     docs, langs = len(off) - 1, table.shape[1]
     total, count = np.zeros((docs, langs)), np.zeros(docs)
-    for size in GRAMS:
-        bucket, ok = grams(data, off, size)
-        bucket = np.where(ok, bucket, 1 << BUCKETS)  # an extra row of zeros
-        for k in range(langs):
-            c = np.zeros(len(data) + 1)
-            np.cumsum(table[:, k][bucket], out=c[1:])
-            total[:, k] += np.diff(c[off])
-        c = np.zeros(len(data) + 1)
-        np.cumsum(ok, out=c[1:])
-        count += np.diff(c[off])
+    for s in range(0, len(data), PART):
+        e = min(s + PART, len(data))
+        i, j = int(np.searchsorted(off, s, side="right")) - 1, int(np.searchsorted(off, e))  # the documents with bytes in s:e
+        at, c = np.clip(off[i : j + 1], s, e) - s, np.zeros(e - s + 1)
+        for size in GRAMS:
+            part = data[s : e + size - 1]  # the last grams reach into the next part
+            bucket, ok = grams(part, np.clip(off[i : j + 1] - s, 0, len(part)), size)
+            bucket, ok = np.where(ok, bucket, 1 << BUCKETS)[: e - s], ok[: e - s]  # an extra row of zeros
+            for k in range(langs):
+                np.cumsum(table[:, k][bucket], out=c[1:])
+                total[i:j, k] += np.diff(c[at])
+            np.cumsum(ok, out=c[1:])
+            count[i:j] += np.diff(c[at])
     return total / np.maximum(count, 1)[:, None] + bias
 
 
@@ -75,7 +80,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def bags(texts: list[str], rng: np.random.Generator | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, weights) of each text; with a generator also of a short stretch of its words."""
+    """(buckets, counts) of each text, in as few bytes as they need; with a generator also of short stretches of its words."""
     out = []
     for text in texts:
         some = [text]
@@ -91,7 +96,7 @@ def bags(texts: list[str], rng: np.random.Generator | None) -> list[tuple[np.nda
                 bucket, ok = grams(W.LOWER[data], off, size)
                 got.append(bucket[ok])
             b, c = np.unique(np.concatenate(got), return_counts=True)
-            out.append((b, (c / max(1, c.sum())).astype(np.float32)))
+            out.append((b.astype(np.min_scalar_type((1 << BUCKETS) - 1)), c.astype(np.min_scalar_type(int(c.max(initial=0))))))
     return out
 
 
@@ -126,6 +131,7 @@ def train(texts: list[str], langs: list[str], enough: float = ENOUGH, epochs: in
             step += 1
             if not len(b):
                 continue
+            c = (c / c.sum()).astype(np.float32)
             mean = c @ emb[b]
             p = softmax((mean @ lin + bias)[None, :])[0]
             p[ys[i]] -= 1
@@ -199,17 +205,19 @@ def predict_languages(docs: DataFrame, model: dict, keep: list[str] | None = Non
     """
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = keep.index("text") if "text" in keep else len(keep)  # texts go to Python once
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            data, off = W.utf8(batch.column(len(keep)))
-            data = W.LOWER[data]
-            letters = _with_letter(data, off, batch.column(len(keep)))
+            data, off = W.utf8(batch.column(text))
+            letters = np.zeros(len(off) - 1, bool)
             names, scores, other = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters)), np.zeros(len(letters))
             if m["names"]:
                 for i, j in W.runs(off):
-                    p = softmax(logits(data[off[i] : off[j]], off[i : j + 1] - off[i], m["table"], m["bias"]) / m["temperature"])
+                    part, at = W.LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i]
+                    letters[i:j] = _with_letter(part, at, batch.column(text).slice(i, j - i))
+                    p = softmax(logits(part, at, m["table"], m["bias"]) / m["temperature"])
                     p, other[i:j] = p[:, :-1], p[:, -1]
                     names[i:j], scores[i:j] = np.array(m["names"], object)[p.argmax(axis=1)], p.max(axis=1)
                 names[~letters], scores[~letters] = UNKNOWN, 0.0
@@ -217,7 +225,7 @@ def predict_languages(docs: DataFrame, model: dict, keep: list[str] | None = Non
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names.tolist(), pa.string()), pa.array(scores), pa.array(rejected.astype(bool))], names=[*[f"k{i}" for i in range(len(keep))], "lang_pred", "score", "rejected"])
 
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *[F.col("text").alias("t")] * (text == len(keep)))
     out = rows.mapInArrow(W.tidied(predict), ", ".join([*[f"k{i} {t}" for i, t in enumerate(kinds)], "lang_pred string, score double, rejected boolean"]))
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ CAPACITY, END_ID = 4096, 1
 #: pieces up to which the search is complete; beyond: lengths tried at a place, maximal fillings looked at for a bin, bins tried a piece
 EXACT, WIDTH, MOST, NODES = 20, 4, 64, 1
 #: bytes of text whose words are looked up at once; two workers of an executor hold several numbers a word
-RUN = 1 << 20
+RUN = 1 << 18
 MARK, PLAIN_CHAR = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
 VOCABULARY = "word_bpe_49k.json"
 PIECES = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -75,11 +76,11 @@ class Encoder:
             raw = w.data.tobytes()
             a, b = start[first[new]].tolist(), end[first[new]].tolist()
             size, flat = [], [self.flat]
-            for k in range(0, len(a), 10_000):  # the library's answers are large
-                part = [raw[x:y].decode() for x, y in zip(a[k : k + 10_000], b[k : k + 10_000], strict=True)]
-                got = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+            for k in range(0, len(a), 2000):  # the library's answers are large
+                part = [raw[x:y].decode() for x, y in zip(a[k : k + 2000], b[k : k + 2000], strict=True)]
+                got = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
                 size += map(len, got)
-                flat.append(np.concatenate(got))
+                flat.append(np.fromiter(chain.from_iterable(got), np.uint32, sum(size[-len(got) :])))
             size = np.array(size, np.int64)
             at = len(self.flat) + np.cumsum(size) - size
             self.flat = np.concatenate(flat)
@@ -95,13 +96,13 @@ class Encoder:
         return out, np.concatenate(([0], ends))[ptr]
 
 
-#: kept for the next task of the same Python worker
+#: encoders made ahead; a task takes one or makes its own, which goes when it ends: words kept from task to task would add to the memory of idle workers
 _encoders: dict[str, Encoder] = {}
 
 
 def _tokenise(path: str, capacity: int):
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        encoder = _encoders.pop(path, None) or Encoder(path)
         for batch in batches:
             data, off = W.utf8(batch.column(1))
             doc, piece, start, length, crc = [], [], [], [], []

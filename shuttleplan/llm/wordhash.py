@@ -33,7 +33,8 @@ def tidied(scan: Callable) -> Callable:
 
 
 def release() -> None:
-    """Hand freed memory back to the system."""
+    """Hand freed memory back to the system, that of the tables of powers too: they are soon made again."""
+    _tables.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
