@@ -30,6 +30,8 @@ CAPACITY, END_ID = 4096, 1
 EXACT, WIDTH, MOST, NODES = 20, 4, 64, 1
 #: bytes of text whose words are looked up at once; two workers of an executor hold several numbers a word
 RUN = 1 << 18
+#: words that a worker keeps between tasks; more would add to the memory of idle workers
+KEPT = 200_000
 MARK, PLAIN_CHAR = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
 VOCABULARY = "word_bpe_49k.json"
 PIECES = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -55,6 +57,13 @@ class Encoder:
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def forget(self, most: int) -> None:
+        """Keep the ``most`` words met first."""
+        if len(self.known) > most:
+            end = int(np.partition(self.at, most)[most])
+            own = self.at < end
+            self.known, self.at, self.size, self.flat = self.known[own], self.at[own], self.size[own], self.flat[:end].copy()
+
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, offsets)."""
         fold = None if b"<|" in data.tobytes() else W.LOWER  # the names of special tokens are told by case
@@ -96,13 +105,17 @@ class Encoder:
         return out, np.concatenate(([0], ends))[ptr]
 
 
-#: encoders made ahead; a task takes one or makes its own, which goes when it ends: words kept from task to task would add to the memory of idle workers
-_encoders: dict[str, Encoder] = {}
+#: kept for the next task of the same Python worker, with the words met first
+_encoders: dict[str, Encoder] = W.cache("encoders")
+
+
+def _encoder(path: str) -> Encoder:
+    return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
 
 
 def _tokenise(path: str, capacity: int):
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.pop(path, None) or Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             data, off = W.utf8(batch.column(1))
             doc, piece, start, length, crc = [], [], [], [], []
@@ -121,6 +134,7 @@ def _tokenise(path: str, capacity: int):
                 [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        encoder.forget(KEPT)
 
     return tokenise
 
@@ -321,7 +335,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, groups:
     kind = docs.schema["doc_id"].dataType.simpleString()
     groups = groups or max(1, docs.rdd.getNumPartitions())
     fields = PIECES.format(kind=kind)
-    pieces = materialize(docs.select("doc_id", "text").mapInArrow(W.tidied(_tokenise(path, capacity)), fields))
+    pieces = materialize(docs.select("doc_id", "text").mapInArrow(W.tidied(_tokenise(path, capacity), keeps="encoders"), fields))
     dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     return dealt.groupBy("g").applyInArrow(_pack_group(capacity), f"{fields}, sequence_id bigint, offset bigint")
 

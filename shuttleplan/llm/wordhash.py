@@ -18,22 +18,37 @@ import pyarrow as pa
 SEGMENT = 1 << 20
 P_BYTE, P_ONE, P_TWO = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_caches: dict[str, dict] = {}
 
 
-def tidied(scan: Callable) -> Callable:
-    """A mapInArrow function that hands freed memory back when its task starts, for the stages before, and when it ends: Python workers live on."""
+def cache(name: str) -> dict:
+    """What tasks keep for the next one of the same Python worker, until a task that keeps something else starts there.
+
+    Use it in functions of a module: one made inside another is sent to workers with copies of the globals that it names.
+    """
+    return _caches.setdefault(name, {})
+
+
+def tidied(scan: Callable, keeps: str | None = None) -> Callable:
+    """A mapInArrow function that hands freed memory back when its task starts, for the stages before, and when it ends: Python workers live on.
+
+    Of the caches only ``keeps`` stays.
+    """
 
     @functools.wraps(scan)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        release(keeps)
         yield from scan(batches)
-        release()
+        release(keeps)
 
     return run
 
 
-def release() -> None:
-    """Hand freed memory back to the system, that of the tables of powers too: they are soon made again."""
+def release(keeps: str | None = None) -> None:
+    """Hand freed memory back to the system, with all caches but ``keeps`` and the tables of powers, which are soon made again."""
+    for name, held in _caches.items():
+        if name != keeps:
+            held.clear()
     _tables.clear()
     pa.default_memory_pool().release_unused()
     try:

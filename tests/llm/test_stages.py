@@ -7,6 +7,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -94,3 +95,20 @@ def test_tasks_keep_nothing_for_later():
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], names=["doc_id", "text"])
     assert sum(b.num_rows for b in W.tidied(packing._tokenise(packing.vocabulary_path(), 4096))(iter([batch]))) == 1
     assert not packing._encoders and not W._tables
+
+
+def test_words_are_kept_for_the_next_task():
+    """A worker's next task of packing takes its encoder, with the words met first; it encodes as a new one does."""
+    rng = random.Random(2)
+    text = [" ".join(f"w{rng.randrange(9000)}" for _ in range(3000)) for _ in range(2)]
+    old, data = packing.Encoder(packing.vocabulary_path()), [W.utf8(pa.array([t])) for t in text]
+    old.ids(*data[0])
+    old.forget(1000)
+    assert len(old.known) == len(old.at) == len(old.size) == 1000 and len(old.flat) == old.size.sum()
+    for x in data:
+        assert np.array_equal(old.ids(*x)[0], packing.Encoder(packing.vocabulary_path()).ids(*x)[0])
+    sent = cloudpickle.loads(cloudpickle.dumps(packing._tokenise(packing.vocabulary_path(), 4096)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(text[:1])], names=["doc_id", "text"])
+    list(W.tidied(sent, keeps="encoders")(iter([batch])))
+    assert len(packing._encoders[packing.vocabulary_path()].known) > 1000
+    W.release()
