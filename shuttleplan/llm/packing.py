@@ -13,6 +13,7 @@ searched on its counts by length, and pieces of equal length are told apart when
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -32,16 +33,43 @@ EXACT, WIDTH, MOST, NODES = 20, 4, 64, 1
 RUN = 1 << 18
 #: words that a worker keeps between tasks; more would add to the memory of idle workers
 KEPT = 200_000
-MARK, PLAIN_CHAR = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+SYMBOL, PLAIN_CHAR = (np.isin(np.arange(256), list(x)) for x in (b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+#: words of which the tokenizer makes one piece each; the lower case of \u0130 is a letter and a mark
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 VOCABULARY = "word_bpe_49k.json"
 PIECES = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+def _lower(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, but before what may be a combining mark: some marks join small letters alone, and the tokenizer joins them first."""
+    out = W.LOWER[data]
+    before = np.flatnonzero(data[1:] >= 0xCC)
+    out[before] = data[before]
+    return out
+
+
+def _letter(lead: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Whether two bytes are a letter of ``LETTERS``."""
+    return (lead >= 0xC3) & (lead <= 0xC5) & ~((lead == 0xC3) & ((low == 0x97) | (low == 0xB7))) & ~((lead == 0xC4) & (low == 0xB0))
+
+
+def _cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Places in words where one token ends and another begins: between letter or digit and ASCII symbol, but after an apostrophe, for ``'s`` is a token."""
+    at = np.flatnonzero(SYMBOL[data])
+    a, b = at[at > 0], at[(at < len(data) - 1) & (data[at] != ord("'"))]
+    left, right = data[a - 1], data[b + 1]
+    ends = PLAIN_CHAR[left] | _letter(data[np.maximum(a - 2, 0)], left)
+    begins = PLAIN_CHAR[right] | _letter(right, data[np.minimum(b + 2, len(data) - 1)])
+    cuts = np.sort(np.concatenate((a[ends], b[begins] + 1)))
+    return cuts[off[np.searchsorted(off, cuts)] != cuts]  # where texts meet, words end already
+
+
 class Encoder:
     """Token ids of whole texts from ids of their words, which are encoded once each.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words in order. Words are found and hashed as bytes; the library encodes words not seen yet.
+    The tokenizer drops white space and never joins across it, nor letters or digits with symbols, so
+    a text's ids are those of its words in order. Words are found and hashed as bytes; the library
+    encodes words not seen yet, those of letters alone many in one text.
     """
 
     def __init__(self, path: str, max_words: int = 2_000_000):
@@ -49,6 +77,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.max_words = Tokenizer.from_file(path), max_words
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        #: by id, whether a token ends a word
+        self.last = np.array([bool(suffix) and (self.tok.id_to_token(i) or "").endswith(suffix) for i in range(self.tok.get_vocab_size())])
         self.reset()
 
     def reset(self) -> None:
@@ -64,16 +95,35 @@ class Encoder:
             own = self.at < end
             self.known, self.at, self.size, self.flat = self.known[own], self.at[own], self.size[own], self.flat[:end].copy()
 
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words, one after the other, how many each has)."""
+        pure = np.array([LETTERS.fullmatch(w) is not None for w in words])
+        rest = [w for w, p in zip(words, pure, strict=True) if not p]
+        text = " ".join(w for w, p in zip(words, pure, strict=True) if p)
+        joined = self._ids([text])[0]
+        joined = np.fromiter(joined, np.int64, len(joined))
+        ends = np.flatnonzero(self.last[joined]) + 1
+        if len(ends) != len(words) - len(rest):  # a tokenizer that marks no ends, or not one a word
+            pure[:], rest, joined, ends = False, words, joined[:0], ends[:0]
+        apart = self._ids(rest)
+        size = np.empty(len(words), np.int64)
+        size[pure], size[~pure] = np.diff(ends, prepend=0), [len(x) for x in apart]
+        out, own = np.empty(int(size.sum()), np.uint32), np.repeat(pure, size)
+        out[own], out[~own] = joined, list(chain.from_iterable(apart))
+        return out, size
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, offsets)."""
-        fold = None if b"<|" in data.tobytes() else W.LOWER  # the names of special tokens are told by case
-        w = W.words(data, off, fold=fold, hashes=False)
+        named = b"<|" in data.tobytes()  # the names of special tokens are told by case
+        w = W.words(data if named else _lower(data), off, hashes=False)
         start, end, ptr = w.start, w.end, w.ptr
-        # a mark that ends a word is a token of its own wherever a letter or digit goes before
-        cut = np.flatnonzero((end - start > 1) & MARK[w.data[np.maximum(end - 1, 0)]] & PLAIN_CHAR[w.data[np.maximum(end - 2, 0)]])
-        ptr = ptr + np.searchsorted(cut, ptr)
-        start = np.insert(start, cut + 1, end[cut] - 1)
-        end = np.insert(end, cut, end[cut] - 1)
+        if not named:
+            cuts = _cuts(w.data, off)
+            start, end = (np.sort(np.concatenate((x, cuts)), kind="stable") for x in (start, end))
+            ptr = np.searchsorted(start, off)
         h = W.word_hashes(w.data, start, end)
         seen, first, back = np.unique(h, return_index=True, return_inverse=True)
         place = W.lookup(self.known, seen)
@@ -86,11 +136,10 @@ class Encoder:
             a, b = start[first[new]].tolist(), end[first[new]].tolist()
             size, flat = [], [self.flat]
             for k in range(0, len(a), 2000):  # the library's answers are large
-                part = [raw[x:y].decode() for x, y in zip(a[k : k + 2000], b[k : k + 2000], strict=True)]
-                got = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-                size += map(len, got)
-                flat.append(np.fromiter(chain.from_iterable(got), np.uint32, sum(size[-len(got) :])))
-            size = np.array(size, np.int64)
+                got, own = self.encode([raw[x:y].decode() for x, y in zip(a[k : k + 2000], b[k : k + 2000], strict=True)])
+                flat.append(got)
+                size.append(own)
+            size = np.concatenate(size)
             at = len(self.flat) + np.cumsum(size) - size
             self.flat = np.concatenate(flat)
             into = np.searchsorted(self.known, seen[new])  # both are sorted

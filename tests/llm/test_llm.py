@@ -1,6 +1,7 @@
 """Operators against brute force on small random corpora with copies, shared passages and edge rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -383,6 +384,42 @@ def test_bin_completion_beats_best_fit():
     assert len(packing.complete(counts, 10)) == -(-int(sum(counts * np.arange(11))) // 10)
 
 
+def _ids_match(texts):
+    encoder = packing.Encoder(packing.vocabulary_path())
+    ids, ptr = encoder.ids(*W.utf8(pa.array(texts)))
+    want = [e.ids for e in encoder.tok.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(ptr)] == want
+    return encoder
+
+
+def test_words_are_looked_up_without_their_symbols():
+    """A word is encoded once, whatever symbols stand around it, and words of letters go to the library in one text."""
+    some = ["".join(w) for w in itertools.product("abér", repeat=3)]
+    encoder = _ids_match([f"{w}%%% ({w}) {w}: {w}.** -{w}" for w in some])
+    assert len(encoder.known) <= len(some) + 6
+    texts = []
+
+    class Counting:
+        def encode_batch_fast(self, part, **kw):
+            texts.extend(part)
+            return encoder.tok.encode_batch_fast(part, **kw)
+
+    other = packing.Encoder(packing.vocabulary_path())
+    other.tok = Counting()
+    other.ids(*W.utf8(pa.array([" ".join(some)])))
+    assert len(texts) == 1
+
+
+def test_words_are_cut_only_where_tokens_end():
+    _ids_match(["it's 'sure' ''s -'s don't.x l'\u00e9t\u00e9, x'", "a\u00d7. .\u00d7a a\u00f7, \u0130. .\u0130 \u0130x. \u017f. \u0149!", "e\u0301. =\u0338a a=\u0338", "(", ".a", "a.", "", ".", "x<|endoftext|>y.z"])
+    _ids_match(["it's 'sure' ''s -'s don't.x l'\u00e9t\u00e9, x'", "a\u00d7. .\u00d7a a\u00f7, \u0130. .\u0130 \u0130x. \u017f. \u0149!", "e\u0301. =\u0338a a=\u0338", "(", ".a", "a.", "", "."])
+
+
+def test_case_before_combining_marks():
+    """Some marks join small letters alone; the tokenizer joins them before it lowers the case."""
+    _ids_match(["T\u0308 t\u0308 H\u0331 h\u0331 W\u030a Y\u030a J\u030c T\u05b0\u0308", "T", "\u0308"])
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
