@@ -425,3 +425,28 @@ def test_weighted_pick_rounds_once(spark):
     rows = [(1, pos, p, 0.8) for pos, p in enumerate([1.0, 7.0, 2.0], 1)] + [(2, 1, 1.0, 0.6), (2, 2, 1.0, 0.6), (3, 1, 0.0, 0.5), (3, 2, 0.0, 0.5)]
     got = routes.weighted_pick(spark.createDataFrame(rows, "o int, pos int, p double, r double"), ["o"])
     assert {r.o: r.pos for r in got.collect()} == {1: 2, 2: 2}
+
+
+@pytest.mark.parametrize("base", [(21.9, -102.3), (60.0, 179.99), (-0.01, -179.995), (88.9, 10.0)])
+def test_nearest_within_is_the_least_pair(spark, base):
+    rng = random.Random(8)
+    wrap = lambda x: (x + 180) % 360 - 180
+    spot = lambda: (base[0] + rng.uniform(0, 0.05), wrap(base[1] + rng.uniform(0, 0.05)))
+    b = [(i, *spot()) for i in range(40)]
+    b += [(100 - i, *b[i][1:]) for i in range(5)] + [(200, None, 1.0)]
+    a = [(i, *spot()) for i in range(60)] + [(90 + i, *b[i][1:]) for i in range(4)] + [(99, None, None), (98, -base[0], 0.0)]
+    want = {}
+    for x in a:
+        if x[1] is not None:
+            found = [(near(x[1:], y[1:]), y[0]) for y in b if y[1] is not None and near(x[1:], y[1:]) <= 700]
+            want |= {x[0]: min(found)[1]} if found else {}
+    got = spatial.nearest_within(points(spark, a, "person_id"), points(spark, b, "stop_id"), 700, ["scenario_id"], "person_id", "stop_id").collect()
+    assert {r.person_id: r.stop_id for r in got} == want and len(got) == len(want)
+
+
+def test_a_crowd_forms_few_pairs(spark):
+    """Of 150 points among 150 probes within the radius, each looks only around itself."""
+    a, b = cloud(150, 3, side=0.005), cloud(150, 4, side=0.005)
+    spots = points(spark, b, "_b").withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
+    pairs = spatial._near_pairs(points(spark, a, "_a"), spots, 1, 2000, ["scenario_id"])
+    assert 150 <= pairs.count() < 150 * 150 / 3
