@@ -501,3 +501,15 @@ def test_people_within_are_the_pairs(spark, base):
     want = {x[1:]: n for x in a if x[1] is not None and (n := sum(near(x[1:], y[1:]) <= 700 for y in b))}
     got = stops.people_within(points(spark, a, "stop_id"), points(spark, b, "person_id"), 700, ["scenario_id"]).collect()
     assert {(r.lat, r.lon): r.people for r in got} == want and len(got) == len(want)
+
+
+def test_hot_cells_get_no_more_parts_than_pairs_ask_for(spark, monkeypatch):
+    """The probes of a cell go to every part of it, so a cell is dealt into fewer parts if these would hold few pairs."""
+    on, rows = ["_row", "_col"], [(i, 0, 0) for i in range(60)]
+    a, b = (spark.createDataFrame(rows, f"{name} bigint, _row bigint, _col bigint") for name in ("_a", "_b"))
+    for pairs, parts in ((2**24, 1), (1200, 3), (1, 12)):
+        monkeypatch.setattr(spatial, "PART_PAIRS", pairs)
+        assert spatial._split_hot(a, b, on, 5)[1].count() == 60 * parts
+    near_ones = points(spark, cloud(60, 3), "person_id"), points(spark, cloud(60, 4), "stop_id")
+    both = [spatial.radius_join(*near_ones, 700, ["scenario_id"], "person_id", "stop_id", hot=hot).drop("distance_m") for hot in (None, 5)]
+    assert sorted(both[0].collect()) == sorted(both[1].collect())
